@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lanternfish.llm import byte_bpe, decontaminate, html_text, nearest, toxicity
+from lanternfish.llm import byte_bpe, decontaminate, html_text, nearest, toxicity, warc
 from lanternfish.session import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -52,3 +52,20 @@ def op2_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op6_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nearest.neighbours(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0, k=20)
+
+
+@query
+def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = warc.round_trip(table(spark, sf_dir, "pages").select("page_id", "url", "html"))
+    return found.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+ORACLES["op5_warc"] = """
+WITH p AS (SELECT page_id, coalesce(html, '') AS html FROM pages),
+d AS (SELECT page_id, CAST(octet_length(encode(html)) AS BIGINT) AS payload_bytes, sha1(html) AS payload_digest, html FROM p),
+l AS (SELECT *, max(page_id) OVER (PARTITION BY html) AS last FROM d)
+SELECT page_id, payload_bytes, payload_digest,
+       CASE WHEN payload_bytes >= 1000 AND last > page_id THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN payload_bytes >= 1000 AND last > page_id THEN last END AS refers_to
+FROM l
+"""
