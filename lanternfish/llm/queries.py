@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lanternfish.llm import byte_bpe, decontaminate, html_text, nearest, toxicity, warc
+from lanternfish.llm import byte_bpe, decontaminate, html_text, line_dedup, nearest, toxicity, warc
 from lanternfish.session import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -69,3 +69,23 @@ SELECT page_id, payload_bytes, payload_digest,
        CASE WHEN payload_bytes >= 1000 AND last > page_id THEN last END AS refers_to
 FROM l
 """
+
+
+@query
+def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = line_dedup.deduplicate(docs, counts=True)
+    return found.select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
+
+
+ORACLES["op1_line_dedup"] = r"""
+WITH l AS (
+  SELECT doc_id, text, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS i
+  FROM documents WHERE text IS NOT NULL),
+t AS (SELECT doc_id, i, line, regexp_replace(trim(regexp_replace(line, '[\x09-\x0D\x20]+', ' ', 'g')), '[^ ]*(?:[0-9@]|://)[^ ]*', '<*>', 'g') AS w FROM l),
+r AS (SELECT w, min(doc_id) AS first FROM t WHERE w <> '' AND len(string_split(w, ' ')) >= 4 GROUP BY w HAVING count(DISTINCT doc_id) >= 3),
+k AS (SELECT t.doc_id, i, line, r.first IS NOT NULL AND t.doc_id > r.first AS gone FROM t LEFT JOIN r USING (w)),
+g AS (SELECT doc_id, count(*) AS n_lines, count(*) FILTER (WHERE gone) AS n_dropped, coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (WHERE NOT gone), '') AS kept FROM k GROUP BY doc_id)
+SELECT d.doc_id, CAST(coalesce(n_lines, 0) AS BIGINT) AS n_lines, CAST(coalesce(n_dropped, 0) AS BIGINT) AS n_dropped, CASE WHEN d.text IS NULL THEN NULL ELSE sha256(kept) END AS kept_sha256
+FROM documents d LEFT JOIN g USING (doc_id)
+"""
