@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lanternfish.llm import byte_bpe, decontaminate, html_text, line_dedup, nearest, toxicity, warc
+from lanternfish.llm import byte_bpe, decontaminate, html_text, line_dedup, nearest, substring_dedup, toxicity, warc
 from lanternfish.session import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -89,3 +89,8 @@ g AS (SELECT doc_id, count(*) AS n_lines, count(*) FILTER (WHERE gone) AS n_drop
 SELECT d.doc_id, CAST(coalesce(n_lines, 0) AS BIGINT) AS n_lines, CAST(coalesce(n_dropped, 0) AS BIGINT) AS n_dropped, CASE WHEN d.text IS NULL THEN NULL ELSE sha256(kept) END AS kept_sha256
 FROM documents d LEFT JOIN g USING (doc_id)
 """
+
+
+@query
+def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.deduplicate(table(spark, sf_dir, "documents"))
