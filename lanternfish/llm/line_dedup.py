@@ -24,17 +24,25 @@ from lanternfish import session
 DEPTH = 3
 LEAST_TOKENS = 4
 LEAST_DOCS = 3
-#: White space between tokens; a token with a digit, an at sign or a scheme; the mark for it.
-SPACE, VARIABLE, MARK = r"[\x09-\x0D\x20]+", r"[^ ]*(?:[0-9@]|://)[^ ]*", "<*>"
+#: White space between tokens, and what of it isn't one space; what makes a token variable, such a
+#: token whole, and the mark for it.
+SPACE, UNEVEN = r"[\x09-\x0D\x20]+", r"[\x09-\x0D]|  "
+FIELD, VARIABLE, MARK = r"[0-9@]|://", r"(?<![^ ])[^ ]*?(?:[0-9@]|://)[^ ]*+", "<*>"
 
 
 def _template(line: Column) -> Column:
-    return F.regexp_replace(F.trim(F.regexp_replace(line, SPACE, " ")), VARIABLE, MARK)
+    """The replacements run only on lines that have something to replace; a plain search finds them."""
+    even = F.trim(F.when(line.rlike(UNEVEN), F.regexp_replace(line, SPACE, " ")).otherwise(line))
+    return F.when(even.rlike(FIELD), F.regexp_replace(even, VARIABLE, MARK)).otherwise(even)
+
+
+def _tokens(template: Column) -> Column:
+    return F.length(template) - F.length(F.replace(template, F.lit(" "), F.lit(""))) + 1
 
 
 def _leaf(template: Column) -> list[Column]:
     """Two independent hashes of (token count, leading tokens, rest)."""
-    tokens = F.size(F.split(template, " "))
+    tokens = _tokens(template)
     lead = F.substring_index(template, " ", DEPTH)
     rest = template.substr(F.length(lead) + 1, F.length(template))
     return [F.xxhash64(tokens, lead, rest), F.xxhash64(F.lit("b"), rest, lead, tokens)]
@@ -43,8 +51,8 @@ def _leaf(template: Column) -> list[Column]:
 def recurring(docs: DataFrame, text: str = "text", least_docs: int = LEAST_DOCS, least_tokens: int = LEAST_TOKENS) -> DataFrame:
     """(doc_id, version, dropped): the numbers of the lines to drop, by document and hash of its text."""
     lines = docs.where(F.col(text).isNotNull()).select("doc_id", F.xxhash64(text).alias("version"), F.posexplode(F.split(text, "\n", -1)).alias("line", "words"))
-    lines = lines.select("doc_id", "version", "line", _template(F.col("words")).alias("words")).where(F.length("words") >= 2 * least_tokens - 1)
-    lines = lines.where(F.size(F.split("words", " ")) >= least_tokens)
+    lines = lines.select("doc_id", "version", "line", _template(F.col("words")).alias("words"))
+    lines = lines.where((F.col("words") != "") & (_tokens(F.col("words")) >= least_tokens))
     a, b = _leaf(F.col("words"))
     lines = session.written(lines.select("doc_id", "version", "line", a.alias("a"), b.alias("b")), "lines")
     templates = lines.groupBy("a", "b").agg(F.min("doc_id").alias("first"), F.count_distinct("doc_id").alias("docs"))
