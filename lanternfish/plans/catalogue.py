@@ -1,10 +1,8 @@
-"""Named queries over the test tables and their DuckDB counterparts."""
+"""Named queries over the test tables and their DuckDB counterparts, gathered from the modules beside this one."""
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from lanternfish.plans import catalog_queries, conversation_queries, text_queries, vector_queries
+from lanternfish.plans.registry import ORACLES, QUERIES
 
-from pyspark.sql import DataFrame, SparkSession
-
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLES: dict[str, str] = {}
+__all__ = ["ORACLES", "QUERIES", "catalog_queries", "conversation_queries", "text_queries", "vector_queries"]
