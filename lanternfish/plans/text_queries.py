@@ -259,3 +259,53 @@ def error_taxonomy(spark, sf_dir):
 def sft_render(spark, sf_dir):
     args = F.to_json(F.struct(F.col("role"), F.col("turn").cast("string").alias("n")))
     return session.table(spark, sf_dir, "conversations").select("conv_id", "turn", templates.sft_text("", F.col("text"), F.lit("show"), args).alias("text"))
+
+
+@query()
+def sft_split(spark, sf_dir):
+    from lanternfish.functions import embed
+
+    return session.table(spark, sf_dir, "conversations").select("conv_id", "turn", embed.split(F.concat_ws("-", "conv_id", "turn")).alias("part"))
+
+
+@query("SELECT doc_id, contains(text, '<start_function_call>') AND NOT contains(substr(text, 1, 50), '<pad>') AS valid FROM documents")
+def sft_output_valid(spark, sf_dir):
+    return session.table(spark, sf_dir, "documents").select("doc_id", templates.sft_output_valid(F.col("text")).alias("valid"))
+
+
+@query("SELECT page_id, '/x/data/data/p/' || page_id AS path, contains(split_part(split_part(url, '/', 3), '?', 1), 'huggingface.co') AS hub FROM pages")
+def download_paths(spark, sf_dir):
+    p = session.table(spark, sf_dir, "pages")
+    return p.select("page_id", sources.android_path(F.lit("/x/data/user/0/p"), F.col("page_id").cast("string")).alias("path"), sources.is_hub_url(F.col("url")).alias("hub"))
+
+
+@query("SELECT event_id, CASE event_id % 3 WHEN 0 THEN 'image_token_mismatch' WHEN 1 THEN 'missing_image_tokens' ELSE 'tokenization' END AS kind, event_id % 3 = 0 AS recoverable FROM events")
+def token_errors(spark, sf_dir):
+    k = F.col("event_id") % 3
+    m = F.when(k == 0, "0 image tokens").when(k == 1, "prompt bad").otherwise("x")
+    kind = quality.token_error_kind(m, F.lit("plain"))
+    return session.table(spark, sf_dir, "events").select("event_id", kind.alias("kind"), quality.recoverable(kind).alias("recoverable"))
+
+
+@query("SELECT doc_id, 'User provided an image but it could not be processed properly. ' || CASE WHEN doc_id % 2 = 0 THEN 'Error: e. ' ELSE '' END || 'Please respond to the following text only: ' || text AS prompt, 2 :: INTEGER AS tokens FROM documents WHERE NOT contains(text, 'image_data')")
+def image_prompts(spark, sf_dir):
+    docs = session.table(spark, sf_dir, "documents").where("not contains(text, 'image_data')")
+    error = F.when(F.col("doc_id") % 2 == 0, "e")
+    marked = quality.image_prompt(F.lit("see image_data"), F.lit("abc"), "instruct")
+    return docs.select("doc_id", quality.fallback_prompt(F.col("text"), error).alias("prompt"), quality.image_tokens(marked).alias("tokens"))
+
+
+@query("SELECT conv_id, turn, role = 'user' AS same FROM conversations")
+def message_equality(spark, sf_dir):
+    rows = session.table(spark, sf_dir, "conversations")
+    user = F.col("role") == "user"
+    a = templates.message_of(F.col("text"), user, "text")
+    b = templates.message_of(F.col("text"), F.lit(True), "text")
+    return rows.select("conv_id", "turn", templates.same_message(a, b).alias("same"))
+
+
+@query()
+def tools_prompts(spark, sf_dir):
+    tool = F.array(F.struct(F.concat(F.lit("fn_"), "role").alias("name"), F.lit("does it").alias("description"), F.lit('{"properties": {"a": {"type": "string"}}, "required": ["a"]}').alias("parameters")))
+    rows = session.table(spark, sf_dir, "conversations").select("role").distinct()
+    return rows.select("role", templates.json_tools_prompt(tool).alias("json"), templates.function_tools_prompt(tool).alias("declarations"))
