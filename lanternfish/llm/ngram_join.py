@@ -10,11 +10,13 @@ Counts travel as in `repeats`: blocks of documents send each different shingle o
 and get back the prints that stand in several documents.  Prints that collide only make a shingle look less rare.
 
 Prefix shingles of representatives are then joined.  Not all pairs of a shingle are made: in each of STARS rounds
-the holders of a shingle meet one of them, another in each round, unless they are linked already; shingles all of
-whose holders are linked are settled.  What is not settled after that meets pair by pair, only where the two aren't
+the holders of a shingle meet one of them, unless they are linked already: in the first round the same one for all
+shingles of a group, then another for each shingle and round.  Shingles all of whose holders are linked are settled.
+What is not settled after that meets pair by pair, at the first shingle that two share, only where they aren't
 linked.  Every pair that shares a prefix shingle is thus verified or its ends are connected by verified links, so
-the components are exact.  Pairs pass the length and the positional filter when made, are made different, and once
-each meet the suffix filter (numbers of shingles by ranges of the hash bound the difference) and the exact count.
+the components are exact.  Pairs pass the length and the positional filter when made; the suffix filter (numbers of
+shingles by ranges of the hash bound the difference) follows, in the last step before a pair is made at all; and
+each different pair is counted exactly, once.
 
 Defined results: null, empty and wordless texts have an empty set and link with nothing; fewer than SHINGLE words are
 one shingle; rows of one doc_id are one document, so they share its component; rows without a doc_id get no
@@ -36,10 +38,11 @@ from lanternfish.llm.components import components
 
 SHINGLE = 5
 PERCENT = 80
-STARS = 4
+STARS = 3
 _SHINGLE_BYTES = 6
-_PARTS = 32
-_SETS = "doc_id long, n int, s1 long, s2 long, tokens array<long>, places array<int>, text string"
+_PARTS = 64
+_SHIFT = np.uint64(64 - 6)
+_SETS = "doc_id long, n int, s1 long, s2 long, tokens array<long>, places array<int>, parts array<int>, text string"
 
 
 def shingle_sets(raw: np.ndarray, offsets: np.ndarray, shingle: int = SHINGLE) -> tuple[np.ndarray, np.ndarray]:
@@ -127,6 +130,8 @@ def _sets(dealt: DataFrame, size: int, shingle: int, percent: int) -> DataFrame:
             edge = np.append(0, np.cumsum(n))
             sums = [np.append(np.uint64(0), np.cumsum(rolling.mix(h ^ np.uint64(salt)), dtype=np.uint64)) for salt in (0x1234567, 0x7654321F0F0F0F0F)]
             s1, s2 = ((s[edge[1:]] - s[edge[:-1]]).view(np.int64) for s in sums)
+            parts = np.bincount(text * _PARTS + (h >> _SHIFT).astype(np.int64), minlength=len(part) * _PARTS).astype(np.int32)
+            parts = pa.ListArray.from_arrays(np.arange(0, len(parts) + 1, _PARTS, dtype=np.int32), pa.array(parts))
             by = np.lexsort((h, rare, text))
             h, rare = h[by], rare[by]
             place = np.arange(len(h)) - np.repeat(edge[:-1], n)
@@ -136,7 +141,7 @@ def _sets(dealt: DataFrame, size: int, shingle: int, percent: int) -> DataFrame:
             own = pa.array(np.arange(len(part)), mask=held == 0)
             tokens = pa.ListArray.from_arrays(ends, pa.array(h[use].view(np.int64)))
             places = pa.ListArray.from_arrays(ends, pa.array(place[use].astype(np.int32)))
-            out.append(pa.table({"doc_id": table["doc_id"].slice(a, b - a), "n": pa.array(n.astype(np.int32)), "s1": pa.array(s1), "s2": pa.array(s2), "tokens": tokens.take(own), "places": places.take(own), "text": part.take(own)}))
+            out.append(pa.table({"doc_id": table["doc_id"].slice(a, b - a), "n": pa.array(n.astype(np.int32)), "s1": pa.array(s1), "s2": pa.array(s2), "tokens": tokens.take(own), "places": places.take(own), "parts": parts.take(own), "text": part.take(own)}))
         return pa.concat_tables(out) if out else _EMPTY.empty_table()
 
     sent = dealt.groupBy("block").applyInArrow(prints, "bucket int, block int, one binary, many binary, counts binary")
@@ -144,7 +149,7 @@ def _sets(dealt: DataFrame, size: int, shingle: int, percent: int) -> DataFrame:
     return dealt.groupBy("block").cogroup(back.groupBy("block")).applyInArrow(order, _SETS)
 
 
-_EMPTY = pa.schema([("doc_id", pa.int64()), ("n", pa.int32()), ("s1", pa.int64()), ("s2", pa.int64()), ("tokens", pa.list_(pa.int64())), ("places", pa.list_(pa.int32())), ("text", pa.string())])
+_EMPTY = pa.schema([("doc_id", pa.int64()), ("n", pa.int32()), ("s1", pa.int64()), ("s2", pa.int64()), ("tokens", pa.list_(pa.int64())), ("places", pa.list_(pa.int32())), ("parts", pa.list_(pa.int32())), ("text", pa.string())])
 
 
 def similar(x: np.ndarray, y: np.ndarray, percent: int = PERCENT) -> bool:
@@ -153,8 +158,7 @@ def similar(x: np.ndarray, y: np.ndarray, percent: int = PERCENT) -> bool:
     need = -(-percent * n // (100 + percent))  # of the intersection
     if need > min(len(x), len(y)):
         return False
-    shift = np.uint64(64 - 5)
-    apart = np.abs(np.bincount((x >> shift).astype(np.int64), minlength=_PARTS) - np.bincount((y >> shift).astype(np.int64), minlength=_PARTS)).sum()
+    apart = np.abs(np.bincount((x >> _SHIFT).astype(np.int64), minlength=_PARTS) - np.bincount((y >> _SHIFT).astype(np.int64), minlength=_PARTS)).sum()
     if n - apart < 2 * need:  # suffix filter: each range differs by the difference of its sizes at least
         return False
     at = np.minimum(np.searchsorted(x, y), len(x) - 1)
@@ -187,11 +191,19 @@ def _verified(pairs: DataFrame, texts: DataFrame, shingle: int, percent: int) ->
     return with_b.join(own, "a").select("a", "b", "mine", "text").mapInArrow(run, "a long, b long")
 
 
+def _need(percent: int) -> str:
+    """The least intersection of sets of na and nb shingles that link."""
+    return f"({percent} * (na + nb) + {99 + percent}) div {100 + percent}"
+
+
+def _passes(percent: int) -> str:
+    """The length and positional filters."""
+    return f"{_need(percent)} <= least(pa, pb) + least(na - pa, nb - pb) and 100 * least(na, nb) >= {percent} * greatest(na, nb)"
+
+
 def _filtered(pairs: DataFrame, percent: int) -> DataFrame:
     """Different pairs of (a, na, pa), (b, nb, pb) that pass the length and positional filters."""
-    need = f"({percent} * (na + nb) + {99 + percent}) div {100 + percent}"
-    bound = "least(pa, pb) + least(na - pa, nb - pb)"
-    return pairs.where(f"a != b and {need} <= {bound} and 100 * least(na, nb) >= {percent} * greatest(na, nb)").select("a", "b").distinct()
+    return pairs.where(f"a != b and {_passes(percent)}").select("a", "b").distinct()
 
 
 def join(docs: DataFrame, text: str = "text", shingle: int = SHINGLE, percent: int = PERCENT, stars: int = STARS) -> DataFrame:
@@ -203,7 +215,7 @@ def join(docs: DataFrame, text: str = "text", shingle: int = SHINGLE, percent: i
     reps = some.groupBy("s1", "s2").agg(F.min("doc_id").alias("rep"))
     rows = session.written(sets.select("doc_id", "n", "s1", "s2").join(reps, ["s1", "s2"], "left").select("doc_id", "n", F.when((F.col("n") > 0) & F.col("doc_id").isNotNull(), F.col("rep")).alias("rep")), "rows")
     chosen = some.where("tokens is not null").join(reps, ["s1", "s2"]).where("doc_id = rep").dropDuplicates(["s1", "s2"])
-    texts = session.written(chosen.select("rep", "n", "tokens", "places", "text"), "representatives")
+    texts = session.written(chosen.select("rep", "n", "tokens", "places", "parts", "text"), "representatives")
     tokens = texts.select("rep", "n", F.explode(F.arrays_zip("tokens", "places")).alias("t")).select(F.col("t.tokens").alias("token"), F.col("t.places").alias("place"), "rep", "n")
     several = tokens.groupBy("token").agg(F.min("rep").alias("x"), F.max("rep").alias("y")).where("x < y").select("token")
     open_ = session.written(tokens.join(several, "token").withColumn("label", F.col("rep")), "tokens")
@@ -213,12 +225,19 @@ def join(docs: DataFrame, text: str = "text", shingle: int = SHINGLE, percent: i
         if open_.isEmpty():
             break
         if r < stars:
-            middle = open_.groupBy("token").agg(F.min_by(F.struct("rep", "n", "place", "label"), F.xxhash64("rep", F.lit(r))).alias("m"))
+            rank = F.xxhash64("rep", F.lit(r)) if r == 0 else F.xxhash64("rep", "token", F.lit(r))
+            middle = open_.groupBy("token").agg(F.min_by(F.struct("rep", "n", "place", "label"), rank).alias("m"))
             met = open_.join(middle, "token").where("label != m.label").select(F.col("m.rep").alias("a"), F.col("m.n").alias("na"), F.col("m.place").alias("pa"), F.col("rep").alias("b"), F.col("n").alias("nb"), F.col("place").alias("pb"))
         else:
-            left = open_.select("token", F.col("rep").alias("a"), F.col("n").alias("na"), F.col("place").alias("pa"), F.col("label").alias("la"))
-            right = open_.select("token", F.col("rep").alias("b"), F.col("n").alias("nb"), F.col("place").alias("pb"), F.col("label").alias("lb"))
-            met = left.join(right, "token").where("a < b and la != lb")
+            prefix = texts.select("rep", "tokens", "parts")
+            before = F.slice("tokens", 1, F.greatest(F.array_position("tokens", F.col("token")).cast("int") - 1, F.lit(0)))
+            rest = open_.join(prefix, "rep").select("token", "rep", "n", "place", "label", "parts", before.alias("before"))
+            left = rest.select("token", F.col("rep").alias("a"), F.col("n").alias("na"), F.col("place").alias("pa"), F.col("label").alias("la"), F.col("parts").alias("ha"), F.col("before").alias("xa"))
+            right = rest.select("token", F.col("rep").alias("b"), F.col("n").alias("nb"), F.col("place").alias("pb"), F.col("label").alias("lb"), F.col("parts").alias("hb"), F.col("before").alias("xb"))
+            first = ~F.arrays_overlap("xa", "xb")  # a pair is made at its first common shingle only
+            apart = F.aggregate(F.zip_with("ha", "hb", lambda x, y: F.abs(x - y)), F.lit(0), lambda c, x: c + x)
+            near = apart <= F.expr(f"na + nb - 2 * ({_need(percent)})")  # the suffix filter, before a row is made
+            met = left.join(right, (left["token"] == right["token"]) & F.expr("a < b and la != lb") & F.expr(_passes(percent)) & near & first)
         links.append(session.written(_verified(_filtered(met, percent), texts, shingle, percent), "links"))
         if r == stars:
             break
