@@ -24,16 +24,16 @@ from lanternfish import session
 DEPTH = 3
 LEAST_TOKENS = 4
 LEAST_DOCS = 3
-#: White space between tokens, and what of it isn't one space; what makes a token variable, such a
-#: token whole, and the mark for it.
-SPACE, UNEVEN = r"[\x09-\x0D\x20]+", r"[\x09-\x0D]|  "
-FIELD, VARIABLE, MARK = r"[0-9@]|://", r"(?<![^ ])[^ ]*?(?:[0-9@]|://)[^ ]*+", "<*>"
+#: White space between tokens; a variable token and the mark for it; what neither plain words nor
+#: single spaces hold.
+SPACE, VARIABLE, MARK = r"[\x09-\x0D\x20]+", r"(?<![^ ])[^ ]*?(?:[0-9@]|://)[^ ]*+", "<*>"
+SPECIAL = r"[0-9@\x09-\x0D]|://|  "
 
 
 def _template(line: Column) -> Column:
-    """The replacements run only on lines that have something to replace; a plain search finds them."""
-    even = F.trim(F.when(line.rlike(UNEVEN), F.regexp_replace(line, SPACE, " ")).otherwise(line))
-    return F.when(even.rlike(FIELD), F.regexp_replace(even, VARIABLE, MARK)).otherwise(even)
+    """The replacements run only on lines that have something to replace; one plain search finds these."""
+    made = F.regexp_replace(F.trim(F.regexp_replace(line, SPACE, " ")), VARIABLE, MARK)
+    return F.when(line.rlike(SPECIAL), made).otherwise(F.trim(line))
 
 
 def _tokens(template: Column) -> Column:
@@ -52,11 +52,12 @@ def recurring(docs: DataFrame, text: str = "text", least_docs: int = LEAST_DOCS,
     """(doc_id, version, dropped): the numbers of the lines to drop, by document and hash of its text."""
     lines = docs.where(F.col(text).isNotNull()).select("doc_id", F.xxhash64(text).alias("version"), F.posexplode(F.split(text, "\n", -1)).alias("line", "words"))
     lines = lines.select("doc_id", "version", "line", _template(F.col("words")).alias("words"))
-    lines = lines.where((F.col("words") != "") & (_tokens(F.col("words")) >= least_tokens))
-    a, b = _leaf(F.col("words"))
-    lines = session.written(lines.select("doc_id", "version", "line", a.alias("a"), b.alias("b")), "lines")
+    long = (F.col("words") != "") & (_tokens(F.col("words")) >= least_tokens)
+    a, b = (F.when(long, x) for x in _leaf(F.col("words")))  # null instead of a filter, which would spell them twice
+    lines = session.written(lines.select("doc_id", "version", "line", a.alias("a"), b.alias("b")), "lines").where("a is not null")
     templates = lines.groupBy("a", "b").agg(F.min("doc_id").alias("first"), F.count_distinct("doc_id").alias("docs"))
-    templates = templates.where(F.col("docs") >= least_docs).select("a", "b", "first")
+    # written, so that both sides of the join are shuffled for it and a hot template's lines can be split
+    templates = session.written(templates.where(F.col("docs") >= least_docs).select("a", "b", "first"), "templates")
     hit = lines.join(templates, ["a", "b"]).where(F.col("doc_id") > F.col("first"))
     return hit.groupBy("doc_id", "version").agg(F.collect_set("line").alias("dropped"))
 
