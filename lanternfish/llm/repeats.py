@@ -16,6 +16,7 @@ stands in two documents.  This goes in three steps, none of which gathers all ro
 from __future__ import annotations
 
 import dataclasses
+import gc
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -27,7 +28,7 @@ from pyspark.sql import functions as F
 from lanternfish import session
 from lanternfish.llm import rolling
 
-BLOCK_BYTES = 6 << 20
+BLOCK_BYTES = 2 << 20
 BUCKET_PRINTS = 1 << 20
 
 
@@ -100,6 +101,31 @@ def _names(gram: np.ndarray, buckets: int) -> np.ndarray:
     return (((gram >> np.uint64(32)) % np.uint64(buckets)) << np.uint64(32)) | (gram & np.uint64(0xFFFFFFFF))
 
 
+class Rows:
+    """Finds a block's rows by doc_id and version; a version numbers the different texts of one doc_id, which all
+    lie in one block, so numbers stay the same from step to step."""
+
+    def __init__(self, table: pa.Table) -> None:
+        ids, key = pc.fill_null(table["doc_id"], 0).to_numpy(), table["key"].to_numpy()
+        self.ids, at = np.unique(ids, return_inverse=True)
+        by = np.lexsort((key, at))
+        new = np.zeros(len(by), np.int64)
+        new[1:] = (key[by[1:]] != key[by[:-1]]) & (at[by[1:]] == at[by[:-1]])
+        count = np.cumsum(new)
+        begin = np.searchsorted(at[by], np.arange(len(self.ids)))
+        self.version = np.empty(len(by), np.int64)
+        self.version[by] = count - count[begin[at[by]]] if len(by) else count
+        self.name = at.astype(np.int64) << 32 | self.version
+
+    def names(self, ids: np.ndarray, version: np.ndarray) -> np.ndarray:
+        return np.searchsorted(self.ids, ids).astype(np.int64) << 32 | version
+
+    def rows(self, ids: np.ndarray, version: np.ndarray) -> np.ndarray:
+        """A row of each; all rows of one name have one text."""
+        names, where = np.unique(self.name, return_index=True)
+        return where[np.searchsorted(names, self.names(ids, version))]
+
+
 def blocks(docs: DataFrame, text: str = "text") -> tuple[DataFrame, int]:
     """((block, doc_id, key, text) of every row, bytes of text); key tells rows of one doc_id apart by text."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
@@ -110,11 +136,12 @@ def blocks(docs: DataFrame, text: str = "text") -> tuple[DataFrame, int]:
 
 
 def paths(dealt: DataFrame, size: int, units: Units) -> DataFrame:
-    """(gram, content, doc_id, key, start, windows, pick) of paths whose gram stands in two documents or more.
+    """(gram, content, doc_id, version, start, windows, pick) of paths whose gram stands in two documents or more.
     Rows without a doc_id have none."""
     buckets = max(1, size // (units.path_bytes * BUCKET_PRINTS))
 
     def prints(table: pa.Table) -> pa.Table:
+        rolling.release()
         has = pc.is_valid(table["doc_id"]).to_numpy()
         number = np.unique(pc.fill_null(table["doc_id"], 0).to_numpy(), return_inverse=True)[1]
         grams, docs = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
@@ -141,6 +168,7 @@ def paths(dealt: DataFrame, size: int, units: Units) -> DataFrame:
         return pa.table({"bucket": pa.array(bucket[edge], pa.int32()), "block": pa.array([block] * len(edge), pa.int32()), "one": pa.array(one, pa.binary()), "two": pa.array(two, pa.binary())})
 
     def shared(table: pa.Table) -> pa.Table:
+        rolling.release()
         one = [np.frombuffer(x, np.uint32) for x in table["one"].to_pylist()]
         two = [np.frombuffer(x, np.uint32) for x in table["two"].to_pylist()]
         every = np.sort(np.concatenate([*one, *two]))
@@ -152,6 +180,7 @@ def paths(dealt: DataFrame, size: int, units: Units) -> DataFrame:
         return pa.table({"block": table["block"], "bucket": table["bucket"], "prints": pa.array(answers, pa.binary())})
 
     def keep(table: pa.Table, answer: pa.Table) -> pa.Table:
+        rolling.release()
         known = [np.zeros(0, np.uint64)]
         for bucket, found in zip(answer["bucket"].to_pylist(), answer["prints"].to_pylist(), strict=True):
             known.append(np.frombuffer(found, np.uint32).astype(np.uint64) | np.uint64(bucket << 32))
@@ -164,49 +193,51 @@ def paths(dealt: DataFrame, size: int, units: Units) -> DataFrame:
                 for n, x in (("gram", p.gram.view(np.int64)), ("content", p.content.view(np.int64)), ("row", p.text + a), ("start", p.start), ("windows", p.windows), ("pick", p.pick)):
                     out[n].append(x[use])
         c = {n: np.concatenate(x) if x else np.zeros(0, np.int64) for n, x in out.items()}
-        row = pa.array(c["row"])
-        made = pa.table({"gram": c["gram"], "content": c["content"], "doc_id": table["doc_id"].take(row), "key": table["key"].take(row), **{n: pa.array(c[n], pa.int32()) for n in ("start", "windows", "pick")}})
+        version = Rows(table).version[c["row"]] if table.num_rows else c["row"]
+        made = pa.table({"gram": c["gram"], "content": c["content"], "doc_id": table["doc_id"].take(pa.array(c["row"])), "version": pa.array(version, pa.int32()), **{n: pa.array(c[n], pa.int32()) for n in ("start", "windows", "pick")}})
         return made.filter(made["doc_id"].is_valid())
 
     sent = dealt.groupBy("block").applyInArrow(prints, "bucket int, block int, one binary, two binary")
     back = sent.groupBy("bucket").applyInArrow(shared, "block int, bucket int, prints binary")
-    return dealt.groupBy("block").cogroup(back.groupBy("block")).applyInArrow(keep, "gram long, content long, doc_id long, key long, start int, windows int, pick int")
+    return dealt.groupBy("block").cogroup(back.groupBy("block")).applyInArrow(keep, "gram long, content long, doc_id long, version int, start int, windows int, pick int")
 
 
 def sources(found: DataFrame) -> DataFrame:
-    """(gram, content, first, key, start, windows, pick): each different path with the coordinates of its source,
+    """(gram, content, first, version, start, windows, pick): each different path with the coordinates of its source,
     its first place in the document of the smallest doc_id."""
-    place = F.min(F.struct("doc_id", "key", "start", "windows", "pick")).alias("s")
-    return found.groupBy("gram", "content").agg(place).select("gram", "content", F.col("s.doc_id").alias("first"), "s.key", "s.start", "s.windows", "s.pick")
+    place = F.min(F.struct("doc_id", "version", "start", "windows", "pick")).alias("s")
+    return found.groupBy("gram", "content").agg(place).select("gram", "content", F.col("s.doc_id").alias("first"), "s.version", "s.start", "s.windows", "s.pick")
 
 
 def repeated_spans(found: DataFrame, origins: DataFrame, partial: DataFrame, units: Units) -> DataFrame:
-    """(key, start, stop) in units.  found: all paths; origins: their sources; partial: (gram, content, offset) of
+    """(doc_id, version, start, stop) in units.  found: all paths; origins: their sources; partial: (gram, content, offset) of
     windows in a source that stand in an earlier document.  Paths of later documents than their source's repeat
     whole; those of the source's own document repeat where `partial` says so."""
     offsets = partial.groupBy("gram", "content").agg(F.collect_list("offset").alias("offsets"))  # one path's windows at most
-    known = origins.select("gram", "content", "first").join(offsets, ["gram", "content"], "left")
+    # written, so that both sides of the join are shuffled for it and the copies of a hot path can be split
+    known = kept(origins.select("gram", "content", "first").join(offsets, ["gram", "content"], "left"), "known")
     rows = found.join(known, ["gram", "content"]).where((F.col("doc_id") > F.col("first")) | F.col("offsets").isNotNull())
     whole = F.array(F.struct(F.col("start").alias("a"), (F.col("start") + F.col("windows") - 1).alias("b")))
     some = F.transform("offsets", lambda o: F.struct((F.col("start") + o).alias("a"), (F.col("start") + o).alias("b")))
     run = F.explode(F.when(F.col("doc_id") > F.col("first"), whole).otherwise(some)).alias("r")
-    return rows.select("doc_id", "key", run).select("doc_id", "key", F.col("r.a").alias("start"), (F.col("r.b") + units.window).alias("stop"))
+    return rows.select("doc_id", "version", run).select("doc_id", "version", F.col("r.a").alias("start"), (F.col("r.b") + units.window).alias("stop"))
 
 
 def finish(dealt: DataFrame, spans: DataFrame, count: int, result: Callable[[pa.Table, np.ndarray, np.ndarray, np.ndarray, np.ndarray], dict[str, pa.Array]], units: Units, schema: str) -> DataFrame:
     """Joins spans to blocks.  result(rows, raw, offsets, unit starts, mask of removed units) gives columns; doc_id
     comes first in the schema."""
     block = F.pmod(F.xxhash64("doc_id", F.lit("block")), F.lit(count)).cast("int")
-    right = spans.select(block.alias("block"), "key", "start", "stop")
+    right = spans.select(block.alias("block"), "doc_id", "version", "start", "stop")
 
     def run(table: pa.Table, marks: pa.Table) -> pa.Table:
-        keys = marks["key"].to_numpy()
+        lines = Rows(table)
+        keys = lines.names(marks["doc_id"].to_numpy(), marks["version"].to_numpy())
         by = np.argsort(keys, kind="stable")
         keys, start, stop = keys[by], marks["start"].to_numpy()[by], marks["stop"].to_numpy()[by]
         column = table["text"].combine_chunks()
         if isinstance(column, pa.ChunkedArray):
             column = pa.concat_arrays(column.chunks) if column.num_chunks else pa.array([], pa.string())
-        own = table["key"].to_numpy()
+        own = lines.name
         out: dict[str, list] = {}
         for a, b in rolling.steps(column, 1 << 20):
             raw, offsets = rolling.text_bytes(column.slice(a, b - a))
@@ -227,6 +258,7 @@ def finish(dealt: DataFrame, spans: DataFrame, count: int, result: Callable[[pa.
     empty = schema_of(schema)
 
     def safe(table: pa.Table, marks: pa.Table) -> pa.Table:
+        rolling.release()
         return run(table, marks) if table.num_rows else empty.empty_table()
 
     return dealt.groupBy("block").cogroup(right.groupBy("block")).applyInArrow(safe, schema)
@@ -242,4 +274,9 @@ def block_count(size: int) -> int:
 
 
 def kept(found: DataFrame, name: str) -> DataFrame:
-    return session.written(found, name)
+    """Written to the shared folder; then the driver lets go of what made it, so that its shuffle files are cleaned
+    up before the next step makes its own."""
+    out = session.written(found, name)
+    gc.collect()
+    found.sparkSession.sparkContext._jvm.System.gc()
+    return out

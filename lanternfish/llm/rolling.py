@@ -8,6 +8,7 @@ result, two independent ones are taken together (128 bits).
 
 from __future__ import annotations
 
+import ctypes
 import functools
 
 import numpy as np
@@ -43,6 +44,13 @@ def _powers(which: int, n: int) -> tuple[np.ndarray, np.ndarray]:
     return have
 
 
+def release() -> None:
+    """Gives memory that Arrow and numpy keep after a block back to the system; workers idle beside the JVM."""
+    pa.default_memory_pool().release_unused()
+    if (trim := getattr(ctypes.CDLL(None), "malloc_trim", None)) is not None:
+        trim(0)
+
+
 def mix(h: np.ndarray) -> np.ndarray:
     """A bijection of 64 bits that spreads every bit over all bits."""
     h = h ^ (h >> U(33))

@@ -35,11 +35,10 @@ def _edges(dealt: DataFrame, branches: DataFrame, count: int, units: repeats.Uni
     block = F.pmod(F.xxhash64("first", F.lit("block")), F.lit(count)).cast("int")
 
     def spell(table: pa.Table, wanted: pa.Table) -> pa.Table:
+        rolling.release()
         out: dict[str, list] = {n: [np.zeros(0, np.int64)] for n in ("gram", "edge", "content", "offset", "first")}
         column = table["text"].combine_chunks()
-        keys, where = np.unique(table["key"].to_numpy(), return_index=True)
-        want = wanted["key"].to_numpy()
-        row = where[np.searchsorted(keys, want)] if len(keys) else want[:0]
+        row = repeats.Rows(table).rows(wanted["first"].to_numpy(), wanted["version"].to_numpy()) if table.num_rows else np.zeros(0, np.int64)
         by = np.argsort(row, kind="stable")
         row = row[by]
         got = {n: wanted[n].to_numpy()[by] for n in ("gram", "content", "first", "start", "windows")}
@@ -59,7 +58,7 @@ def _edges(dealt: DataFrame, branches: DataFrame, count: int, units: repeats.Uni
         c = {n: np.concatenate(x) for n, x in out.items()}
         return pa.table({n: pa.array(x, pa.int32() if n == "offset" else pa.int64()) for n, x in c.items()})
 
-    asked = branches.select(block.alias("block"), "gram", "content", "first", "key", "start", "windows")
+    asked = branches.select(block.alias("block"), "gram", "content", "first", "version", "start", "windows")
     return dealt.groupBy("block").cogroup(asked.groupBy("block")).applyInArrow(spell, "gram long, edge long, content long, offset int, first long")
 
 
@@ -84,7 +83,7 @@ def _digest(raw, offsets, first, places, removed) -> dict[str, pa.Array]:
 
 
 def spans(docs: DataFrame, text: str = "text", units: repeats.Units = repeats.WORDS) -> tuple[DataFrame, DataFrame, int]:
-    """(blocks, (doc_id, key, start, stop) of word ranges that repeat, number of blocks)."""
+    """(blocks, (doc_id, version, start, stop) of word ranges that repeat, number of blocks)."""
     session.ship_package(docs.sparkSession)
     dealt, size = repeats.blocks(docs, text)
     count = repeats.block_count(size)
@@ -94,7 +93,7 @@ def spans(docs: DataFrame, text: str = "text", units: repeats.Units = repeats.WO
     edges = repeats.kept(_edges(dealt, origins.join(branching, "gram"), count, units), "edges")
     least = edges.groupBy("gram", "edge").agg(F.min("first").alias("least"))
     partial = edges.join(least, ["gram", "edge"]).where("least < first").select("gram", "content", "offset")
-    return dealt, repeats.repeated_spans(found, origins, partial, units), count
+    return dealt, repeats.kept(repeats.repeated_spans(found, origins, partial, units), "spans"), count
 
 
 def deduplicate(docs: DataFrame, text: str = "text", units: repeats.Units = repeats.WORDS) -> DataFrame:

@@ -40,9 +40,8 @@ def _suffixes(dealt: DataFrame, branches: DataFrame, count: int, units: repeats.
     block = F.pmod(F.xxhash64("first", F.lit("block")), F.lit(count)).cast("int")
 
     def cut(table: pa.Table, wanted: pa.Table) -> pa.Table:
-        keys, where = np.unique(table["key"].to_numpy(), return_index=True)
-        want = wanted["key"].to_numpy()
-        row = where[np.searchsorted(keys, want)] if len(keys) else want[:0]
+        rolling.release()
+        row = repeats.Rows(table).rows(wanted["first"].to_numpy(), wanted["version"].to_numpy()) if table.num_rows else np.zeros(0, np.int64)
         raw, offsets = rolling.text_bytes(table["text"])
         begin = offsets[row] + wanted["start"].to_numpy()[: len(row)]
         lead = begin + wanted["pick"].to_numpy()[: len(row)]
@@ -52,7 +51,7 @@ def _suffixes(dealt: DataFrame, branches: DataFrame, count: int, units: repeats.
         leads = pa.array([data[i : i + units.gram] for i in lead.tolist()], pa.binary())
         return pa.table({"lead": leads, "body": body, **{n: wanted[n] for n in ("windows", "gram", "content", "first", "crowded")}})
 
-    asked = branches.select(block.alias("block"), "gram", "content", "first", "key", "start", "windows", "pick", "crowded")
+    asked = branches.select(block.alias("block"), "gram", "content", "first", "version", "start", "windows", "pick", "crowded")
     return dealt.groupBy("block").cogroup(asked.groupBy("block")).applyInArrow(cut, _SUFFIX)
 
 
@@ -108,6 +107,7 @@ def _compare(units: repeats.Units):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         carried: pa.Table | None = None
         for batch in batches:
+            rolling.release()
             rows = pa.Table.from_batches([batch])
             rows = pa.concat_tables([carried, rows]) if carried is not None else rows
             leads = rows["lead"]
@@ -148,7 +148,7 @@ def _digest(raw, offsets, first, places, removed) -> dict[str, pa.Array]:
 
 
 def spans(docs: DataFrame, text: str = "text", units: repeats.Units = repeats.BYTES, crowd: int = CROWD) -> tuple[DataFrame, DataFrame, int]:
-    """(blocks, (doc_id, key, start, stop) of byte ranges that repeat, number of blocks)."""
+    """(blocks, (doc_id, version, start, stop) of byte ranges that repeat, number of blocks)."""
     session.ship_package(docs.sparkSession)
     dealt, size = repeats.blocks(docs, text)
     count = repeats.block_count(size)
@@ -163,7 +163,7 @@ def spans(docs: DataFrame, text: str = "text", units: repeats.Units = repeats.BY
     spelled = spelled.select("gram", "content", "first", "offset", F.substring("body", F.col("offset") + 1, F.lit(units.window)).alias("window"))
     least = spelled.groupBy("window").agg(F.min("first").alias("least"))
     rest = spelled.join(least, "window").where("least < first").select("gram", "content", "offset")
-    return dealt, repeats.repeated_spans(found, origins, partial.unionByName(rest), units), count
+    return dealt, repeats.kept(repeats.repeated_spans(found, origins, partial.unionByName(rest), units), "spans"), count
 
 
 def deduplicate(docs: DataFrame, text: str = "text", units: repeats.Units = repeats.BYTES, crowd: int = CROWD) -> DataFrame:
