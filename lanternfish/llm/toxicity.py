@@ -1,15 +1,16 @@
 """Toxicity scores from class-conditional Kneser-Ney models.
 
 Words are spelled as byte n-grams within a word and its leading boundary, so an expression never seen whole is
-judged by its stem.  Toxic and ordinary text have a model each: absolute discounting over orders 3 to ORDER,
-interpolated down to a shared bigram of continuation counts, that is, in how many different words of *all*
-documents a pair of letters stands.  The difference of the two log-likelihoods, divided by length, is taken for
-the whole text and for each word; a logistic curve over these features of a text gives the score.
+judged by its stem.  Toxic and ordinary text have a model each: absolute discounting at the longest history that a
+byte has (up to ORDER - 1 letters, shorter ones at the start of a word), interpolated with a model that both share:
+Kneser-Ney over continuation counts of every order below, that is, in how many different words of *all* documents
+an n-gram stands.  The difference of the two log-likelihoods, divided by length, is taken for the whole text and
+for each word; a logistic curve over these features of a text gives the score.
 
 What is fitted on a sample: n-grams by class and the curve, on at most CLASS_ROWS labelled rows of each class
 (chosen by a hash of doc_id, the same at every run).  Half of them give the counts that the features of the
 other half are taken from, else a text would be judged by its own words.  Shared counts come from every document.
-Tables of counts have 2**BITS places by hash, so the model has a fixed bound of size.
+Counts are keyed by 64 bits of hash of the n-gram, in tables that grow with the n-grams there are.
 
 Defined results: null and empty texts have no words and get the score of all-zero features; documents are scored
 each by itself (repeated rows get equal scores); labels, language, source and id take no part in a score; where a
@@ -30,14 +31,16 @@ from lanternfish import session
 from lanternfish.llm import rolling
 
 ORDER = 6
-BITS = 17
-#: Taken off each count of texts; what is in so few texts of a class speaks through the shared counts only.
-DISCOUNT = 2.0
+#: Taken off each count, of texts and of words, and left to the order below.
+DISCOUNT = 0.75
 CLASS_ROWS = 20000
 THRESHOLD = 0.7
-_PLACES = 1 << BITS
 _INSIDE = np.array([97 <= b < 123 or b >= 128 for b in range(256)])
 _FEATURES = 6
+#: Counts that a task holds before it merges them.
+_HELD = 1 << 20
+#: Bytes scored at a time; each different word among them is looked up once.
+_STEP = 1 << 20
 
 
 def training_row(doc_id: str = "doc_id") -> Column:
@@ -56,24 +59,33 @@ def _spelled(raw: np.ndarray, offsets: np.ndarray):
     return small, starts, stops, first, np.repeat(starts, size) + within, within
 
 
-def _grams(small: np.ndarray, at: np.ndarray, within: np.ndarray, order: int):
-    """(which bytes have a longer history at this order than at the one below, place of history, place of
-    history and byte).  The boundary counts as a letter of the history."""
-    use = np.flatnonzero(within + 1 >= order - 1)
-    here = at[use]
-    sums = rolling.prefix(rolling.letters(small))
-    start = here - (order - 1)
-    whole = within[use] + 1 > order - 1  # else the history begins with the boundary
-    begin = np.where(whole, start, start + 1)
-    salt = np.where(whole, rolling.U(0), rolling.U(0x9E3779B97F4A7C15)) + rolling.U(order)
-    history = rolling.mix(rolling.span_hash(sums, begin, here) + salt)
-    gram = rolling.mix(history ^ (rolling.letters(small[here]) * rolling.U(3)))
-    shift = rolling.U(64 - BITS)
-    return use, (history >> shift).astype(np.int32), (gram >> shift).astype(np.int32)
+def _grams(small: np.ndarray, sums: np.ndarray, at: np.ndarray, within: np.ndarray, order: np.ndarray | int) -> tuple[np.ndarray, np.ndarray]:
+    """Names of the history and of history and byte, for each byte at its order.  The boundary counts as a letter of
+    the history; a byte needs within >= order - 2."""
+    whole = within > order - 2  # else the history begins with the boundary
+    salt = np.where(whole, rolling.U(0), rolling.U(0x9E3779B97F4A7C15)) + np.asarray(order).astype(np.uint64)
+    history = rolling.mix(rolling.span_hash(sums, at - np.minimum(order - 1, within), at) + salt)
+    return history, rolling.mix(history ^ (rolling.letters(small[at]) * rolling.U(3)))
+
+
+def _sums(small: np.ndarray) -> np.ndarray:
+    return rolling.prefix(rolling.letters(small))
+
+
+def _longest(within: np.ndarray) -> np.ndarray:
+    return np.minimum(within + 2, ORDER)
+
+
+def _merged(h: np.ndarray, g: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Counts summed by n-gram."""
+    by = np.argsort(g)
+    h, g, n = h[by], g[by], n[by]
+    edge = np.flatnonzero(np.append(True, g[1:] != g[:-1])[: len(g)])
+    return h[edge], g[edge], np.add.reduceat(n, edge) if len(edge) else n
 
 
 def _count(texts: DataFrame) -> DataFrame:
-    """(order of n-gram, half, class, place of history and place of gram as one key, n texts that hold it)."""
+    """(half and class, history, gram, n texts that hold it), at the longest history of each byte."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -82,20 +94,22 @@ def _count(texts: DataFrame) -> DataFrame:
                 raw, offsets = rolling.text_bytes(part.column("text"))
                 small, starts, stops, first, at, within = _spelled(raw, offsets)
                 doc = np.repeat(np.repeat(np.arange(len(part)), np.diff(first)), stops - starts)
-                kind = (part.column("half").to_numpy() * 2 + part.column("toxic").to_numpy()).astype(np.int64)
-                for order in range(3, ORDER + 1):
-                    use, h, g = _grams(small, at, within, order)
-                    once = np.unique((doc[use] << (2 * BITS)) | (h.astype(np.int64) << BITS) | g)
-                    low = (np.int64(1) << (2 * BITS)) - 1
-                    key, n = np.unique((kind[once >> (2 * BITS)] << (2 * BITS)) | (once & low), return_counts=True)
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(key), order, np.int32)), pa.array(key), pa.array(n.astype(np.int64))], names=["gram", "key", "n"])
+                use = np.flatnonzero(within > 0)
+                h, g = _grams(small, _sums(small), at[use], within[use], _longest(within[use]))
+                by = np.lexsort((g, doc[use]))
+                h, g, d = h[by], g[by], doc[use][by]
+                new = np.append(True, (g[1:] != g[:-1]) | (d[1:] != d[:-1]))[: len(g)]
+                h, g, d = h[new], g[new], d[new]
+                kind = (part.column("half").to_numpy() * 2 + part.column("toxic").to_numpy()).astype(np.int32)[d]
+                for k in range(4):
+                    x, y, n = _merged(h[kind == k], g[kind == k], np.ones((kind == k).sum(), np.int64))
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(x), k, np.int32)), pa.array(x.view(np.int64)), pa.array(y.view(np.int64)), pa.array(n)], names=["kind", "h", "g", "n"])
 
-    return texts.mapInArrow(run, "gram int, key long, n long").groupBy("gram", "key").agg(F.sum("n").alias("n"))
+    return texts.mapInArrow(run, "kind int, h long, g long, n long").groupBy("kind", "h", "g").agg(F.sum("n").alias("n"))
 
 
-def _letter_pairs(docs: DataFrame, text: str) -> np.ndarray:
-    """In how many different words of all documents each pair of letters stands (256 by 256; the boundary is
-    letter 32)."""
+def _continuations(docs: DataFrame, text: str) -> DataFrame:
+    """(history, gram, n different words of all documents that hold it), at every order below ORDER."""
 
     def vocabulary(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -107,57 +121,118 @@ def _letter_pairs(docs: DataFrame, text: str) -> np.ndarray:
                 data = small.tobytes()
                 yield pa.RecordBatch.from_arrays([pa.array([data[i:j] for i, j in zip(starts[pick].tolist(), stops[pick].tolist(), strict=True)], pa.binary())], names=["word"])
 
-    def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        found = np.zeros(65536, np.int64)
+    def grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = [(np.zeros(0, np.uint64), np.zeros(0, np.uint64), np.zeros(0, np.int64))], 0
         for batch in batches:
-            raw, offsets = rolling.text_bytes(batch.column(0))
-            if len(raw):
-                before = np.roll(raw, 1)
-                before[offsets[:-1][np.diff(offsets) > 0]] = 32
-                found += np.bincount(before.astype(np.int64) * 256 + raw, minlength=65536)
-        at = np.flatnonzero(found)
-        yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(found[at])], names=["pair", "n"])
+            for a, b in rolling.steps(batch.column(0)):
+                raw, offsets = rolling.text_bytes(batch.column(0).slice(a, b - a))
+                lengths = np.diff(offsets)
+                word, at = np.repeat(np.arange(len(lengths)), lengths), np.arange(len(raw))
+                within, sums = at - offsets[:-1][word], _sums(raw)
+                for order in range(2, ORDER):
+                    use = np.flatnonzero(within >= order - 2)
+                    h, g = _grams(raw, sums, at[use], within[use], order)
+                    _, once = np.unique(rolling.mix(g + rolling.mix(word[use].astype(np.uint64))), return_index=True)  # once for each word
+                    held.append(_merged(h[once], g[once], np.ones(len(once), np.int64)))
+                    size += len(held[-1][0])
+                if size > _HELD:
+                    held = [_merged(*(np.concatenate(x) for x in zip(*held, strict=True)))]
+                    size = 0
+        h, g, n = _merged(*(np.concatenate(x) for x in zip(*held, strict=True)))
+        yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(g.view(np.int64)), pa.array(n)], names=["h", "g", "n"])
 
     words = docs.select(F.col(text)).mapInArrow(vocabulary, "word binary").distinct()
-    rows = words.mapInArrow(pairs, "pair int, n long").groupBy("pair").agg(F.sum("n").alias("n")).toArrow()
-    out = np.zeros(65536)
-    out[rows["pair"].to_numpy()] = rows["n"].to_numpy()
-    return out.reshape(256, 256)
+    return words.mapInArrow(grams, "h long, g long, n long").groupBy("h", "g").agg(F.sum("n").alias("n"))
+
+
+class _Table:
+    """Rows of numbers by 64-bit names, found by the leading bits of a name and a few steps on from there."""
+
+    def __init__(self, names: np.ndarray, rows: np.ndarray) -> None:
+        by = np.argsort(names)
+        bits = max(int(len(names)).bit_length() + 1, 4)
+        self.shift = np.uint64(64 - bits)
+        self.names, self.rows = names[by], np.vstack([rows[by], np.zeros((1, rows.shape[1]))]).astype(np.float32)
+        self.first = np.searchsorted(self.names >> self.shift, np.arange(1 << bits, dtype=np.uint64)).astype(np.int32)
+
+    def find(self, names: np.ndarray) -> np.ndarray:
+        """The place of each name in rows; the last one, of zeros, for those not there."""
+        n = len(self.names)
+        at = self.first[(names >> self.shift).astype(np.int64)]
+        left = np.flatnonzero(at < n)
+        while len(left):
+            left = left[self.names[at[left]] < names[left]]
+            at[left] += 1
+            left = left[at[left] < n]
+        found = at < n
+        found[found] = self.names[at[found]] == names[found]
+        return np.where(found, at, n)
+
+
+def _tables(counts: list[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> tuple[_Table, _Table]:
+    """For (history, gram, n) of each model: by history (1 / total, share left to the order below), and by gram the
+    discounted count, two columns and one a model."""
+    histories = np.unique(np.concatenate([h for h, _, _ in counts]))
+    names = np.unique(np.concatenate([g for _, g, _ in counts]))
+    by_history, by_gram = np.zeros((len(histories), 2 * len(counts))), np.zeros((len(names), len(counts)))
+    for k, (h, g, n) in enumerate(counts):
+        at = np.searchsorted(histories, h)
+        total, kinds = np.bincount(at, n, len(histories)), np.bincount(at, minlength=len(histories))
+        by_history[:, 2 * k] = np.where(total > 0, 1 / np.maximum(total, 1), 0)
+        by_history[:, 2 * k + 1] = np.where(total > 0, DISCOUNT * kinds / np.maximum(total, 1), 1)
+        by_gram[np.searchsorted(names, g), k] = n - DISCOUNT
+    return _Table(histories, by_history), _Table(names, by_gram)
 
 
 class Model:
-    """Arrays to look log-likelihood ratios up in."""
-
-    def __init__(self, shared: np.ndarray, grams: dict[tuple[int, int], tuple[np.ndarray, np.ndarray, np.ndarray]]) -> None:
-        self.base = ((shared + 0.05) / (shared + 0.05).sum(axis=1, keepdims=True)).astype(np.float32)
-        self.tables = {}
-        for (order, toxic), (h, g, n) in grams.items():
-            total = np.bincount(h, n, _PLACES)
-            above = np.bincount(g, np.maximum(n - DISCOUNT, 0), _PLACES)
-            back = np.where(total > 0, np.bincount(h, np.minimum(n, DISCOUNT), _PLACES) / np.maximum(total, 1), 1)
-            self.tables[order, toxic] = tuple(x.astype(np.float32) for x in (above, 1 / np.maximum(total, 1), back))
+    """Tables to look log-likelihood ratios up in."""
+
+    def __init__(self, shared: tuple[_Table, _Table], classes: list[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> None:
+        self.shared, self.classes = shared, _tables(classes)
+
+    def _below(self, small: np.ndarray, sums: np.ndarray, at: np.ndarray, within: np.ndarray) -> np.ndarray:
+        """P(byte) of the shared model, given the history that is a letter shorter than the longest."""
+        histories, grams = self.shared
+        p = np.full(len(at), 1 / 256)
+        for order in range(2, ORDER):
+            use = np.flatnonzero(within >= order - 1)
+            h, g = _grams(small, sums, at[use], within[use], order)
+            row = histories.find(h)
+            known = row < len(histories.names)
+            use, row, g = use[known], row[known], g[known]
+            scale, back = histories.rows[row].T
+            p[use] = grams.rows[grams.find(g), 0] * scale + back * p[use]
+        return p
 
     def ratios(self, small: np.ndarray, at: np.ndarray, within: np.ndarray) -> np.ndarray:
-        """log P(byte | toxic) - log P(byte | ordinary) for each word byte."""
-        before = np.where(within > 0, small[np.maximum(at - 1, 0)], np.uint8(32))
-        p = [self.base[before, small[at]] for _ in range(2)]
-        p[1] = p[1].copy()
-        for order in range(3, ORDER + 1):
-            use, h, g = _grams(small, at, within, order)
-            for k in (0, 1):
-                above, scale, back = self.tables[order, k]
-                p[k][use] = np.minimum(above[g] * scale[h] + back[h] * p[k][use], 1)
-        return np.log(p[1] / p[0])
+        """log P(byte | toxic) - log P(byte | ordinary) for each word byte; 0 where no class knows its history."""
+        out = np.zeros(len(at))
+        use = np.flatnonzero(within > 0)
+        sums = _sums(small)
+        h, g = _grams(small, sums, at[use], within[use], _longest(within[use]))
+        row = self.classes[0].find(h)
+        known = row < len(self.classes[0].names)
+        use, row, g = use[known], row[known], g[known]
+        below, above = self._below(small, sums, at[use], within[use]), self.classes[1].rows[self.classes[1].find(g)]
+        by_history = self.classes[0].rows[row]
+        p = [above[:, k] * by_history[:, 2 * k] + by_history[:, 2 * k + 1] * below for k in (0, 1)]
+        out[use] = np.log(p[1] / p[0])
+        return out
 
     def features(self, raw: np.ndarray, offsets: np.ndarray) -> np.ndarray:
         """By text: normalised ratio of the whole, then of its words: the two greatest sums, the greatest mean,
         the share of words clearly toxic (root), and whether there are any words."""
-        small, starts, stops, first, at, within = _spelled(raw, offsets)
+        small, starts, stops, first, _, _ = _spelled(raw, offsets)
         out = np.zeros((len(offsets) - 1, _FEATURES))
         if not len(starts):
             return out
         size = stops - starts
-        words = np.add.reduceat(self.ratios(small, at, within), np.cumsum(size) - size)
+        _, pick, same = np.unique(rolling.word_hashes(small, starts, stops), return_index=True, return_inverse=True)
+        long = size[pick]  # each different word is looked up once
+        ends = np.cumsum(long)
+        offset = np.arange(ends[-1]) - np.repeat(ends - long, long)
+        letters = small[np.repeat(starts[pick], long) + offset]
+        words = np.add.reduceat(self.ratios(letters, np.arange(len(letters)), offset), ends - long)[same]
         n = np.diff(first)
         some = np.flatnonzero(n)
         begin = first[:-1][some]
@@ -200,25 +275,22 @@ def train(docs: DataFrame, labels: DataFrame, text: str = "text", class_rows: in
     chosen = known.where(part < share).withColumn("half", F.pmod(F.xxhash64("doc_id", F.lit("half")), F.lit(2)).cast("int")).withColumn("toxic", F.col("toxic").cast("int"))
     # class_rows bounds this side: two classes of so many rows of three numbers
     texts = session.written(docs.select("doc_id", F.col(text).alias("text")).where("text is not null").join(F.broadcast(chosen), "doc_id"), "toxicity-sample")
+    names = lambda rows: (rows[c].to_numpy().view(np.uint64) for c in ("h", "g"))
     rows = _count(texts).toArrow()
-    order, key, n = (rows[c].to_numpy() for c in ("gram", "key", "n"))
-    g, h, kind = key & (_PLACES - 1), (key >> BITS) & (_PLACES - 1), key >> (2 * BITS)
-    shared = _letter_pairs(docs, text)
+    kind, n = rows["kind"].to_numpy(), rows["n"].to_numpy()
+    h, g = names(rows)
+    every = _continuations(docs, text).toArrow()
+    shared = _tables([(*names(every), every["n"].to_numpy())])
 
     def model(halves: tuple[int, ...]) -> Model:
-        grams = {}
-        for o in range(3, ORDER + 1):
-            for toxic in (0, 1):
-                use = (order == o) & ((kind & 1) == toxic) & np.isin(kind >> 1, halves)
-                both, inverse = np.unique((h[use] << BITS) | g[use], return_inverse=True)
-                grams[o, toxic] = (both >> BITS, both & (_PLACES - 1), np.bincount(inverse, n[use], len(both)))
-        return Model(shared, grams)
+        uses = [((kind & 1) == toxic) & np.isin(kind >> 1, halves) for toxic in (0, 1)]
+        return Model(shared, [_merged(h[use], g[use], n[use]) for use in uses])
 
     crossed = texts.sparkSession.sparkContext.broadcast((model((1,)), model((0,))))
 
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for a, b in rolling.steps(batch.column("text")):
+            for a, b in rolling.steps(batch.column("text"), _STEP):
                 part = batch.slice(a, b - a)
                 raw, offsets = rolling.text_bytes(part.column("text"))
                 half = part.column("half").to_numpy()
@@ -240,7 +312,7 @@ def score(docs: DataFrame, labels: DataFrame, text: str = "text", threshold: flo
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for a, b in rolling.steps(batch.column(text)):
+            for a, b in rolling.steps(batch.column(text), _STEP):
                 part = batch.slice(a, b - a)
                 if fitted.value is None:
                     found = np.zeros(len(part))
