@@ -3,10 +3,11 @@
 A page is read into nodes once; scripts, styles, forms and elements that name themselves boilerplate (menus,
 page headers and footers, sidebars, adverts, notices, reader comments) are left out while reading.  Every other
 node gets its composite density: characters per tag, weighted down by the share of its characters and tags that
-are links, against the page's own share.  The sum of its children's densities ranks a node.  Where a page marks
-its article (article, main), the marked element of the greatest sum is the text.  Elsewhere the node of the
-greatest sum sets a threshold, the least density on its path up to the body, and every branch from the body
-down that keeps to the threshold gives its best node.
+are links, against the page's own share.  The sum of its children's densities ranks a node.  On every page the node
+of the greatest sum sets a threshold, the least density on its path up to the body, and every branch from the body
+down that keeps to the threshold gives its best node.  Marks (article, main) are a hint on top of that: a node below
+one stands for the outermost marked element around it, and other outermost marked elements are kept too, unless most
+of their characters are links.
 
 Blocks are the runs of text between block elements; white space in them becomes one space, references are
 decoded, empty ones go, and two line feeds join them.
@@ -209,6 +210,22 @@ class _Page:
                 part = []
         return out
 
+    def outermost(self) -> list[int]:
+        """For each node the outermost marked element that it is or is in, else -1."""
+        out: list[int] = []
+        for tag, parent in zip(self.tag, self.parent, strict=True):
+            above = out[parent] if parent >= 0 else -1
+            out.append(above if above >= 0 else len(out) if tag in ("article", "main") else -1)
+        return out
+
+    def mostly_links(self, node: int) -> bool:
+        chars = links = 0
+        for i in range(node, len(self.tag)):
+            if self.begin[i] < self.begin[node] or self.end[i] > self.end[node]:
+                break
+            chars, links = chars + self.chars[i], links + self.link_chars[i]
+        return 2 * links > chars
+
     def densities(self) -> tuple[list[float], list[float]]:
         """Composite density of each node and the sum over its children."""
         n = len(self.tag)
@@ -241,10 +258,10 @@ def main_blocks(source: str | None) -> list[str]:
         return []
     page = _Page(source)
     density, total = page.densities()
-    for kind in ("article", "main"):
-        if marked := [i for i, t in enumerate(page.tag) if t == kind and page.blocks(i)]:
-            return page.blocks(max(marked, key=lambda i: (total[i], -i)))
-    best = max(range(len(page.tag)), key=lambda i: (total[i], -i))
+    outer = page.outermost()
+    kept = {m for m in set(outer) - {-1} if page.blocks(m) and not page.mostly_links(m)}
+    whole = ("#root", "html", "body")
+    best = max((i for i, t in enumerate(page.tag) if not kept or t not in whole), key=lambda i: (total[i], -i))
     threshold, node = density[best], best
     while node >= 0 and page.tag[node] not in ("body", "html"):
         threshold, node = min(threshold, density[node]), page.parent[node]
@@ -254,15 +271,21 @@ def main_blocks(source: str | None) -> list[str]:
         children.setdefault(p, []).append(i)
     if best == top or not children.get(top):
         return page.blocks(top)
-    out: list[str] = []
-    for branch in children[top]:  # later branches follow in page order
+    chosen = set(kept)
+    for branch in children[top]:
         if density[branch] >= threshold:
             found, queue = branch, [branch]
             while queue:
                 x = queue.pop()
                 found = x if total[x] > total[found] else found
                 queue += children.get(x, [])
-            out += page.blocks(found)
+            chosen.add(outer[found] if outer[found] >= 0 else found)
+    out: list[str] = []
+    stop = -1
+    for node in sorted(chosen, key=lambda i: (page.begin[i], -page.end[i])):  # page order; a node within a chosen one is there already
+        if page.begin[node] >= stop:
+            out += page.blocks(node)
+            stop = page.end[node]
     return out
 
 
