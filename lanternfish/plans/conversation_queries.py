@@ -130,6 +130,12 @@ def stream_fold(spark, sf_dir):
     return conversation.fold_responses(QUERIES["stream_classify_batch"](spark, sf_dir).join(rows, "stream_id", "left_anti"))
 
 
+@query()
+def stream_fold_whole(spark, sf_dir):
+    """Over every stream, those with braces or a code fence in their text too."""
+    return conversation.fold_responses(QUERIES["stream_classify_batch"](spark, sf_dir))
+
+
 @query("SELECT conv_id, turn, row_number() OVER (PARTITION BY conv_id ORDER BY turn) :: INTEGER AS position FROM conversations")
 def message_positions(spark, sf_dir):
     w = Window.partitionBy("conv_id").orderBy("turn")

@@ -73,9 +73,19 @@ def call_complete(spark, sf_dir):
     return _calls(spark, sf_dir).select("conv_id", "turn", parsing.is_call_complete(F.col("raw"), F.col("family")).alias("complete"))
 
 
+def _definitely_text(rows: DataFrame) -> DataFrame:
+    return rows.select("conv_id", "turn", parsing.is_definitely_text(F.col("raw")).alias("text"))
+
+
 @query(f"WITH {_CALLS} SELECT conv_id, turn, kind = 4 AS text FROM c WHERE kind != 3")
 def definitely_text(spark, sf_dir):
-    return _calls(spark, sf_dir).where("kind != 3").select("conv_id", "turn", parsing.is_definitely_text(F.col("raw")).alias("text"))
+    return _definitely_text(_calls(spark, sf_dir).where("kind != 3"))
+
+
+@query()
+def definitely_text_whole(spark, sf_dir):
+    """Over every row, calls of the function family too."""
+    return _definitely_text(_calls(spark, sf_dir))
 
 
 @query(f"WITH {_CALLS}, t AS (SELECT conv_id, turn, CASE WHEN turn % 2 = 0 THEN raw ELSE raw || '}}' END AS raw FROM c) SELECT conv_id, turn, contains(raw, '{{') AND len(raw) - len(replace(raw, '{{', '')) = len(raw) - len(replace(raw, '}}', '')) AS balanced FROM t")
@@ -179,14 +189,32 @@ def base64_round_trip(spark, sf_dir):
 
 @query("SELECT doc_id, base64(encode(text)) AS longest, '[IMAGE_DATA]' AS sanitized FROM documents WHERE octet_length(encode(text)) BETWEEN 90 AND 600")
 def base64_runs(spark, sf_dir):
-    rows = session.table(spark, sf_dir, "documents").where("octet_length(text) between 90 and 600")
+    return _base64_runs(session.table(spark, sf_dir, "documents").where("octet_length(text) between 90 and 600"))
+
+
+@query()
+def base64_runs_whole(spark, sf_dir):
+    """Over every row, those without a run and those that are cut off too."""
+    return _base64_runs(session.table(spark, sf_dir, "documents"))
+
+
+def _base64_runs(rows: DataFrame) -> DataFrame:
     p = quality.to_base64(F.col("text").cast("binary"))
     return rows.select("doc_id", quality.longest_base64(p).alias("longest"), quality.sanitized(p, 2000).alias("sanitized"))
 
 
 @query("SELECT doc_id, CASE WHEN octet_length(encode(text)) < 51200 THEN 200 ELSE 400 END :: INTEGER AS side, round(896.0 :: DOUBLE * (doc_id % 50 + 60) / 60, 6) AS width FROM documents WHERE octet_length(encode(text)) < 204800 AND doc_id % 50 > 0")
 def image_geometry(spark, sf_dir):
-    rows = session.table(spark, sf_dir, "documents").where("octet_length(text) < 204800 and doc_id % 50 > 0")
+    return _image_geometry(session.table(spark, sf_dir, "documents").where("octet_length(text) < 204800 and doc_id % 50 > 0"))
+
+
+@query()
+def image_geometry_whole(spark, sf_dir):
+    """Over every row, those of all four sides and of equal width and height too."""
+    return _image_geometry(session.table(spark, sf_dir, "documents"))
+
+
+def _image_geometry(rows: DataFrame) -> DataFrame:
     return rows.select("doc_id", quality.estimated_side(F.octet_length("text")).alias("side"), F.round(quality.cover(F.col("doc_id") % 50 + 60, F.lit(60))["width"], 6).alias("width"))
 
 
@@ -289,7 +317,16 @@ def token_errors(spark, sf_dir):
 
 @query("SELECT doc_id, 'User provided an image but it could not be processed properly. ' || CASE WHEN doc_id % 2 = 0 THEN 'Error: e. ' ELSE '' END || 'Please respond to the following text only: ' || text AS prompt, 2 :: INTEGER AS tokens FROM documents WHERE NOT contains(text, 'image_data')")
 def image_prompts(spark, sf_dir):
-    docs = session.table(spark, sf_dir, "documents").where("not contains(text, 'image_data')")
+    return _image_prompts(session.table(spark, sf_dir, "documents").where("not contains(text, 'image_data')"))
+
+
+@query()
+def image_prompts_whole(spark, sf_dir):
+    """Over every row, texts with a mark of images too."""
+    return _image_prompts(session.table(spark, sf_dir, "documents"))
+
+
+def _image_prompts(docs: DataFrame) -> DataFrame:
     error = F.when(F.col("doc_id") % 2 == 0, "e")
     marked = quality.image_prompt(F.lit("see image_data"), F.lit("abc"), "instruct")
     return docs.select("doc_id", quality.fallback_prompt(F.col("text"), error).alias("prompt"), quality.image_tokens(marked).alias("tokens"))
