@@ -9,7 +9,9 @@ prefix holds only shingles of its own links with nothing, and most go that way.
 Counts travel as in `repeats`: blocks of documents send each different shingle once, as a 32-bit print with a count,
 and get back the prints that stand in several documents.  Prints that collide only make a shingle look less rare.
 
-Prefix shingles of representatives are then joined.  Not all pairs of a shingle are made: in each of STARS rounds
+Prefix shingles of representatives are then joined.  links() makes every pair that shares one, at the first shingle
+that the two share, and verifies it once; linked() reduces its pairs to components.  join() gives these components
+alone, from fewer pairs: in each of STARS rounds
 the holders of a shingle meet one of them, unless they are linked already: in the first round the same one for all
 shingles of a group, then another for each shingle and round.  Shingles all of whose holders are linked are settled.
 What is not settled after that meets pair by pair, at the first shingle that two share, only where they aren't
@@ -206,8 +208,8 @@ def _filtered(pairs: DataFrame, percent: int) -> DataFrame:
     return pairs.where(f"a != b and {_passes(percent)}").select("a", "b").distinct()
 
 
-def join(docs: DataFrame, text: str = "text", shingle: int = SHINGLE, percent: int = PERCENT, stars: int = STARS) -> DataFrame:
-    """One row for each row of docs: doc_id, n_shingles, component_id."""
+def _prepared(docs: DataFrame, text: str, shingle: int, percent: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Rows with their representatives, the representatives' sets, and those of their prefix shingles that two hold."""
     session.ship_package(docs.sparkSession)
     dealt, size = repeats.blocks(docs, text)
     sets = session.written(_sets(dealt, size, shingle, percent), "sets")
@@ -218,9 +220,49 @@ def join(docs: DataFrame, text: str = "text", shingle: int = SHINGLE, percent: i
     texts = session.written(chosen.select("rep", "n", "tokens", "places", "parts", "text"), "representatives")
     tokens = texts.select("rep", "n", F.explode(F.arrays_zip("tokens", "places")).alias("t")).select(F.col("t.tokens").alias("token"), F.col("t.places").alias("place"), "rep", "n")
     several = tokens.groupBy("token").agg(F.min("rep").alias("x"), F.max("rep").alias("y")).where("x < y").select("token")
-    open_ = session.written(tokens.join(several, "token").withColumn("label", F.col("rep")), "tokens")
+    return rows, texts, session.written(tokens.join(several, "token").withColumn("label", F.col("rep")), "tokens")
+
+
+def _pair_by_pair(open_: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
+    """Pairs of different labels, each at the first shingle that the two share."""
+    prefix = texts.select("rep", "tokens", "parts")
+    before = F.slice("tokens", 1, F.greatest(F.array_position("tokens", F.col("token")).cast("int") - 1, F.lit(0)))
+    rest = open_.join(prefix, "rep").select("token", "rep", "n", "place", "label", "parts", before.alias("before"))
+    left = rest.select("token", F.col("rep").alias("a"), F.col("n").alias("na"), F.col("place").alias("pa"), F.col("label").alias("la"), F.col("parts").alias("ha"), F.col("before").alias("xa"))
+    right = rest.select("token", F.col("rep").alias("b"), F.col("n").alias("nb"), F.col("place").alias("pb"), F.col("label").alias("lb"), F.col("parts").alias("hb"), F.col("before").alias("xb"))
+    first = ~F.arrays_overlap("xa", "xb")  # a pair is made at its first common shingle only
+    apart = F.aggregate(F.zip_with("ha", "hb", lambda x, y: F.abs(x - y)), F.lit(0), lambda c, x: c + x)
+    near = apart <= F.expr(f"na + nb - 2 * ({_need(percent)})")  # the suffix filter, before a row is made
+    return left.join(right, (left["token"] == right["token"]) & F.expr("a < b and la != lb") & F.expr(_passes(percent)) & near & first)
+
+
+def links(docs: DataFrame, text: str = "text", shingle: int = SHINGLE, percent: int = PERCENT) -> tuple[DataFrame, DataFrame]:
+    """All links between different sets as pairs (a, b) of class representatives, a < b, and one row for each row of
+    docs: doc_id, n_shingles, class_id, n_links (of its class with other classes).  Every candidate pair is verified
+    once, so pairs grow with the links there are."""
+    rows, texts, open_ = _prepared(docs, text, shingle, percent)
+    pairs = session.written(_verified(_filtered(_pair_by_pair(open_, texts, percent), percent), texts, shingle, percent), "links")
+    ends = pairs.select(F.col("a").alias("end")).unionByName(pairs.select(F.col("b").alias("end")))
+    held = ends.groupBy("end").agg(F.count("*").alias("k"))
+    members = rows.join(held, rows["rep"] == held["end"], "left")
+    return pairs, members.select("doc_id", F.col("n").cast("long").alias("n_shingles"), F.col("rep").alias("class_id"), F.coalesce("k", F.lit(0)).cast("long").alias("n_links"))
+
+
+def linked(pairs: DataFrame, members: DataFrame) -> DataFrame:
+    """doc_id, n_shingles, component_id of what links() gives."""
+    some = members.where("class_id is not null")
+    one = some.groupBy("doc_id").agg(F.min("class_id").alias("a"), F.max("class_id").alias("b")).where("a < b").select("a", "b")
+    labels = components(pairs.unionByName(one))
+    out = members.join(labels, members["class_id"] == labels["node"], "left")
+    component = F.when(F.col("class_id").isNull(), F.col("doc_id")).otherwise(F.coalesce("root", "class_id"))
+    return out.select("doc_id", "n_shingles", component.alias("component_id"))
+
+
+def join(docs: DataFrame, text: str = "text", shingle: int = SHINGLE, percent: int = PERCENT, stars: int = STARS) -> DataFrame:
+    """One row for each row of docs: doc_id, n_shingles, component_id."""
+    rows, texts, open_ = _prepared(docs, text, shingle, percent)
     one = rows.where("rep is not null").groupBy("doc_id").agg(F.min("rep").alias("a"), F.max("rep").alias("b")).where("a < b").select("a", "b")
-    links = [session.written(one, "links")]
+    found = [session.written(one, "links")]
     for r in range(stars + 1):
         if open_.isEmpty():
             break
@@ -229,27 +271,19 @@ def join(docs: DataFrame, text: str = "text", shingle: int = SHINGLE, percent: i
             middle = open_.groupBy("token").agg(F.min_by(F.struct("rep", "n", "place", "label"), rank).alias("m"))
             met = open_.join(middle, "token").where("label != m.label").select(F.col("m.rep").alias("a"), F.col("m.n").alias("na"), F.col("m.place").alias("pa"), F.col("rep").alias("b"), F.col("n").alias("nb"), F.col("place").alias("pb"))
         else:
-            prefix = texts.select("rep", "tokens", "parts")
-            before = F.slice("tokens", 1, F.greatest(F.array_position("tokens", F.col("token")).cast("int") - 1, F.lit(0)))
-            rest = open_.join(prefix, "rep").select("token", "rep", "n", "place", "label", "parts", before.alias("before"))
-            left = rest.select("token", F.col("rep").alias("a"), F.col("n").alias("na"), F.col("place").alias("pa"), F.col("label").alias("la"), F.col("parts").alias("ha"), F.col("before").alias("xa"))
-            right = rest.select("token", F.col("rep").alias("b"), F.col("n").alias("nb"), F.col("place").alias("pb"), F.col("label").alias("lb"), F.col("parts").alias("hb"), F.col("before").alias("xb"))
-            first = ~F.arrays_overlap("xa", "xb")  # a pair is made at its first common shingle only
-            apart = F.aggregate(F.zip_with("ha", "hb", lambda x, y: F.abs(x - y)), F.lit(0), lambda c, x: c + x)
-            near = apart <= F.expr(f"na + nb - 2 * ({_need(percent)})")  # the suffix filter, before a row is made
-            met = left.join(right, (left["token"] == right["token"]) & F.expr("a < b and la != lb") & F.expr(_passes(percent)) & near & first)
-        links.append(session.written(_verified(_filtered(met, percent), texts, shingle, percent), "links"))
+            met = _pair_by_pair(open_, texts, percent)
+        found.append(session.written(_verified(_filtered(met, percent), texts, shingle, percent), "links"))
         if r == stars:
             break
-        every = links[0]
-        for x in links[1:]:
+        every = found[0]
+        for x in found[1:]:
             every = every.unionByName(x)
         labels = components(every)
         named = open_.drop("label").join(labels, open_["rep"] == labels["node"], "left").select("token", "place", "rep", "n", F.coalesce("root", "rep").alias("label"))
         unsettled = named.groupBy("token").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x < y").select("token")
         open_ = session.written(named.join(unsettled, "token"), "tokens")
-    every = links[0]
-    for x in links[1:]:
+    every = found[0]
+    for x in found[1:]:
         every = every.unionByName(x)
     labels = components(every)
     out = rows.join(labels, rows["rep"] == labels["node"], "left")
