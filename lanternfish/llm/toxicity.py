@@ -1,20 +1,29 @@
-"""Toxicity scores from class-conditional Kneser-Ney models.
+"""Toxicity scores from class-conditional Kneser-Ney models of how words are spelled.
 
-Words are spelled as byte n-grams within a word and its leading boundary, so an expression never seen whole is
-judged by its stem.  Toxic and ordinary text have a model each: absolute discounting at the longest history that a
-byte has (up to ORDER - 1 letters, shorter ones at the start of a word), interpolated with a model that both share:
-Kneser-Ney over continuation counts of every order below, that is, in how many different words of *all* documents
-an n-gram stands.  The difference of the two log-likelihoods, divided by length, is taken for the whole text and
-for each word; a logistic curve over these features of a text gives the score.
+A word is its bytes behind a boundary.  Toxic and ordinary text have a model each: every byte is counted, at each of
+its occurrences, with the longest history it has (up to ORDER - 1 bytes, from the boundary on at the start of a word),
+discounted absolutely and interpolated with a model that both share: Kneser-Ney over the continuation counts of every
+lower order, that is, how many different bytes (the boundary is one) stand before an n-gram in the words of *all*
+documents.  As the first byte is judged too, the ratio of a word's likelihoods up to some byte is the ratio of the
+rates at which words begin that way: an expression that either class uses more often shows at its stem, in any
+language, whatever follows.
+
+A text's features are the difference of its two log-likelihoods by length, the same for the best stem of each word
+(the greatest ratio of a beginning, 0 at least), the five best stems, the number and share of clearly toxic ones, and
+the length; a logistic curve over them gives the score.
 
 What is fitted on a sample: n-grams by class and the curve, on at most CLASS_ROWS labelled rows of each class
-(chosen by a hash of doc_id, the same at every run).  Half of them give the counts that the features of the
-other half are taken from, else a text would be judged by its own words.  Shared counts come from every document.
-Counts are keyed by 64 bits of hash of the n-gram, in tables that grow with the n-grams there are.
+(chosen by a hash of doc_id, the same at every run).  They lie in FOLDS parts, and the features of one part come from
+counts of the others, else a text would be judged by its own words.  Shared counts come from every document, in a
+table that grows with them; only those that the sample's n-grams back off to are read from it, so what the driver
+collects and sends out is bounded by the sample.  An n-gram's name is its bytes, in a number of 64 bits, so no two
+share a place.
 
 Defined results: null and empty texts have no words and get the score of all-zero features; documents are scored
 each by itself (repeated rows get equal scores); labels, language, source and id take no part in a score; where a
-class has no training row, every score is 0.  Extra columns are kept.
+class has no training row, every score is 0; a row without a doc_id isn't held out and teaches nothing; texts of any
+length are scored whole, a text of more than a step's bytes in a step of its own.  Extra columns are kept; columns
+named held_out, score or predicted are replaced.
 """
 
 from __future__ import annotations
@@ -30,17 +39,24 @@ from pyspark.sql import types as T
 from lanternfish import session
 from lanternfish.llm import rolling
 
-ORDER = 6
-#: Taken off each count, of texts and of words, and left to the order below.
+#: Bytes of an n-gram at most, the boundary included: as many as fit its name.
+ORDER = 8
+#: Taken off each count and left to the order below.
 DISCOUNT = 0.75
 CLASS_ROWS = 20000
+FOLDS = 8
 THRESHOLD = 0.7
+BOUNDARY = 32
 _INSIDE = np.array([97 <= b < 123 or b >= 128 for b in range(256)])
-_FEATURES = 6
-#: Counts that a task holds before it merges them.
+_BEST = 5
+_FEATURES = _BEST + 9
+#: A stem begins to count as clearly toxic at this log ratio, and counts in full from _CLEAR + 2.
+_CLEAR = 3.0
+#: Different n-grams that a task holds before it merges them.
 _HELD = 1 << 20
 #: Bytes scored at a time; each different word among them is looked up once.
 _STEP = 1 << 20
+_U = np.uint64
 
 
 def training_row(doc_id: str = "doc_id") -> Column:
@@ -48,116 +64,101 @@ def training_row(doc_id: str = "doc_id") -> Column:
     return F.pmod(F.crc32(F.col(doc_id).cast("string")), F.lit(3)) != 1
 
 
-def _spelled(raw: np.ndarray, offsets: np.ndarray):
-    """(small letters, word starts, word stops, first word of each text, place in the text of each word byte,
-    its offset within the word)."""
+def _words(raw: np.ndarray, offsets: np.ndarray):
+    """(small letters, word starts, word stops, first word of each text)."""
     small = rolling.lower(raw)
-    starts, stops, first = rolling.words(small, offsets, ~_INSIDE[small])
+    return small, *rolling.words(small, offsets, ~_INSIDE[small])
+
+
+def grams(letters: np.ndarray, within: np.ndarray) -> np.ndarray:
+    """The longest n-gram that ends at each byte of words laid end to end; within: a byte's place in its word.  An
+    n-gram's bytes, the last one lowest, are its name; what precedes the last byte, its history, is name >> 8."""
+    out = letters.astype(_U)
+    for back in range(1, ORDER):
+        byte = np.zeros(len(letters), _U)
+        byte[back:] = letters[: max(len(letters) - back, 0)]
+        byte[within == back - 1] = BOUNDARY
+        byte[within < back - 1] = 0
+        out |= byte << _U(8 * back)
+    return out
+
+
+def _different(raw: np.ndarray, offsets: np.ndarray):
+    """(letters of each different word end to end, within, end of each, which of them each word is, word sizes,
+    first word of each text)."""
+    small, starts, stops, first = _words(raw, offsets)
     size = stops - starts
-    ends = np.cumsum(size)
-    within = np.arange(ends[-1] if len(ends) else 0) - np.repeat(ends - size, size)
-    return small, starts, stops, first, np.repeat(starts, size) + within, within
+    _, pick, same = np.unique(rolling.word_hashes(small, starts, stops), return_index=True, return_inverse=True)
+    ends = np.cumsum(size[pick])
+    within = np.arange(ends[-1] if len(ends) else 0) - np.repeat(ends - size[pick], size[pick])
+    return small[np.repeat(starts[pick], size[pick]) + within], within, ends, same, size, first
 
 
-def _grams(small: np.ndarray, sums: np.ndarray, at: np.ndarray, within: np.ndarray, order: np.ndarray | int) -> tuple[np.ndarray, np.ndarray]:
-    """Names of the history and of history and byte, for each byte at its order.  The boundary counts as a letter of
-    the history; a byte needs within >= order - 2."""
-    whole = within > order - 2  # else the history begins with the boundary
-    salt = np.where(whole, rolling.U(0), rolling.U(0x9E3779B97F4A7C15)) + np.asarray(order).astype(np.uint64)
-    history = rolling.mix(rolling.span_hash(sums, at - np.minimum(order - 1, within), at) + salt)
-    return history, rolling.mix(history ^ (rolling.letters(small[at]) * rolling.U(3)))
+def _count(texts: DataFrame) -> DataFrame:
+    """(g, n0, n1, ...): how often each n-gram stands at the longest in the texts of each kind, 2 * fold + class."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for a, b in rolling.steps(batch.column("text"), _STEP):
+                part = batch.slice(a, b - a)
+                small, starts, stops, first = _words(*rolling.text_bytes(part.column("text")))
+                size = stops - starts
+                ends = np.cumsum(size)
+                within = np.arange(ends[-1] if len(ends) else 0) - np.repeat(ends - size, size)
+                g = grams(small[np.repeat(starts, size) + within], within)
+                kind = np.repeat(np.repeat(part.column("kind").to_numpy(), np.diff(first)), size)
+                for k in np.unique(kind):
+                    x, n = np.unique(g[kind == k], return_counts=True)
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(x), k, np.int32)), pa.array(x.view(np.int64)), pa.array(n)], names=["kind", "g", "n"])
 
-def _sums(small: np.ndarray) -> np.ndarray:
-    return rolling.prefix(rolling.letters(small))
+    each = [F.sum(F.when(F.col("kind") == k, F.col("n")).otherwise(0)).cast("int").alias(f"n{k}") for k in range(2 * FOLDS)]
+    return texts.mapInArrow(run, "kind int, g long, n long").groupBy("g").agg(*each)
 
 
-def _longest(within: np.ndarray) -> np.ndarray:
-    return np.minimum(within + 2, ORDER)
+def _longest(docs: DataFrame, text: str) -> DataFrame:
+    """(g): the n-grams, at the longest, of all words of all documents."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = [np.zeros(0, _U)], 0
+        for batch in batches:
+            for a, b in rolling.steps(batch.column(0), _STEP):
+                letters, within, *_ = _different(*rolling.text_bytes(batch.column(0).slice(a, b - a)))
+                held.append(np.unique(grams(letters, within)))
+                size += len(held[-1])
+                if size > _HELD:
+                    held, size = [np.unique(np.concatenate(held))], 0
+        yield pa.RecordBatch.from_arrays([pa.array(np.unique(np.concatenate(held)).view(np.int64))], names=["g"])
 
-def _merged(h: np.ndarray, g: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Counts summed by n-gram."""
-    by = np.argsort(g)
-    h, g, n = h[by], g[by], n[by]
-    edge = np.flatnonzero(np.append(True, g[1:] != g[:-1])[: len(g)])
-    return h[edge], g[edge], np.add.reduceat(n, edge) if len(edge) else n
+    return docs.select(F.col(text)).mapInArrow(run, "g long").distinct()
 
 
-def _count(texts: DataFrame) -> DataFrame:
-    """(half and class, history, gram, n texts that hold it), at the longest history of each byte."""
+def _mask(order: int) -> Column:
+    return F.lit((1 << 8 * order) - 1).cast("long")
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for a, b in rolling.steps(batch.column("text"), 1 << 20):
-                part = batch.slice(a, b - a)
-                raw, offsets = rolling.text_bytes(part.column("text"))
-                small, starts, stops, first, at, within = _spelled(raw, offsets)
-                doc = np.repeat(np.repeat(np.arange(len(part)), np.diff(first)), stops - starts)
-                use = np.flatnonzero(within > 0)
-                h, g = _grams(small, _sums(small), at[use], within[use], _longest(within[use]))
-                by = np.lexsort((g, doc[use]))
-                h, g, d = h[by], g[by], doc[use][by]
-                new = np.append(True, (g[1:] != g[:-1]) | (d[1:] != d[:-1]))[: len(g)]
-                h, g, d = h[new], g[new], d[new]
-                kind = (part.column("half").to_numpy() * 2 + part.column("toxic").to_numpy()).astype(np.int32)[d]
-                for k in range(4):
-                    x, y, n = _merged(h[kind == k], g[kind == k], np.ones((kind == k).sum(), np.int64))
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(x), k, np.int32)), pa.array(x.view(np.int64)), pa.array(y.view(np.int64)), pa.array(n)], names=["kind", "h", "g", "n"])
-
-    return texts.mapInArrow(run, "kind int, h long, g long, n long").groupBy("kind", "h", "g").agg(F.sum("n").alias("n"))
-
-
-def _continuations(docs: DataFrame, text: str) -> DataFrame:
-    """(history, gram, n different words of all documents that hold it), at every order below ORDER."""
-
-    def vocabulary(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for a, b in rolling.steps(batch.column(0), 4 << 20):
-                raw, offsets = rolling.text_bytes(batch.column(0).slice(a, b - a))
-                small = rolling.lower(raw)
-                starts, stops, _ = rolling.words(small, offsets, ~_INSIDE[small])
-                _, pick = np.unique(rolling.word_hashes(small, starts, stops), return_index=True)
-                data = small.tobytes()
-                yield pa.RecordBatch.from_arrays([pa.array([data[i:j] for i, j in zip(starts[pick].tolist(), stops[pick].tolist(), strict=True)], pa.binary())], names=["word"])
-
-    def grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, size = [(np.zeros(0, np.uint64), np.zeros(0, np.uint64), np.zeros(0, np.int64))], 0
-        for batch in batches:
-            for a, b in rolling.steps(batch.column(0)):
-                raw, offsets = rolling.text_bytes(batch.column(0).slice(a, b - a))
-                lengths = np.diff(offsets)
-                word, at = np.repeat(np.arange(len(lengths)), lengths), np.arange(len(raw))
-                within, sums = at - offsets[:-1][word], _sums(raw)
-                for order in range(2, ORDER):
-                    use = np.flatnonzero(within >= order - 2)
-                    h, g = _grams(raw, sums, at[use], within[use], order)
-                    _, once = np.unique(rolling.mix(g + rolling.mix(word[use].astype(np.uint64))), return_index=True)  # once for each word
-                    held.append(_merged(h[once], g[once], np.ones(len(once), np.int64)))
-                    size += len(held[-1][0])
-                if size > _HELD:
-                    held = [_merged(*(np.concatenate(x) for x in zip(*held, strict=True)))]
-                    size = 0
-        h, g, n = _merged(*(np.concatenate(x) for x in zip(*held, strict=True)))
-        yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(g.view(np.int64)), pa.array(n)], names=["h", "g", "n"])
 
-    words = docs.select(F.col(text)).mapInArrow(vocabulary, "word binary").distinct()
-    return words.mapInArrow(grams, "h long, g long, n long").groupBy("h", "g").agg(F.sum("n").alias("n"))
+def _continuations(longest: DataFrame, wanted: DataFrame) -> DataFrame:
+    """(g, n): in how many different bytes the n-grams of orders 2 to ORDER - 1 are continued to the left, for those
+    whose history (h) is wanted."""
+    g = F.col("g")
+    suffixes = F.array(*[F.when(F.shiftrightunsigned(g, 8 * o) != 0, F.struct(g.bitwiseAND(_mask(o)).alias("g"), g.bitwiseAND(_mask(o + 1) if o + 1 < 8 else F.lit(-1).cast("long")).alias("left"))) for o in range(2, ORDER)])
+    parts = longest.select(F.explode(F.filter(suffixes, lambda x: x.isNotNull())).alias("s")).select("s.g", "s.left", F.shiftrightunsigned("s.g", 8).alias("h"))
+    return parts.join(wanted, "h", "left_semi").select("g", "left").distinct().groupBy("g").agg(F.count("*").alias("n"))
 
 
 class _Table:
-    """Rows of numbers by 64-bit names, found by the leading bits of a name and a few steps on from there."""
+    """Rows of numbers by 64-bit names, found by the leading bits of a mixed name and a few steps on from there."""
 
     def __init__(self, names: np.ndarray, rows: np.ndarray) -> None:
+        names = rolling.mix(names)
         by = np.argsort(names)
         bits = max(int(len(names)).bit_length() + 1, 4)
-        self.shift = np.uint64(64 - bits)
-        self.names, self.rows = names[by], np.vstack([rows[by], np.zeros((1, rows.shape[1]))]).astype(np.float32)
-        self.first = np.searchsorted(self.names >> self.shift, np.arange(1 << bits, dtype=np.uint64)).astype(np.int32)
+        self.shift = _U(64 - bits)
+        self.names, self.rows = names[by], np.vstack([rows[by], np.zeros((1, rows.shape[1]), np.float32)])
+        self.first = np.searchsorted(self.names >> self.shift, np.arange(1 << bits, dtype=_U)).astype(np.int32)
 
     def find(self, names: np.ndarray) -> np.ndarray:
         """The place of each name in rows; the last one, of zeros, for those not there."""
-        n = len(self.names)
+        names, n = rolling.mix(names), len(self.names)
         at = self.first[(names >> self.shift).astype(np.int64)]
         left = np.flatnonzero(at < n)
         while len(left):
@@ -169,84 +170,73 @@ class _Table:
         return np.where(found, at, n)
 
 
-def _tables(counts: list[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> tuple[_Table, _Table]:
-    """For (history, gram, n) of each model: by history (1 / total, share left to the order below), and by gram the
-    discounted count, two columns and one a model."""
-    histories = np.unique(np.concatenate([h for h, _, _ in counts]))
-    names = np.unique(np.concatenate([g for _, g, _ in counts]))
-    by_history, by_gram = np.zeros((len(histories), 2 * len(counts))), np.zeros((len(names), len(counts)))
-    for k, (h, g, n) in enumerate(counts):
-        at = np.searchsorted(histories, h)
-        total, kinds = np.bincount(at, n, len(histories)), np.bincount(at, minlength=len(histories))
-        by_history[:, 2 * k] = np.where(total > 0, 1 / np.maximum(total, 1), 0)
-        by_history[:, 2 * k + 1] = np.where(total > 0, DISCOUNT * kinds / np.maximum(total, 1), 1)
-        by_gram[np.searchsorted(names, g), k] = n - DISCOUNT
-    return _Table(histories, by_history), _Table(names, by_gram)
+def _below(g: np.ndarray, shared: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """P(last byte) of the shared model for n-grams at the longest, their histories a byte shorter.  shared: sorted
+    names of lower orders with their counts; every n-gram of a history in question is among them."""
+    history = shared >> _U(8)
+    begin = np.flatnonzero(np.append(True, history[1:] != history[:-1])[: len(history)])
+    history = history[begin]
+    total, kinds = (np.add.reduceat(x, begin) if len(begin) else x for x in (counts, np.ones(len(shared))))
+    p = np.full(len(g), 1 / 256)
+    for order in range(2, ORDER):
+        use = np.flatnonzero(g >> _U(8 * order))
+        x = g[use] & _U((1 << 8 * order) - 1)
+        i = np.minimum(np.searchsorted(shared, x), max(len(shared) - 1, 0))
+        j = np.searchsorted(history, x >> _U(8))
+        n = np.where(shared[i] == x, counts[i], 0)
+        p[use] = np.maximum(n - DISCOUNT, 0) / total[j] + DISCOUNT * kinds[j] / total[j] * p[use]
+    return p
 
 
 class Model:
-    """Tables to look log-likelihood ratios up in."""
-
-    def __init__(self, shared: tuple[_Table, _Table], classes: list[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> None:
-        self.shared, self.classes = shared, _tables(classes)
-
-    def _below(self, small: np.ndarray, sums: np.ndarray, at: np.ndarray, within: np.ndarray) -> np.ndarray:
-        """P(byte) of the shared model, given the history that is a letter shorter than the longest."""
-        histories, grams = self.shared
-        p = np.full(len(at), 1 / 256)
-        for order in range(2, ORDER):
-            use = np.flatnonzero(within >= order - 1)
-            h, g = _grams(small, sums, at[use], within[use], order)
-            row = histories.find(h)
-            known = row < len(histories.names)
-            use, row, g = use[known], row[known], g[known]
-            scale, back = histories.rows[row].T
-            p[use] = grams.rows[grams.find(g), 0] * scale + back * p[use]
-        return p
-
-    def ratios(self, small: np.ndarray, at: np.ndarray, within: np.ndarray) -> np.ndarray:
-        """log P(byte | toxic) - log P(byte | ordinary) for each word byte; 0 where no class knows its history."""
-        out = np.zeros(len(at))
-        use = np.flatnonzero(within > 0)
-        sums = _sums(small)
-        h, g = _grams(small, sums, at[use], within[use], _longest(within[use]))
-        row = self.classes[0].find(h)
-        known = row < len(self.classes[0].names)
-        use, row, g = use[known], row[known], g[known]
-        below, above = self._below(small, sums, at[use], within[use]), self.classes[1].rows[self.classes[1].find(g)]
-        by_history = self.classes[0].rows[row]
-        p = [above[:, k] * by_history[:, 2 * k] + by_history[:, 2 * k + 1] * below for k in (0, 1)]
-        out[use] = np.log(p[1] / p[0])
+    """log P(byte | toxic) - log P(byte | ordinary) by n-gram, and by history for n-grams that neither class has; a
+    column for each set of counts, (ordinary, toxic) by n-gram g."""
+
+    def __init__(self, g: np.ndarray, below: np.ndarray, counts: list[tuple[np.ndarray, np.ndarray]]) -> None:
+        histories, at = np.unique(g >> _U(8), return_inverse=True)
+        by_gram, by_history = (np.zeros((len(x), len(counts)), np.float32) for x in (g, histories))
+        for k, pair in enumerate(counts):
+            p, left = [], []
+            for n in pair:
+                total, kinds = np.bincount(at, n, len(histories)), np.bincount(at, n > 0, len(histories))
+                rest = np.where(total > 0, DISCOUNT * kinds / np.maximum(total, 1), 1)
+                p.append(np.maximum(n - DISCOUNT, 0) / np.maximum(total, 1)[at] + rest[at] * below)
+                left.append(rest)
+            by_gram[:, k], by_history[:, k] = np.log(p[1] / p[0]), np.log(left[1] / left[0])
+        self.grams, self.histories = _Table(g, by_gram), _Table(histories, by_history)
+
+    def ratios(self, g: np.ndarray, which: int = 0) -> np.ndarray:
+        """For each n-gram at the longest; 0 where no class knows its history."""
+        row = self.grams.find(g)
+        out = self.grams.rows[row, which].astype(np.float64)
+        rest = np.flatnonzero(row == len(self.grams.names))
+        out[rest] = self.histories.rows[self.histories.find(g[rest] >> _U(8)), which]
         return out
 
-    def features(self, raw: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-        """By text: normalised ratio of the whole, then of its words: the two greatest sums, the greatest mean,
-        the share of words clearly toxic (root), and whether there are any words."""
-        small, starts, stops, first, _, _ = _spelled(raw, offsets)
+    def features(self, raw: np.ndarray, offsets: np.ndarray, which: int = 0) -> np.ndarray:
+        """A row for each text: see the head of this module."""
+        letters, within, ends, same, size, first = _different(raw, offsets)
         out = np.zeros((len(offsets) - 1, _FEATURES))
-        if not len(starts):
+        if not len(size):
             return out
-        size = stops - starts
-        _, pick, same = np.unique(rolling.word_hashes(small, starts, stops), return_index=True, return_inverse=True)
-        long = size[pick]  # each different word is looked up once
-        ends = np.cumsum(long)
-        offset = np.arange(ends[-1]) - np.repeat(ends - long, long)
-        letters = small[np.repeat(starts[pick], long) + offset]
-        words = np.add.reduceat(self.ratios(letters, np.arange(len(letters)), offset), ends - long)[same]
+        begins = np.append(0, ends[:-1])
+        ratio = self.ratios(grams(letters, within), which)
+        sums = np.cumsum(ratio) - np.repeat((np.cumsum(ratio) - ratio)[begins], ends - begins)
+        words, stems = sums[ends - 1][same], np.maximum.reduceat(sums, begins)[same]
         n = np.diff(first)
         some = np.flatnonzero(n)
-        begin = first[:-1][some]
-        sums = np.add.reduceat(words, begin)
-        letters = np.add.reduceat(size, begin)
-        best = np.maximum.reduceat(words, begin)
-        mean = np.maximum.reduceat(words / (size + 1), begin)
-        clear = np.add.reduceat(np.clip(words - 3, 0, 2) / 2, begin)
-        rest = words.copy()
-        doc = np.repeat(np.arange(len(some)), n[some])
-        top = np.flatnonzero(words == best[doc])
-        rest[top[np.unique(doc[top], return_index=True)[1]]] = -10
-        second = np.maximum.reduceat(rest, begin)
-        out[some] = np.stack([sums / letters, np.clip(best, -5, 15) / 5, np.clip(second, -5, 15) / 5, mean, np.minimum(clear, 4) / 2, np.ones(len(some))], 1)
+        at, n = first[:-1][some], n[some]
+        total = lambda x: np.add.reduceat(x, at)
+        clear = total(np.clip(stems - _CLEAR, 0, 2) / 2)
+        number = total(stems > _CLEAR + 0.5)
+        text = np.repeat(np.arange(len(some)), n)
+        by = np.lexsort((-stems, text))
+        best = np.zeros((len(some), _BEST))
+        rank = np.arange(len(text)) - np.repeat(at, n)
+        use = rank < _BEST
+        best[text[use], rank[use]] = np.clip(stems[by][use], 0, 10) / 5
+        rest = [total(words) / total(size), total(np.maximum(stems, 0)) / n, np.minimum(clear, 8) / 4, np.sqrt(clear / n), clear / n * 10, np.log1p(n) / 5, np.log((number + 0.5) / (n + 20)) + 4, np.log1p(number), np.ones(len(some))]
+        out[some] = np.hstack([best, np.stack(rest, 1)])
         return out
 
 
@@ -254,7 +244,7 @@ def _fit(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     """Weights of a logistic curve, by Newton steps with a small ridge."""
     x = np.hstack([x, np.ones((len(x), 1))])
     w = np.zeros(x.shape[1])
-    for _ in range(40):
+    for _ in range(60):
         p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
         step = np.linalg.solve((x.T * (p * (1 - p))) @ x + 1e-2 * np.eye(len(w)), x.T @ (y - p) - 1e-2 * w)
         w += np.clip(step, -4, 4)
@@ -263,44 +253,54 @@ def _fit(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     return w
 
 
+def _names(table: pa.Table, name: str = "g") -> np.ndarray:
+    return table[name].to_numpy().view(_U)
+
+
 def train(docs: DataFrame, labels: DataFrame, text: str = "text", class_rows: int = CLASS_ROWS) -> tuple[Model, np.ndarray] | None:
     """The model and the curve's weights; None where a class has no training row."""
-    session.ship_package(docs.sparkSession)
+    spark = docs.sparkSession
+    session.ship_package(spark)
     known = labels.where(F.col("toxic").isin(0, 1) & training_row()).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     sizes = {r.toxic: r["count"] for r in known.groupBy("toxic").count().collect()}
     if set(sizes) != {0, 1}:
         return None
     part = F.pmod(F.xxhash64("doc_id", F.lit("sample")), F.lit(1 << 20)) / float(1 << 20)
     share = F.when(F.col("toxic") == 1, class_rows / sizes[1]).otherwise(class_rows / sizes[0])
-    chosen = known.where(part < share).withColumn("half", F.pmod(F.xxhash64("doc_id", F.lit("half")), F.lit(2)).cast("int")).withColumn("toxic", F.col("toxic").cast("int"))
-    # class_rows bounds this side: two classes of so many rows of three numbers
+    fold = F.pmod(F.xxhash64("doc_id", F.lit("fold")), F.lit(FOLDS))
+    chosen = known.where(part < share).select("doc_id", (2 * fold + F.col("toxic")).cast("int").alias("kind"))
+    # class_rows bounds this side: two classes of so many rows of two numbers
     texts = session.written(docs.select("doc_id", F.col(text).alias("text")).where("text is not null").join(F.broadcast(chosen), "doc_id"), "toxicity-sample")
-    names = lambda rows: (rows[c].to_numpy().view(np.uint64) for c in ("h", "g"))
-    rows = _count(texts).toArrow()
-    kind, n = rows["kind"].to_numpy(), rows["n"].to_numpy()
-    h, g = names(rows)
-    every = _continuations(docs, text).toArrow()
-    shared = _tables([(*names(every), every["n"].to_numpy())])
-
-    def model(halves: tuple[int, ...]) -> Model:
-        uses = [((kind & 1) == toxic) & np.isin(kind >> 1, halves) for toxic in (0, 1)]
-        return Model(shared, [_merged(h[use], g[use], n[use]) for use in uses])
-
-    crossed = texts.sparkSession.sparkContext.broadcast((model((1,)), model((0,))))
+    counted = session.written(_count(texts), "toxicity-counts")
+    g = F.col("g")
+    lower = F.array(*[F.when(F.shiftrightunsigned(g, 8 * o) != 0, F.shiftrightunsigned(g.bitwiseAND(_mask(o)), 8)) for o in range(2, ORDER)])
+    wanted = counted.select(F.explode(lower).alias("h")).where("h is not null").distinct()
+    shared = _continuations(_longest(docs, text), wanted).toArrow()  # bounded by the sample: what its n-grams back off to
+    names, left = _names(shared), shared["n"].to_numpy().astype(np.float64)
+    by = np.argsort(names)
+    found = counted.toArrow()
+    own = _names(found)
+    order = np.argsort(own)
+    own, below = own[order], _below(own[order], names[by], left[by])
+    n = np.stack([found[f"n{k}"].to_numpy()[order] for k in range(2 * FOLDS)])
+    every = (n[0::2].sum(0), n[1::2].sum(0))
+    crossed = spark.sparkContext.broadcast(Model(own, below, [(every[0] - n[2 * f], every[1] - n[2 * f + 1]) for f in range(FOLDS)]))
 
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for a, b in rolling.steps(batch.column("text"), _STEP):
                 part = batch.slice(a, b - a)
-                raw, offsets = rolling.text_bytes(part.column("text"))
-                half = part.column("half").to_numpy()
-                x = np.where(half[:, None] == 0, crossed.value[0].features(raw, offsets), crossed.value[1].features(raw, offsets))
-                yield pa.RecordBatch.from_arrays([part.column("toxic"), *(pa.array(x[:, i]) for i in range(_FEATURES))], names=["toxic", *(f"x{i}" for i in range(_FEATURES))])
+                kind = part.column("kind").to_numpy()
+                x = np.zeros((len(part), _FEATURES))
+                for f in np.unique(kind // 2):
+                    use = np.flatnonzero(kind // 2 == f)
+                    x[use] = crossed.value.features(*rolling.text_bytes(part.column("text").take(pa.array(use))), f)
+                yield pa.RecordBatch.from_arrays([pa.array(kind % 2), *(pa.array(x[:, i]) for i in range(_FEATURES))], names=["toxic", *(f"x{i}" for i in range(_FEATURES))])
 
     x = texts.mapInArrow(features, "toxic int, " + ", ".join(f"x{i} double" for i in range(_FEATURES))).toArrow()
     table = np.stack([x[f"x{i}"].to_numpy() for i in range(_FEATURES)], 1)
-    by_value = np.lexsort(table.T)  # rows come in any order; sums of floats must not depend on it
-    return model((0, 1)), _fit(table[by_value], x["toxic"].to_numpy()[by_value].astype(float))
+    by = np.lexsort(table.T)  # rows come in any order; sums of floats must not depend on it
+    return Model(own, below, [every]), _fit(table[by], x["toxic"].to_numpy()[by].astype(float))
 
 
 def score(docs: DataFrame, labels: DataFrame, text: str = "text", threshold: float = THRESHOLD, class_rows: int = CLASS_ROWS) -> DataFrame:

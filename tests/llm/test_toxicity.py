@@ -17,15 +17,15 @@ def test_one_row_each(spark, found):
 
 
 def test_held_out_accuracy(spark, found):
-    """English documents.  Some are labelled toxic here though they hold none of the abuse that marks the rest;
-    these can't be told from ordinary ones and are left out."""
+    """All held-out rows of every language, those without any abuse too."""
     docs, labels = (spark.read.parquet(f"{SF}/{t}.parquet") for t in ("documents", "labels"))
-    abuse = "idiot|scum|moron|trash|pathetic|loser|worthless|clown|disgusting|stupid"
-    docs = docs.withColumn("abuse", F.col("text").rlike(f"(?i)\\b({abuse})\\b"))
-    known = found.where("held_out").join(labels, "doc_id").join(docs.where("lang = 'en'").select("doc_id", "abuse"), "doc_id").where("toxic = 0 or abuse")
-    n = {(r.toxic, r.predicted): r["count"] for r in known.groupBy("toxic", "predicted").count().collect()}
-    assert n[1, 1] >= 0.9 * (n[1, 1] + n.get((1, 0), 0))
-    assert n.get((0, 1), 0) <= 0.01 * n[0, 0]
+    known = found.where("held_out").join(labels, "doc_id").join(docs.select("doc_id", "lang"), "doc_id")
+    n = {(r.lang, r.toxic, r.predicted): r["count"] for r in known.groupBy("lang", "toxic", "predicted").count().collect()}
+    hit, missed, wrong = (sum(x for (_, t, p), x in n.items() if (t, p) == k) for k in ((1, 1), (1, 0), (0, 1)))
+    assert hit >= 0.85 * (hit + missed)
+    assert hit >= 0.95 * (hit + wrong)
+    for lang in ("en", "de", "fr", "es"):
+        assert n[lang, 1, 1] >= 0.75 * (n[lang, 1, 1] + n.get((lang, 1, 0), 0))
 
 
 def test_labels_of_held_out_rows_are_not_used(spark):
@@ -41,7 +41,7 @@ def test_edges(spark):
     labels = spark.createDataFrame([(i, i % 2) for i in range(400)] + [(3, 1), (7, None), (None, 1)], "doc_id long, toxic int")
     rows = toxicity.score(docs, labels).collect()
     assert len(rows) == 404
-    assert all((r.score > 0.7) == (r.text == "you scum") for r in rows)
+    assert all((r.score >= 0.7) == (r.text == "you scum") for r in rows)
     assert len({r.score for r in rows if not r.text or r.text == ".."}) == 1
     assert {r.score for r in toxicity.score(docs, labels.where("toxic = 1")).collect()} == {0.0}
     assert toxicity.score(docs.limit(0), labels.limit(0)).count() == 0

@@ -4,24 +4,26 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
-from pyspark.sql import functions as F
 
-from lanternfish.llm import queries, toxicity
+from lanternfish.llm import toxicity
 
 
 def spelled(word):
-    """(history, letter) of each place after the first, at the longest history."""
+    """(history, letter) of each place, at the longest history."""
     w = " " + word
-    return [(w[max(i - 5, 0) : i], w[i]) for i in range(2, len(w))]
+    return [(w[max(i - 7, 0) : i], w[i]) for i in range(1, len(w))]
 
 
 def brute(texts, classes):
-    """log P(word | toxic) - log P(word | ordinary), from counts in dictionaries."""
-    below = Counter()
+    """log P(word | toxic) - log P(word | ordinary) by place, from counts in dictionaries."""
+    before = defaultdict(set)
     for word in {w for t in texts for w in t.split()}:
         w = " " + word
-        below.update({(w[i - o + 1 : i], w[i]) for o in range(2, 6) for i in range(o - 1, len(w))})
-    own = [Counter(x for t in c for x in {x for w in t.split() for x in spelled(w)}) for c in classes]
+        for o in range(2, 8):
+            for i in range(o, len(w)):
+                before[w[i - o + 1 : i], w[i]].add(w[i - o])
+    below = {x: len(s) for x, s in before.items()}
+    own = [Counter(x for t in c for w in t.split() for x in spelled(w)) for c in classes]
 
     def by_history(counts):
         out = defaultdict(lambda: [0, 0])
@@ -33,15 +35,15 @@ def brute(texts, classes):
 
     def interpolated(counts, totals, h, b, rest):
         n, kinds = totals.get(h, (0, 0))
-        return rest if not n else (max(counts[h, b] - 0.75, 0) + 0.75 * kinds * rest) / n
+        return rest if not n else (max(counts.get((h, b), 0) - 0.75, 0) + 0.75 * kinds * rest) / n
 
     def ratio(word):
-        out = 0
+        out = []
         for h, b in spelled(word):
             p = 1 / 256
             for o in range(1, len(h)):
                 p = interpolated(below, shared, h[-o:], b, p)
-            out += math.log(interpolated(own[1], totals[1], h, b, p) / interpolated(own[0], totals[0], h, b, p))
+            out.append(math.log(interpolated(own[1], totals[1], h, b, p) / interpolated(own[0], totals[0], h, b, p)))
         return out
 
     return ratio
@@ -49,7 +51,7 @@ def brute(texts, classes):
 
 def test_words_against_brute_force(spark):
     rng = random.Random(3)
-    made = ["".join(rng.choice("abcd") for _ in range(rng.randint(1, 9))) for _ in range(400)]
+    made = ["".join(rng.choice("abcd") for _ in range(rng.randint(1, 12))) for _ in range(400)]
     docs = [(i, " ".join(rng.choice(made[:300] if i % 3 else made[100:]) for _ in range(30))) for i in range(300)]
     labels = [(i, int(i % 3 == 0)) for i in range(300)]
     d, l = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, toxic int")
@@ -57,27 +59,25 @@ def test_words_against_brute_force(spark):
     model, _ = toxicity.train(d, l)
     ratio = brute([t for _, t in docs], [[t for i, t in docs if learned.get(i) == k] for k in (0, 1)])
     for word in [*made, "abcdabcdabcd", "dddddddddd", "xyz"]:
-        raw = np.frombuffer(word.encode(), np.uint8)
-        small, starts, stops, first, at, within = toxicity._spelled(raw, np.array([0, len(raw)]))
-        assert model.ratios(small, at, within).sum() == pytest.approx(ratio(word), abs=1e-4)
+        letters = np.frombuffer(word.encode(), np.uint8)
+        got = model.ratios(toxicity.grams(letters, np.arange(len(letters))))
+        assert got.tolist() == pytest.approx(ratio(word), abs=1e-4)
 
 
-def test_no_two_grams_share_a_place(spark):
-    """More different n-grams than a table of 2**17 places could hold."""
+def test_names_are_the_bytes(spark):
+    """No two n-grams share a name."""
     words = ["".join(chr(97 + (i // 26**k) % 26) for k in range(4)) + chr(97 + i % 7) for i in range(150000)]
-    rows = [(" ".join(words[i : i + 1000]), i // 1000 % 2, 0) for i in range(0, len(words), 1000)]
-    texts = spark.createDataFrame(rows, "text string, half int, toxic int")
-    want = {(half, h, b) for t, half, _ in rows for w in t.split() for h, b in spelled(w)}
-    counted = toxicity._count(texts)
-    assert len(want) > 1 << 17
-    assert counted.count() == len(want)
-
-
-def test_all_held_out_labels(spark):
-    """Every language and every label, those without any word of abuse too."""
-    sf = "/root/testdata/sf0.1"
-    found = queries.QUERIES["op8_toxicity"](spark, sf)
-    known = found.where("held_out").join(spark.read.parquet(f"{sf}/labels.parquet").select("doc_id", "toxic"), "doc_id")
-    n = {(r.toxic, r.predicted): r["count"] for r in known.groupBy("toxic", "predicted").agg(F.count("*").alias("count")).collect()}
-    assert n[1, 1] > 0.5 * (n[1, 1] + n[1, 0])
-    assert n.get((0, 1), 0) <= 0.01 * n[0, 0]
+    rows = [(" ".join(words[i : i + 1000]), i // 1000 % 4) for i in range(0, len(words), 1000)]
+    texts = spark.createDataFrame(rows, "text string, kind int")
+    want = {(h, b) for t, _ in rows for w in t.split() for h, b in spelled(w)}
+    assert toxicity._count(texts).count() == len(want)
+
+
+def test_very_long_text(spark):
+    """A text beyond a step is scored whole: its only abuse stands at the end."""
+    docs = [(i, "you scum you scum" if i % 2 else "good day to you") for i in range(400)]
+    long = "good day to you " * 120_000
+    d = spark.createDataFrame([*docs, (1000, long), (1001, "scum " * 300_000)], "doc_id long, text string")
+    l = spark.createDataFrame([(i, i % 2) for i in range(400)], "doc_id long, toxic int")
+    found = {r.doc_id: r.score for r in toxicity.score(d, l).where("doc_id >= 1000").collect()}
+    assert found[1000] < 0.5 < 0.7 <= found[1001]
