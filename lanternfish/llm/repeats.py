@@ -16,7 +16,7 @@ stands in two documents.  This goes in three steps, none of which gathers all ro
 from __future__ import annotations
 
 import dataclasses
-import gc
+import math
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -88,7 +88,7 @@ def paths_of(raw: np.ndarray, offsets: np.ndarray, units: Units) -> Paths:
     return Paths(text, begin - first[text], n, gram, content, pick - begin)
 
 
-def _each(table: pa.Table, units: Units) -> Iterator[tuple[int, Paths]]:
+def each(table: pa.Table, units: Units) -> Iterator[tuple[int, Paths]]:
     column = table["text"].combine_chunks()
     if isinstance(column, pa.ChunkedArray):
         column = pa.concat_arrays(column.chunks)
@@ -127,25 +127,36 @@ class Rows:
 
 
 def blocks(docs: DataFrame, text: str = "text") -> tuple[DataFrame, int]:
-    """((block, doc_id, key, text) of every row, bytes of text); key tells rows of one doc_id apart by text."""
+    """((block, doc_id, key, text) of every row, bytes of text); key tells rows of one doc_id apart by text.  Rows
+    without a doc_id are dealt by their text, so that many of them don't share a block."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     count = block_count(size)
     key = F.xxhash64("doc_id", "text")
-    return rows.select(F.pmod(F.xxhash64("doc_id", F.lit("block")), F.lit(count)).cast("int").alias("block"), "doc_id", key.alias("key"), "text"), size
+    dealt = F.pmod(F.xxhash64(F.coalesce("doc_id", F.xxhash64("text")), F.lit("block")), F.lit(count))
+    return rows.select(dealt.cast("int").alias("block"), "doc_id", key.alias("key"), "text"), size
 
 
-def paths(dealt: DataFrame, size: int, units: Units) -> DataFrame:
-    """(gram, content, doc_id, version, start, windows, pick) of paths whose gram stands in two documents or more.
-    Rows without a doc_id have none."""
-    buckets = max(1, size // (units.path_bytes * BUCKET_PRINTS))
+def _growth(size: int) -> int:
+    """Blocks and buckets meet in pairs.  Above 256 GB of text both grow with its root, so that a pair's row still
+    holds many prints and rows grow no faster than the text."""
+    return max(1, math.isqrt(size >> 38))
+
+
+def buckets_of(size: int, units: Units) -> int:
+    return max(1, size // (units.path_bytes * BUCKET_PRINTS * _growth(size)))
+
+
+def shared_prints(dealt: DataFrame, size: int, units: Units) -> DataFrame:
+    """(block, bucket, prints): to each block, by bucket, the prints of its grams that stand in two documents."""
+    buckets = buckets_of(size, units)
 
     def prints(table: pa.Table) -> pa.Table:
         rolling.release()
         has = pc.is_valid(table["doc_id"]).to_numpy()
         number = np.unique(pc.fill_null(table["doc_id"], 0).to_numpy(), return_inverse=True)[1]
         grams, docs = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
-        for a, p in _each(table, units):
+        for a, p in each(table, units):
             use = has[p.text + a]
             grams.append(p.gram[use])
             docs.append(number[p.text[use] + a])
@@ -179,17 +190,36 @@ def paths(dealt: DataFrame, size: int, units: Units) -> DataFrame:
             answers.append(np.concatenate([x[again[at] == x] if len(again) else x[:0], y]).tobytes())
         return pa.table({"block": table["block"], "bucket": table["bucket"], "prints": pa.array(answers, pa.binary())})
 
+    sent = dealt.groupBy("block").applyInArrow(prints, "bucket int, block int, one binary, two binary")
+    return sent.groupBy("bucket").applyInArrow(shared, "block int, bucket int, prints binary")
+
+
+class Known:
+    """A block's answers: which of its grams stand in two documents."""
+
+    def __init__(self, answer: pa.Table, buckets: int) -> None:
+        parts = [np.zeros(0, np.uint64)]
+        for bucket, found in zip(answer["bucket"].to_pylist(), answer["prints"].to_pylist(), strict=True):
+            parts.append(np.frombuffer(found, np.uint32).astype(np.uint64) | np.uint64(bucket << 32))
+        self.names, self.buckets = np.sort(np.concatenate(parts)), buckets
+
+    def has(self, gram: np.ndarray) -> np.ndarray:
+        name = _names(gram, self.buckets)
+        return self.names[np.minimum(np.searchsorted(self.names, name), len(self.names) - 1)] == name if len(self.names) else np.zeros(len(name), bool)
+
+
+def paths(dealt: DataFrame, size: int, units: Units) -> DataFrame:
+    """(gram, content, doc_id, version, start, windows, pick) of paths whose gram stands in two documents or more.
+    Rows without a doc_id have none."""
+    buckets = buckets_of(size, units)
+
     def keep(table: pa.Table, answer: pa.Table) -> pa.Table:
         rolling.release()
-        known = [np.zeros(0, np.uint64)]
-        for bucket, found in zip(answer["bucket"].to_pylist(), answer["prints"].to_pylist(), strict=True):
-            known.append(np.frombuffer(found, np.uint32).astype(np.uint64) | np.uint64(bucket << 32))
-        known = np.sort(np.concatenate(known))
+        known = Known(answer, buckets)
         out: dict[str, list] = {n: [] for n in ("gram", "content", "row", "start", "windows", "pick")}
-        if len(known) and table.num_rows:
-            for a, p in _each(table, units):
-                name = _names(p.gram, buckets)
-                use = known[np.minimum(np.searchsorted(known, name), len(known) - 1)] == name
+        if len(known.names) and table.num_rows:
+            for a, p in each(table, units):
+                use = known.has(p.gram)
                 for n, x in (("gram", p.gram.view(np.int64)), ("content", p.content.view(np.int64)), ("row", p.text + a), ("start", p.start), ("windows", p.windows), ("pick", p.pick)):
                     out[n].append(x[use])
         c = {n: np.concatenate(x) if x else np.zeros(0, np.int64) for n, x in out.items()}
@@ -197,8 +227,7 @@ def paths(dealt: DataFrame, size: int, units: Units) -> DataFrame:
         made = pa.table({"gram": c["gram"], "content": c["content"], "doc_id": table["doc_id"].take(pa.array(c["row"])), "version": pa.array(version, pa.int32()), **{n: pa.array(c[n], pa.int32()) for n in ("start", "windows", "pick")}})
         return made.filter(made["doc_id"].is_valid())
 
-    sent = dealt.groupBy("block").applyInArrow(prints, "bucket int, block int, one binary, two binary")
-    back = sent.groupBy("bucket").applyInArrow(shared, "block int, bucket int, prints binary")
+    back = shared_prints(dealt, size, units)
     return dealt.groupBy("block").cogroup(back.groupBy("block")).applyInArrow(keep, "gram long, content long, doc_id long, version int, start int, windows int, pick int")
 
 
@@ -215,7 +244,7 @@ def repeated_spans(found: DataFrame, origins: DataFrame, partial: DataFrame, uni
     whole; those of the source's own document repeat where `partial` says so."""
     offsets = partial.groupBy("gram", "content").agg(F.collect_list("offset").alias("offsets"))  # one path's windows at most
     # written, so that both sides of the join are shuffled for it and the copies of a hot path can be split
-    known = kept(origins.select("gram", "content", "first").join(offsets, ["gram", "content"], "left"), "known")
+    known = session.written(origins.select("gram", "content", "first").join(offsets, ["gram", "content"], "left"), "known")
     rows = found.join(known, ["gram", "content"]).where((F.col("doc_id") > F.col("first")) | F.col("offsets").isNotNull())
     whole = F.array(F.struct(F.col("start").alias("a"), (F.col("start") + F.col("windows") - 1).alias("b")))
     some = F.transform("offsets", lambda o: F.struct((F.col("start") + o).alias("a"), (F.col("start") + o).alias("b")))
@@ -270,13 +299,4 @@ def schema_of(schema: str) -> pa.Schema:
 
 
 def block_count(size: int) -> int:
-    return max(1, -(-size // BLOCK_BYTES))
-
-
-def kept(found: DataFrame, name: str) -> DataFrame:
-    """Written to the shared folder; then the driver lets go of what made it, so that its shuffle files are cleaned
-    up before the next step makes its own."""
-    out = session.written(found, name)
-    gc.collect()
-    found.sparkSession.sparkContext._jvm.System.gc()
-    return out
+    return max(1, -(-size // (BLOCK_BYTES * _growth(size))))

@@ -87,13 +87,13 @@ def spans(docs: DataFrame, text: str = "text", units: repeats.Units = repeats.WO
     session.ship_package(docs.sparkSession)
     dealt, size = repeats.blocks(docs, text)
     count = repeats.block_count(size)
-    found = repeats.kept(repeats.paths(dealt, size, units), "paths")
-    origins = repeats.kept(repeats.sources(found), "sources")
+    found = session.written(repeats.paths(dealt, size, units), "paths")
+    origins = session.written(repeats.sources(found), "sources")
     branching = origins.groupBy("gram").agg(F.count("*").alias("n")).where("n > 1").select("gram")
-    edges = repeats.kept(_edges(dealt, origins.join(branching, "gram"), count, units), "edges")
+    edges = session.written(_edges(dealt, origins.join(branching, "gram"), count, units), "edges")
     least = edges.groupBy("gram", "edge").agg(F.min("first").alias("least"))
     partial = edges.join(least, ["gram", "edge"]).where("least < first").select("gram", "content", "offset")
-    return dealt, repeats.kept(repeats.repeated_spans(found, origins, partial, units), "spans"), count
+    return dealt, session.written(repeats.repeated_spans(found, origins, partial, units), "spans"), count
 
 
 def deduplicate(docs: DataFrame, text: str = "text", units: repeats.Units = repeats.WORDS) -> DataFrame:

@@ -23,11 +23,11 @@ def brute(docs, window=50):
         yield d, len(w), sum(gone), sum(len(x) > 0 for x in bytes(gone).split(b"\0")), hashlib.sha256(kept).hexdigest()
 
 
-@pytest.mark.parametrize("crowd", [1000, 3])
-def test_against_brute_force(spark, monkeypatch, crowd):
+@pytest.mark.parametrize("run", [1 << 17, 3])
+def test_against_brute_force(spark, monkeypatch, run):
     monkeypatch.setattr(repeats, "BLOCK_BYTES", 3000)
     monkeypatch.setattr(repeats, "BUCKET_PRINTS", 50)
-    rng = random.Random(crowd)
+    rng = random.Random(run)
     for letters in ("ab", "abcdefgh éü日 \n"):
         passages = ["".join(rng.choice(letters) for _ in range(rng.choice([30, 48, 50, 51, 80, 200]))) for _ in range(12)]
         docs = []
@@ -41,7 +41,7 @@ def test_against_brute_force(spark, monkeypatch, crowd):
             docs.append((i if rng.random() < 0.9 else max(0, i - 3), "".join(parts)))
         docs += [(3, None), (4, ""), (5, "x" * 130), (9, "x" * 130), (9, "x" * 130), (9, "x" * 49)]
         df = spark.createDataFrame(docs, "doc_id long, text string").selectExpr("*", "1 as block", "'k' as first").repartition(5)
-        assert sorted(map(tuple, suffix_dedup.deduplicate(df, crowd=crowd).collect())) == sorted(brute(docs))
+        assert sorted(map(tuple, suffix_dedup.deduplicate(df, run=run).collect())) == sorted(brute(docs))
 
 
 def test_the_tables_against_brute_force(spark):
