@@ -69,7 +69,7 @@ def test_names_are_the_bytes(spark):
     words = ["".join(chr(97 + (i // 26**k) % 26) for k in range(4)) + chr(97 + i % 7) for i in range(150000)]
     rows = [(" ".join(words[i : i + 1000]), i // 1000 % 4) for i in range(0, len(words), 1000)]
     texts = spark.createDataFrame(rows, "text string, kind int")
-    want = {(h, b) for t, _ in rows for w in t.split() for h, b in spelled(w)}
+    want = {(k, h, b) for t, k in rows for w in t.split() for h, b in spelled(w)}
     assert toxicity._count(texts).count() == len(want)
 
 
