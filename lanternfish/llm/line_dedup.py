@@ -1,17 +1,26 @@
 """Line deduplication over a log-template tree, in DataFrame functions only.
 
-A line's place in the tree is its number of tokens, then its DEPTH leading tokens, then the rest; in all of them a
-token that holds a digit, an at sign or a scheme counts as a variable field and is generalised to one mark, so
-"Page 3 of 12" and "Page 4 of 12" share a leaf, their template.  A template that recurs in LEAST_DOCS documents or
-more is dropped wherever it stands, but for the document of the smallest doc_id that has it, which keeps all its
-lines of it.  Lines of fewer than LEAST_TOKENS tokens recur by chance and are never dropped.
-
-Templates travel as 128 bits of hash with (doc_id, line number); they are counted with partial aggregates, and the
-join back is an equi-join whose hot keys adaptive execution splits.  Texts move once, to meet the numbers of their
-dropped lines.
-
-Defined results: a null text has no lines and stays null; an empty text is one empty line; rows of one doc_id count
-as one document; repeated rows get equal results; an empty table gives an empty one; extra columns are kept.
+A token that holds a digit, an at sign or a scheme is a variable field from the start and generalised to one mark, so
+"Page 3 of 12" and "Page 4 of 12" are one line.  The tree's first level is the number of tokens, the next ones are
+the DEPTH leading tokens; below them lie the leaves, each a group of different lines.  In a leaf, every place behind
+the leading tokens is judged by how many documents have which token there: a token in fewer than one in SHARE of the
+leaf's (document, line) pairs is a value of a variable field and becomes the mark too.  A line's template is what
+is left; a line whose template would keep fewer than SIMILARITY percent of its tokens resembles its leaf too little,
+and is its own template.
+
+A template that recurs in LEAST_DOCS documents or more is dropped wherever it stands, but for the document of the
+smallest doc_id that has it, which keeps all its lines of it.  Short lines recur by chance: a template of fewer than
+LEAST_TOKENS constant tokens must stand in SHORT times as many documents for each token that it lacks.
+
+Lines travel as 128 bits of hash with (doc_id, line number); they are counted with partial aggregates, and both sides
+of each join are written, so that adaptive execution splits hot keys.  Only the different lines of leaves that can
+have a field (more than one line, more than SHARE pairs) are spelled out, once each, from one place where they
+stand.  Texts move twice: to give those lines, and to meet the numbers of their dropped lines.
+
+Defined results: a null text has no lines and stays null; an empty text is one empty line; lines without a token are
+never dropped; rows of one doc_id count as one document; rows without a doc_id keep all lines and count for
+nothing; repeated rows get equal results; very long texts and lines are handled whole, in time linear in their
+lines and tokens; an empty table gives an empty one; extra columns are kept, n_lines and n_dropped replaced where asked for.
 """
 
 from __future__ import annotations
@@ -21,45 +30,95 @@ from pyspark.sql import functions as F
 
 from lanternfish import session
 
-DEPTH = 3
-LEAST_TOKENS = 4
+DEPTH = 2
+SHARE = 5
+SIMILARITY = 70
 LEAST_DOCS = 3
+LEAST_TOKENS, SHORT = 4, 4
 #: White space between tokens; a variable token and the mark for it; what neither plain words nor
 #: single spaces hold.
 SPACE, VARIABLE, MARK = r"[\x09-\x0D\x20]+", r"(?<![^ ])[^ ]*?(?:[0-9@]|://)[^ ]*+", "<*>"
 SPECIAL = r"[0-9@\x09-\x0D]|://|  "
+_WORD = 32
 
 
-def _template(line: Column) -> Column:
+def _masked(line: Column) -> Column:
     """The replacements run only on lines that have something to replace; one plain search finds these."""
     made = F.regexp_replace(F.trim(F.regexp_replace(line, SPACE, " ")), VARIABLE, MARK)
     return F.when(line.rlike(SPECIAL), made).otherwise(F.trim(line))
 
 
-def _tokens(template: Column) -> Column:
-    return F.length(template) - F.length(F.replace(template, F.lit(" "), F.lit(""))) + 1
-
-
-def _leaf(template: Column) -> list[Column]:
-    """Two independent hashes of (token count, leading tokens, rest)."""
-    tokens = _tokens(template)
-    lead = F.substring_index(template, " ", DEPTH)
-    rest = template.substr(F.length(lead) + 1, F.length(template))
-    return [F.xxhash64(tokens, lead, rest), F.xxhash64(F.lit("b"), rest, lead, tokens)]
-
-
-def recurring(docs: DataFrame, text: str = "text", least_docs: int = LEAST_DOCS, least_tokens: int = LEAST_TOKENS) -> DataFrame:
-    """(doc_id, version, dropped): the numbers of the lines to drop, by document and hash of its text."""
-    lines = docs.where(F.col(text).isNotNull()).select("doc_id", F.xxhash64(text).alias("version"), F.posexplode(F.split(text, "\n", -1)).alias("line", "words"))
-    lines = lines.select("doc_id", "version", "line", _template(F.col("words")).alias("words"))
-    long = (F.col("words") != "") & (_tokens(F.col("words")) >= least_tokens)
-    a, b = (F.when(long, x) for x in _leaf(F.col("words")))  # null instead of a filter, which would spell them twice
-    lines = session.written(lines.select("doc_id", "version", "line", a.alias("a"), b.alias("b")), "lines").where("a is not null")
-    templates = lines.groupBy("a", "b").agg(F.min("doc_id").alias("first"), F.count_distinct("doc_id").alias("docs"))
+def _tokens(line: Column) -> Column:
+    return F.length(line) - F.length(F.replace(line, F.lit(" "), F.lit(""))) + 1
+
+
+def _hashes(line: Column) -> list[Column]:
+    """Two independent hashes."""
+    return [F.xxhash64(line), F.xxhash64(F.lit("b"), line)]
+
+
+def _constants(tokens: Column) -> Column:
+    return F.size(F.filter(tokens, lambda t: t != MARK))
+
+
+def _lines(docs: DataFrame, text: str, depth: int) -> DataFrame:
+    """(doc_id, version, line, leaf, a, b, constants) of lines with a token."""
+    rows = docs.where(F.col(text).isNotNull() & F.col("doc_id").isNotNull())
+    rows = rows.select("doc_id", F.xxhash64(text).alias("version"), F.split(text, "\n", -1).alias("lines"))  # before the lines part, else for each of them
+    rows = rows.select("doc_id", "version", F.posexplode("lines").alias("line", "words"))
+    rows = rows.select("doc_id", "version", "line", _masked(F.col("words")).alias("words"))
+    words = F.col("words")
+    n = _tokens(words)
+    constants = F.when(words.contains(MARK), _constants(F.split(words, " "))).otherwise(n)
+    some = lambda x: F.when(words != "", x)  # noqa: E731  null instead of a filter, which would spell the line twice
+    a, b = _hashes(words)
+    return rows.select("doc_id", "version", "line", some(F.xxhash64(n, F.substring_index(words, " ", depth))).alias("leaf"), some(a).alias("a"), some(b).alias("b"), some(constants).alias("constants"))
+
+
+def _generalised(docs: DataFrame, lines: DataFrame, text: str, depth: int, share: int, similarity: int) -> DataFrame:
+    """(a, b, ta, tb, kept): lines whose template is another line, its hashes and number of constant tokens."""
+    groups = lines.groupBy("leaf", "a", "b").agg(F.count_distinct("doc_id").alias("docs"), F.min(F.struct("doc_id", "version", "line")).alias("at"))
+    groups = session.written(groups, "groups")
+    leaves = session.written(groups.groupBy("leaf").agg(F.count("*").alias("kinds"), F.sum("docs").alias("total")).where((F.col("kinds") > 1) & (F.col("total") > share)).select("leaf", "total"), "leaves")
+    places = groups.join(leaves, "leaf").select("at.doc_id", "at.version", F.struct("at.line", "leaf", "a", "b", "docs", "total").alias("m"))
+    wanted = places.groupBy("doc_id", "version").agg(F.collect_list("m").alias("m"))  # lines of one document at most
+    texts = docs.where(F.col(text).isNotNull()).select("doc_id", F.xxhash64(text).alias("version"), F.split(F.col(text), "\n", -1).alias("lines"))
+    texts = texts.groupBy("doc_id", "version").agg(F.first("lines").alias("lines")).join(wanted, ["doc_id", "version"])
+    picked = F.transform("m", lambda m: F.struct(m["leaf"].alias("leaf"), m["a"].alias("a"), m["b"].alias("b"), m["docs"].alias("docs"), m["total"].alias("total"), F.get("lines", m["line"]).alias("line")))
+    spelled = texts.select(F.explode(picked).alias("m")).select("m.leaf", "m.a", "m.b", "m.docs", "m.total", F.split(_masked(F.col("m.line")), " ").alias("tokens"))
+    spelled = session.written(spelled.where(F.size("tokens") > depth), "spelled")
+    rest = F.slice("tokens", depth + 1, F.greatest(F.size("tokens") - depth, F.lit(0)))
+    values = spelled.select("leaf", "docs", "total", F.posexplode(rest).alias("place", "token")).groupBy("leaf", "place", "token").agg(F.sum("docs").alias("n"), F.first("total").alias("total"))
+    constant = F.when(F.col("n") * share >= F.col("total"), F.col("token"))
+    by_place = values.groupBy("leaf", "place").agg(F.collect_list(constant).alias("tokens"))  # `share` tokens at most
+    known = session.written(by_place.groupBy("leaf").agg(F.transform(F.array_sort(F.collect_list(F.struct("place", "tokens"))), lambda x: x["tokens"]).alias("known")), "constants")
+    lead = F.slice("tokens", 1, depth)
+    made = spelled.join(known, "leaf").select("a", "b", F.concat(lead, F.zip_with(rest, "known", lambda t, c: F.when(F.array_contains(c, t), t).otherwise(MARK))).alias("tokens"))
+    made = made.select("a", "b", F.array_join("tokens", " ").alias("template"), _constants(F.col("tokens")).alias("kept"), F.size("tokens").alias("n"))
+    ta, tb = _hashes(F.col("template"))
+    out = made.where(100 * F.col("kept") >= similarity * F.col("n")).select("a", "b", ta.alias("ta"), tb.alias("tb"), "kept").where("a != ta or b != tb")
+    out = session.written(out, "generalised")
+    session.discard(groups, leaves, spelled, known)
+    return out
+
+
+def recurring(docs: DataFrame, text: str = "text", depth: int = DEPTH, share: int = SHARE, similarity: int = SIMILARITY, least_docs: int = LEAST_DOCS) -> DataFrame:
+    """(doc_id, version, dropped): the lines to drop as bits, _WORD of them in each number, by document and hash of its text."""
+    lines = session.written(_lines(docs, text, depth), "lines")
+    some = lines.where("a is not null")
+    other = _generalised(docs, some, text, depth, share, similarity)
+    named = some.join(other, ["a", "b"], "left").select("doc_id", "version", "line", F.coalesce("ta", "a").alias("a"), F.coalesce("tb", "b").alias("b"), F.coalesce("kept", "constants").alias("constants"))
+    named = session.written(named, "named")
+    templates = named.groupBy("a", "b").agg(F.min("doc_id").alias("first"), F.count_distinct("doc_id").alias("docs"), F.min("constants").alias("constants"))
+    need = least_docs * F.pow(F.lit(SHORT), F.greatest(LEAST_TOKENS - F.col("constants"), F.lit(0)))
     # written, so that both sides of the join are shuffled for it and a hot template's lines can be split
-    templates = session.written(templates.where(F.col("docs") >= least_docs).select("a", "b", "first"), "templates")
-    hit = lines.join(templates, ["a", "b"]).where(F.col("doc_id") > F.col("first"))
-    return hit.groupBy("doc_id", "version").agg(F.collect_set("line").alias("dropped"))
+    templates = session.written(templates.where(F.col("docs") >= need).select("a", "b", "first"), "templates")
+    session.discard(lines, other)
+    hit = named.join(templates, ["a", "b"]).where(F.col("doc_id") > F.col("first"))
+    word = hit.groupBy("doc_id", "version", F.floor(F.col("line") / _WORD).cast("int").alias("word")).agg(F.bit_or(F.pow(F.lit(2.0), F.col("line") % _WORD).cast("long")).alias("bits"))
+    words = word.groupBy("doc_id", "version").agg(F.map_from_entries(F.collect_list(F.struct("word", "bits"))).alias("words"), F.max("word").alias("last"))
+    dropped = F.transform(F.sequence(F.lit(0), F.col("last")), lambda w: F.coalesce(F.try_element_at("words", w), F.lit(0).cast("long")))
+    return words.select("doc_id", "version", dropped.alias("dropped"))
 
 
 def deduplicate(docs: DataFrame, text: str = "text", counts: bool = False, **options) -> DataFrame:
@@ -69,10 +128,12 @@ def deduplicate(docs: DataFrame, text: str = "text", counts: bool = False, **opt
     marks = recurring(own, text, **options).select(F.col("doc_id").alias("__id"), F.col("version").alias("__version"), F.col("dropped").alias(has))
     joined = own.join(marks, (own["doc_id"] == F.col("__id")) & (F.xxhash64(own[text]) == F.col("__version")), "left")
     lines = F.split(F.col(text), "\n", -1)
-    kept = F.array_join(F.filter(lines, lambda x, i: ~F.array_contains(has, i)), "\n")
+    gone = lambda i: F.coalesce(F.getbit(F.get(has, F.floor(i / _WORD).cast("int")), i % _WORD), F.lit(0)) == 1
+    kept = F.array_join(F.filter(lines, lambda x, i: ~gone(i)), "\n")
     new = F.when(F.col(has).isNull(), F.col(text)).otherwise(kept)
     out = [new.alias(c) if c == text else F.col(f"`{c}`") for c in names]
     if counts:
+        number = F.aggregate(has, F.lit(0), lambda s, w: s + F.bit_count(w))
         out.append(F.when(F.col(text).isNull(), F.lit(0)).otherwise(F.size(lines)).cast("long").alias("n_lines"))
-        out.append(F.when(F.col(has).isNull(), F.lit(0)).otherwise(F.size(has)).cast("long").alias("n_dropped"))
+        out.append(F.coalesce(number, F.lit(0)).cast("long").alias("n_dropped"))
     return joined.select(out)
