@@ -9,16 +9,18 @@ prefix holds only shingles of its own links with nothing, and most go that way.
 Counts travel as in `repeats`: blocks of documents send each different shingle once, as a 32-bit print with a count,
 and get back the prints that stand in several documents.  Prints that collide only make a shingle look less rare.
 
-Prefix shingles of representatives are then joined.  links() makes every pair that shares one, at the first shingle
-that the two share, and verifies it once; linked() reduces its pairs to components.  join() gives these components
-alone, from fewer pairs: in each of STARS rounds
-the holders of a shingle meet one of them, unless they are linked already: in the first round the same one for all
-shingles of a group, then another for each shingle and round.  Shingles all of whose holders are linked are settled.
-What is not settled after that meets pair by pair, at the first shingle that two share, only where they aren't
-linked.  Every pair that shares a prefix shingle is thus verified or its ends are connected by verified links, so
+Prefix shingles of representatives are then joined.  In each of STARS rounds the holders of a shingle meet one of
+them, unless they are linked already: in the first round the same one for all shingles of a group, then another for
+each shingle and round.  Shingles all of whose holders are linked are settled.  What is not settled after that meets
+pair by pair, at the first shingle that two share, only where they aren't linked.  No pair is verified in two
+rounds.  Every pair that shares a prefix shingle is thus verified or its ends are connected by verified links, so
 the components are exact.  Pairs pass the length and the positional filter when made; the suffix filter (numbers of
-shingles by ranges of the hash bound the difference) follows, in the last step before a pair is made at all; and
-each different pair is counted exactly, once.
+shingles by ranges of the hash bound the difference) follows, in the last step before a pair is made at all.
+
+Links between different sets lie within components.  Their number, for each document, is counted there: the sets of
+a component meet in chunks of CHUNK bytes, each pair of chunks in one task, where each pair of sets is counted
+once from an index of their shingles.  Only numbers by document leave the task, so rows grow with documents, though
+links may grow with the square of a group.  links() returns the pairs themselves.
 
 Defined results: null, empty and wordless texts have an empty set and link with nothing; fewer than SHINGLE words are
 one shingle; rows of one doc_id are one document, so they share its component; rows without a doc_id get no
@@ -41,6 +43,8 @@ from lanternfish.llm.components import components
 SHINGLE = 5
 PERCENT = 80
 STARS = 3
+#: Text of a component that one side of a task holds when its links are counted.
+CHUNK = 2 << 20
 _SHINGLE_BYTES = 6
 _PARTS = 64
 _SHIFT = np.uint64(64 - 6)
@@ -219,8 +223,17 @@ def _prepared(docs: DataFrame, text: str, shingle: int, percent: int) -> tuple[D
     chosen = some.where("tokens is not null").join(reps, ["s1", "s2"]).where("doc_id = rep").dropDuplicates(["s1", "s2"])
     texts = session.written(chosen.select("rep", "n", "tokens", "places", "parts", "text"), "representatives")
     tokens = texts.select("rep", "n", F.explode(F.arrays_zip("tokens", "places")).alias("t")).select(F.col("t.tokens").alias("token"), F.col("t.places").alias("place"), "rep", "n")
-    several = tokens.groupBy("token").agg(F.min("rep").alias("x"), F.max("rep").alias("y")).where("x < y").select("token")
-    return rows, texts, session.written(tokens.join(several, "token").withColumn("label", F.col("rep")), "tokens")
+    return rows, texts, _unsettled(tokens.withColumn("label", F.col("rep")))
+
+
+def _unsettled(tokens: DataFrame) -> DataFrame:
+    """The rows of shingles whose holders have different labels.  Written, so that both sides of the join are shuffled
+    for it and the holders of a hot shingle can be split."""
+    every = session.written(tokens, "tokens")
+    several = every.groupBy("token").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x < y").select("token")
+    out = session.written(every.join(session.written(several, "several"), "token"), "tokens")
+    session.discard(every)
+    return out
 
 
 def _pair_by_pair(open_: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
@@ -258,34 +271,91 @@ def linked(pairs: DataFrame, members: DataFrame) -> DataFrame:
     return out.select("doc_id", "n_shingles", component.alias("component_id"))
 
 
-def join(docs: DataFrame, text: str = "text", shingle: int = SHINGLE, percent: int = PERCENT, stars: int = STARS) -> DataFrame:
-    """One row for each row of docs: doc_id, n_shingles, component_id."""
+def _merged(labels: DataFrame, pairs: DataFrame) -> DataFrame:
+    """(node, root) of what labels and pairs connect; only the roots that pairs connect are walked again."""
+    end = lambda name: labels.select(F.col("node").alias(name), F.col("root").alias(f"root_{name}"))
+    edges = pairs.join(end("a"), "a", "left").join(end("b"), "b", "left").select(F.coalesce("root_a", "a").alias("a"), F.coalesce("root_b", "b").alias("b"))
+    new = components(edges)
+    moved = labels.join(new.select(F.col("node").alias("root"), F.col("root").alias("to")), "root", "left")
+    return session.written(moved.select("node", F.coalesce("to", "root").alias("root")).unionByName(new), "labels")
+
+
+def _link_counts(texts: DataFrame, labels: DataFrame, shingle: int, percent: int, chunk: int) -> DataFrame:
+    """(rep, k): to how many other sets that of each representative links, for those that link at all."""
+    nodes = labels.select(F.col("node").alias("rep"), "root").unionByName(labels.select(F.col("root").alias("rep"), "root").distinct())
+    held = session.written(texts.select("rep", "n", "text").join(nodes, "rep"), "linked")
+    sizes = held.groupBy("root").agg(F.sum(F.octet_length("text") + 64).alias("bytes"))
+    sizes = session.written(sizes.select("root", F.ceil(F.col("bytes") / chunk).cast("int").alias("parts"), "bytes"), "sizes")
+    shared = max(1, -(-(sizes.where("parts = 1").agg(F.sum("bytes")).first()[0] or 0) // chunk))
+    part = F.pmod(F.xxhash64("rep", F.lit("part")), F.col("parts")).cast("int")
+    placed = held.join(sizes, "root").select("rep", "n", "text", "root", "parts", part.alias("part"))
+    small = placed.where("parts = 1").select("rep", "n", "text", "root", F.lit(0).alias("part"), F.pmod(F.xxhash64("root", F.lit("part")), F.lit(shared)).alias("key"), F.lit(-1).alias("i"), F.lit(-1).alias("j"))
+    other = placed.where("parts > 1").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    large = other.select("rep", "n", "text", "root", "part", F.col("root").alias("key"), F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j"))
+
+    def run(table: pa.Table) -> pa.Table:
+        across = table["i"][0].as_py() != table["j"][0].as_py()
+        root, part = table["root"].to_numpy(), table["part"].to_numpy()
+        by = np.lexsort((part, root))
+        table, root, part = table.take(pa.array(by)), root[by], part[by]
+        column, n = _column(table), table["n"].to_numpy().astype(np.int64)
+        rows, names = [], []
+        for a, b in rolling.steps(column):
+            text, h = shingle_sets(*rolling.text_bytes(column.slice(a, b - a)), shingle)
+            rows.append(text + a)
+            names.append(h)
+        row, name = np.concatenate(rows), np.concatenate(names)
+        name = np.unique(rolling.mix(name) ^ rolling.mix(root.astype(np.uint64))[row], return_inverse=True)[1]  # shingles of one component each
+        own = np.append(0, np.cumsum(np.bincount(row, minlength=len(n))))
+        order = np.argsort(name, kind="stable")
+        posted, at = row[order], np.append(0, np.cumsum(np.bincount(name)))
+        begin, end = np.searchsorted(root, root, "left"), np.searchsorted(root, root, "right")
+        if across:
+            middle = int(np.searchsorted(part, part[-1]))
+        k = np.zeros(len(n), np.int64)
+        for x in range(middle if across else len(n)):
+            first = middle if across else x + 1
+            if first >= end[x]:
+                continue
+            mine = name[own[x] : own[x + 1]]
+            size = at[mine + 1] - at[mine]
+            met = posted[np.arange(size.sum()) + np.repeat(at[mine] - (np.cumsum(size) - size), size)]
+            common = np.bincount(met - begin[x], minlength=end[x] - begin[x])[first - begin[x] :]
+            link = 100 * common >= percent * (n[x] + n[first : end[x]] - common)
+            k[x] += link.sum()
+            k[first : end[x]] += link
+        return pa.table({"rep": table["rep"], "k": k}).filter(pa.array(k > 0))
+
+    counted = small.unionByName(large).groupBy("key", "i", "j").applyInArrow(run, "rep long, k long")
+    return counted.groupBy("rep").agg(F.sum("k").alias("k"))
+
+
+def join(docs: DataFrame, text: str = "text", shingle: int = SHINGLE, percent: int = PERCENT, stars: int = STARS, counts: bool = False, chunk: int = CHUNK) -> DataFrame:
+    """One row for each row of docs: doc_id, n_shingles, component_id; with counts also class_id (the smallest doc_id of
+    an equal set) and n_links (other sets that the row's set links with)."""
     rows, texts, open_ = _prepared(docs, text, shingle, percent)
-    one = rows.where("rep is not null").groupBy("doc_id").agg(F.min("rep").alias("a"), F.max("rep").alias("b")).where("a < b").select("a", "b")
-    found = [session.written(one, "links")]
+    labels = components(rows.where("rep is not null").groupBy("doc_id").agg(F.min("rep").alias("a"), F.max("rep").alias("b")).where("a < b").select("a", "b"))
+    tried: DataFrame | None = None
     for r in range(stars + 1):
         if open_.isEmpty():
             break
         if r < stars:
             rank = F.xxhash64("rep", F.lit(r)) if r == 0 else F.xxhash64("rep", "token", F.lit(r))
-            middle = open_.groupBy("token").agg(F.min_by(F.struct("rep", "n", "place", "label"), rank).alias("m"))
+            middle = session.written(open_.groupBy("token").agg(F.min_by(F.struct("rep", "n", "place", "label"), rank).alias("m")), "middle")
             met = open_.join(middle, "token").where("label != m.label").select(F.col("m.rep").alias("a"), F.col("m.n").alias("na"), F.col("m.place").alias("pa"), F.col("rep").alias("b"), F.col("n").alias("nb"), F.col("place").alias("pb"))
         else:
             met = _pair_by_pair(open_, texts, percent)
-        found.append(session.written(_verified(_filtered(met, percent), texts, shingle, percent), "links"))
+        met = _filtered(met, percent).select("a", "b", F.least("a", "b").alias("x"), F.greatest("a", "b").alias("y"))
+        met = session.written(met.join(tried, ["x", "y"], "left_anti") if tried is not None else met, "pairs")
+        labels = _merged(labels, session.written(_verified(met.select("a", "b"), texts, shingle, percent), "links"))
         if r == stars:
             break
-        every = found[0]
-        for x in found[1:]:
-            every = every.unionByName(x)
-        labels = components(every)
-        named = open_.drop("label").join(labels, open_["rep"] == labels["node"], "left").select("token", "place", "rep", "n", F.coalesce("root", "rep").alias("label"))
-        unsettled = named.groupBy("token").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x < y").select("token")
-        open_ = session.written(named.join(unsettled, "token"), "tokens")
-    every = found[0]
-    for x in found[1:]:
-        every = every.unionByName(x)
-    labels = components(every)
+        tried = met.select("x", "y") if tried is None else tried.unionByName(met.select("x", "y"))
+        open_ = _unsettled(open_.drop("label").join(labels, open_["rep"] == labels["node"], "left").select("token", "place", "rep", "n", F.coalesce("root", "rep").alias("label")))
     out = rows.join(labels, rows["rep"] == labels["node"], "left")
     component = F.when(F.col("rep").isNull(), F.col("doc_id")).otherwise(F.coalesce("root", "rep"))
-    return out.select("doc_id", F.col("n").cast("long").alias("n_shingles"), component.alias("component_id"))
+    out = out.select("doc_id", F.col("n").cast("long").alias("n_shingles"), component.alias("component_id"), F.col("rep").alias("class_id"))
+    if not counts:
+        return out.drop("class_id")
+    held = _link_counts(texts, labels, shingle, percent, chunk).withColumnRenamed("rep", "class_id")
+    return out.join(held, "class_id", "left").select("doc_id", "n_shingles", "component_id", "class_id", F.coalesce("k", F.lit(0)).cast("long").alias("n_links"))

@@ -110,4 +110,5 @@ def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def op4_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ngram_join.linked(*ngram_join.links(table(spark, sf_dir, "documents")))
+    found = ngram_join.join(table(spark, sf_dir, "documents"), counts=True)
+    return found.select("doc_id", "n_shingles", "component_id", "n_links")

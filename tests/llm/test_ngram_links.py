@@ -32,6 +32,9 @@ def test_links_against_brute_force(spark, monkeypatch):
     got = sorted(((r.doc_id, r.n_shingles, r.class_id, r.n_links) for r in members.collect()), key=str)
     all_rows = [(d, len(sets_of(t)), rep[sets[d]] if d is not None and sets[d] else None, n[rep[sets[d]]] if d is not None and sets[d] else 0) for d, t in docs]
     assert got == sorted(all_rows, key=str)
+    for chunk in (1 << 20, 5000):
+        counted = ngram_join.join(spark.createDataFrame(docs, "doc_id long, text string"), counts=True, chunk=chunk)
+        assert sorted(((r.doc_id, r.n_shingles, r.class_id, r.n_links) for r in counted.collect()), key=str) == got
     named = [x for x in docs if x[0] is not None]
     found = ngram_join.linked(pairs, members).where("doc_id is not null").collect()
     assert sorted(map(tuple, found)) == sorted(brute(named))
