@@ -90,7 +90,7 @@ held AS (SELECT n, lead, p, token, sum(docs) AS c FROM place GROUP BY ALL),
 made AS (SELECT w, n, p, CASE WHEN p <= 2 OR 5 * c >= total THEN token ELSE '<*>' END AS token FROM place JOIN held USING (n, lead, p, token) JOIN leaf USING (n, lead)),
 tree AS (SELECT w, CASE WHEN 100 * count(*) FILTER (token <> '<*>') >= 70 * any_value(n) THEN string_agg(token, ' ' ORDER BY p) ELSE w END AS template FROM made GROUP BY w),
 r AS (SELECT template, min(doc_id) AS first FROM t JOIN tree USING (w) GROUP BY template
-      HAVING count(DISTINCT doc_id) >= 3 * pow(4, greatest(0, 4 - len(list_filter(string_split(template, ' '), x -> x <> '<*>'))))),
+      HAVING count(DISTINCT doc_id) >= 3 * pow(4, greatest(0, 4 - len([x FOR x IN string_split(template, ' ') IF x <> '<*>'])))),
 k AS (SELECT t.doc_id, i, line, r.first IS NOT NULL AND t.doc_id > r.first AS gone FROM t LEFT JOIN tree USING (w) LEFT JOIN r USING (template)),
 s AS (SELECT doc_id, count(*) AS n_lines, count(*) FILTER (WHERE gone) AS n_dropped, coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (WHERE NOT gone), '') AS kept FROM k GROUP BY doc_id)
 SELECT d.doc_id, CAST(coalesce(n_lines, 0) AS BIGINT) AS n_lines, CAST(coalesce(n_dropped, 0) AS BIGINT) AS n_dropped, CASE WHEN d.text IS NULL THEN NULL ELSE sha256(kept) END AS kept_sha256
