@@ -32,8 +32,8 @@ from pyspark.sql import types as T
 from lanternfish import session
 
 _TOKEN = re.compile(r"""<!--(?:.*?-->|.*)|<[!?][^>]*+>|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>"']++|"[^"]*+"|'[^']*+')*+)>|<(/?)([a-zA-Z][^\s/>]*+)([^>]*+)>""", re.S)
-_NAMES = re.compile(r"""\b(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
-_HIDDEN = re.compile(r"""(?:^|\s)hidden(?:\s|=|/|$)|aria-hidden\s*=\s*["']?true|display\s*:\s*none""", re.I)
+_ATTRIBUTE = re.compile(r"""([^\s"'>/=]++)(?:\s*+=\s*+("[^"]*+"?|'[^']*+'?|[^\s"'>]++))?""")
+_NO_DISPLAY = re.compile(r"(?<![\w-])display\s*:\s*none", re.I)
 _SPACE = re.compile(r"\s+")
 _RAW = {n: re.compile(rf"</{n}\s*+[^>]*>", re.I) for n in ("script", "style", "textarea", "title", "iframe", "noembed", "noframes", "xmp", "svg", "math", "template", "object")}
 _VOID = set("area base basefont br col embed frame hr img input link meta param source track wbr".split())
@@ -48,6 +48,8 @@ _BOILERPLATE = set(
     "share sharing social toolbar pagination pager login search skip copyright disclaimer".split()
 )
 _HEADER = {"header", "masthead", "banner"}
+#: Elements whose names say what they are in the article, such as a heading with an anchor, not that they aren't in it.
+_NAMELESS = set("h1 h2 h3 h4 h5 h6 abbr b bdi bdo cite code del dfn em i ins kbd mark q s samp small strong sub sup u var".split())
 _SAME = {"li": ({"li"}, {"ul", "ol", "menu"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}), "tr": ({"tr", "td", "th"}, {"table"}), "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"}), "option": ({"option"}, {"select"})}
 
 
@@ -105,12 +107,14 @@ class _Page:
             return True
         if not attributes or tag in ("html", "body", "article", "main"):
             return False
-        if _HIDDEN.search(attributes):
-            return True
-        for m in _NAMES.finditer(attributes):
-            words = set(re.split(r"[^a-z]+", (m[1] or m[2] or m[3] or "").lower()))
-            if words & _BOILERPLATE or (not self._marked and words & _HEADER):
+        for m in _ATTRIBUTE.finditer(attributes):
+            name, value = m[1].lower(), (m[2] or "").strip("\"'")
+            if name == "hidden" or (name == "aria-hidden" and value.lower() == "true") or (name == "style" and _NO_DISPLAY.search(value)):
                 return True
+            if name in ("class", "id", "role") and tag not in _NAMELESS:
+                words = set(re.split(r"[^a-z]+", value.lower()))
+                if words & _BOILERPLATE or (not self._marked and words & _HEADER):
+                    return True
         return False
 
     def _open(self, tag: str, attributes: str) -> None:

@@ -40,6 +40,8 @@ LINKS = "".join(f'<li><a href="/{i}">entry {i}</a></li>' for i in range(20))
         ("<aside>x<article><p>y", "y"),
         ("<article><table><tr><td>1<td>2<tr><td>3</table></article>", "1 2\n\n3"),
         ("<article>a < b &lt; c</article>", "a < b < c"),
+        ('<article><h2 id="search">Search</h2><section data-id="related">kept</section><p title="a hidden gem">gem</p><p data-hidden="1">too</p></article>', "Search\n\nkept\n\ngem\n\ntoo"),
+        ("<article><p HIDDEN=''>n</p><p aria-hidden='true'>n</p><div class='x related-posts'>n</div><p style=\"color:red; display : none\">n</p>y</article>", "y"),
         ("<div><" * 3000 + "x", None),
     ],
 )
@@ -48,6 +50,20 @@ def test_cases(source, want):
     assert want is None or got == want
 
 
+def test_without_marks(spark):
+    """The pages of the tables with their article and main tags taken away: densities alone find the same text."""
+    rows = [(r.page_id, re.sub(r"</?(article|main)\b[^>]*>", lambda m: "</div>" if m[0][1] == "/" else "<div>", r.html), plain(r.html)) for r in spark.read.parquet("/root/testdata/sf0.01/pages.parquet").collect()]
+    assert all("<article" not in source for _, source, _ in rows)
+    same = sum("\n\n".join(html_text.main_blocks(source)) == want for _, source, want in rows)
+    assert same == len(rows)
+
+
+def test_very_long_page():
+    body = "".join(f"<p>{LONG}{i}</p>" for i in range(4000))
+    found = html_text.main_blocks(f"<body><ul>{LINKS}</ul><div>{body}</div><footer>f</footer></body>")
+    assert found == [f"{LONG}{i}" for i in range(4000)]
+
+
 def test_edges(spark):
     pages = spark.createDataFrame([(1, None, "u", 7), (1, "<p>x</p>", None, 8), (1, "<p>x</p>", None, 8)], "page_id long, html string, url string, text int")
     assert sorted((r.text, r.n_chars) for r in html_text.extract(pages).collect()) == [("", 0), ("x", 1), ("x", 1)]
