@@ -3,16 +3,16 @@
 Words are maximal runs of digits, letters a-z (A-Z count as lower case) and bytes from 0x80.  The automaton of
 all items follows the words of a document and keeps the longest matching length.  A span is hit where that
 length reaches LENGTH words (the length limit), or where a whole item of fewer words ends (the coverage limit:
-all of the item).  Document words outside the items' vocabulary reset the automaton, so it walks only through
-runs of known words that are long enough; these are found with array operations.
+all of the item).  No span is hit without as many words in a row as the shortest limit that also stand in an item, so
+the automaton walks only through runs of such words; these are found with array operations, by hash.
 
 Items are read to the driver in portions of at most PORTION_WORDS words, counted first; each portion is an
-automaton of its own and a narrow pass over the documents, so a benchmark of any size needs bounded memory and
-no document moves.  Hits of portions are united.
+automaton of its own, built once in each worker, and a narrow pass over the documents, so a benchmark of any size
+needs bounded memory and no document moves.  Hits of portions are united.
 
 Defined results: null texts and items have no words; items of the same id unite; an item without words never
-occurs; documents are handled row by row, so repeated rows, ties and extra columns don't matter; an empty
-benchmark leaves every document without a hit.
+occurs; an item without an id hits words but is neither counted nor listed; documents are handled row by row, so repeated rows, ties and extra columns don't matter; an empty
+benchmark leaves every document without a hit; a very long text is a step of its own and handled whole.
 """
 
 from __future__ import annotations
@@ -133,13 +133,21 @@ class Matcher:
         small, starts, stops, first = _words(raw, offsets)
         self.known, ids = np.unique(rolling.word_hashes(small, starts, stops), return_inverse=True)
         sequences = [ids[a:b].tolist() for a, b in zip(first, first[1:], strict=False)]
+        self.least = min([length, *(len(s) for s in sequences if s)])
+        self.runs = np.unique(self._runs(rolling.word_hashes(small, starts, stops), first)[1])
         self.automaton = Automaton()
         for s in sequences:
             self.automaton.add(s)
         for (item, _), s in zip(items, sequences, strict=True):
             self.automaton.mark(item, s, length)
         self.automaton.close()
-        self.least = min([length, *(len(s) for s in sequences if s)])
+
+    def _runs(self, words: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(first words, hashes) of the runs of `least` words within a text."""
+        h = rolling.mix(rolling.all_spans(rolling.prefix(words), self.least))
+        text = np.repeat(np.arange(len(first) - 1), np.diff(first))
+        at = np.flatnonzero(text[: len(h)] == text[self.least - 1 :]) if len(h) else np.zeros(0, np.int64)
+        return at, h[at]
 
     def spans(self, raw: np.ndarray, offsets: np.ndarray):
         """(word starts, word stops, first word of each text, {text: [(first word, end word, items)]})."""
@@ -147,14 +155,19 @@ class Matcher:
         found: dict[int, list] = {}
         if len(starts) and len(self.known):
             h = rolling.word_hashes(small, starts, stops)
-            at = np.minimum(np.searchsorted(self.known, h), len(self.known) - 1)
-            known = self.known[at] == h
-            edge = np.zeros(len(h) + 1, bool)
-            edge[first] = True
-            begins = np.flatnonzero(known & (edge[:-1] | np.append(True, ~known[:-1])))
-            ends = np.flatnonzero(known & (edge[1:] | np.append(~known[1:], True))) + 1
-            long = ends - begins >= self.least
-            for a, b in zip(begins[long].tolist(), ends[long].tolist(), strict=True):
+            begin, run = self._runs(h, first)
+            begin = begin[self.runs[np.minimum(np.searchsorted(self.runs, run), len(self.runs) - 1)] == run]
+            edge = np.zeros(len(h) + 1, np.int64)
+            edge[begin] += 1
+            edge[begin + self.least] -= 1  # begins differ, so do ends
+            inside = np.cumsum(edge[:-1]) > 0
+            cut = np.zeros(len(h) + 1, bool)
+            cut[first] = True
+            begins = np.flatnonzero(inside & (cut[:-1] | np.append(True, ~inside[:-1])))
+            ends = np.flatnonzero(inside & (cut[1:] | np.append(~inside[1:], True))) + 1
+            at = np.zeros(len(h), np.int64)
+            at[inside] = np.searchsorted(self.known, h[inside])
+            for a, b in zip(begins.tolist(), ends.tolist(), strict=True):
                 text = int(np.searchsorted(first, a, "right")) - 1
                 base = a - int(first[text])
                 for i, j, items in self.automaton.hits(at[a:b].tolist(), self.length):
@@ -181,11 +194,25 @@ def find(docs: DataFrame, items: DataFrame, text: str = "text", item_id: str = "
     return out
 
 
+_MATCHERS: dict[tuple[str, int], Matcher] = {}
+
+
+def _matcher(shared, length: int) -> Matcher:
+    """The matcher of a portion, kept for later tasks of this worker; a few portions at a time."""
+    items = shared.value
+    key = (hashlib.sha256(repr(items).encode()).hexdigest(), length)
+    if key not in _MATCHERS:
+        while len(_MATCHERS) > 2:
+            _MATCHERS.pop(next(iter(_MATCHERS)))
+        _MATCHERS[key] = Matcher(items, length)
+    return _MATCHERS[key]
+
+
 def _finder(shared, schema, text, length, first):
     names = schema.names
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        matcher = Matcher(shared.value, length)
+        matcher = _matcher(shared, length)
         for batch in batches:
             for a, b in rolling.steps(batch.column(text)):
                 part = batch.slice(a, b - a)
@@ -198,7 +225,7 @@ def _finder(shared, schema, text, length, first):
                     items = part.column("hit_items").to_pylist()
                 for t, hits in found.items():
                     spans[t] = merged([*spans[t], *((i, j) for i, j, _ in hits)])
-                    items[t] = sorted({*items[t]}.union(*(x for _, _, x in hits)))
+                    items[t] = sorted({*items[t]}.union(*(x - {None} for _, _, x in hits)))
                 kind = pa.list_(pa.struct([("first", pa.int32()), ("stop", pa.int32())]))
                 own = {
                     "n_words": pa.array(np.diff(begin), pa.int64()),

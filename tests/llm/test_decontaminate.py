@@ -55,3 +55,20 @@ def test_empty_tables_and_removal(spark):
     assert decontaminate.report(docs.limit(0), none).count() == 0
     item = spark.createDataFrame([("a", "TWO three")], "item_id string, text string")
     assert [tuple(r) for r in decontaminate.removed(docs, item).orderBy("doc_id").collect()] == [(1, "one . four", 9), (2, None, 9)]
+
+
+def test_an_item_without_an_id_hits_words_only(spark):
+    docs = spark.createDataFrame([(1, "one two three four"), (2, "three")], "doc_id long, text string")
+    items = spark.createDataFrame([(None, "two three"), ("a", "two three four"), (None, None)], "item_id string, text string")
+    rows = sorted(tuple(r)[2:] for r in decontaminate.report(docs, items).collect())
+    assert rows == [(1, 0, 0, decontaminate.sha256_of([]), False), (4, 3, 1, decontaminate.sha256_of(["a"]), True)]
+
+
+def test_very_long_text(spark):
+    """A text beyond a step; the item stands across what would be a cut, and at the end."""
+    item = " ".join(f"w{i}" for i in range(12))
+    text = "filler word " * 40_000 + item + " filler" * 60_000 + " " + item
+    docs = [(1, text), (2, "short")]
+    df, items = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame([("x", item)], "item_id string, text string")
+    rows = decontaminate.report(df, items).select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated").collect()
+    assert sorted(map(tuple, rows)) == sorted(brute(docs, [("x", item)]))
