@@ -61,17 +61,21 @@ def _constants(tokens: Column) -> Column:
     return F.size(F.filter(tokens, lambda t: t != MARK))
 
 
-def _lines(docs: DataFrame, text: str, depth: int) -> DataFrame:
-    """(doc_id, version, line, leaf, a, b, constants) of lines with a token."""
+def _exploded(docs: DataFrame, text: str) -> DataFrame:
+    """(doc_id, version, line, words) of every line."""
     rows = docs.where(F.col(text).isNotNull() & F.col("doc_id").isNotNull())
     rows = rows.select("doc_id", F.xxhash64(text).alias("version"), F.split(text, "\n", -1).alias("lines"))  # before the lines part, else for each of them
-    rows = rows.select("doc_id", "version", F.posexplode("lines").alias("line", "words"))
-    rows = rows.select("doc_id", "version", "line", _masked(F.col("words")).alias("words"))
+    return rows.select("doc_id", "version", F.posexplode("lines").alias("line", "words"))
+
+
+def _lines(docs: DataFrame, text: str, depth: int) -> DataFrame:
+    """(doc_id, version, line, leaf, a, b, constants) of every line, the last four null where it has no token."""
     words = F.col("words")
     n = _tokens(words)
     constants = F.when(words.contains(MARK), _constants(F.split(words, " "))).otherwise(n)
     some = lambda x: F.when(words != "", x)  # noqa: E731  null instead of a filter, which would spell the line twice
     a, b = _hashes(words)
+    rows = _exploded(docs, text).select("doc_id", "version", "line", _masked(words).alias("words"))
     return rows.select("doc_id", "version", "line", some(F.xxhash64(n, F.substring_index(words, " ", depth))).alias("leaf"), some(a).alias("a"), some(b).alias("b"), some(constants).alias("constants"))
 
 
@@ -80,13 +84,9 @@ def _generalised(docs: DataFrame, lines: DataFrame, text: str, depth: int, share
     groups = lines.groupBy("leaf", "a", "b").agg(F.count_distinct("doc_id").alias("docs"), F.min(F.struct("doc_id", "version", "line")).alias("at"))
     groups = session.written(groups, "groups")
     leaves = session.written(groups.groupBy("leaf").agg(F.count("*").alias("kinds"), F.sum("docs").alias("total")).where((F.col("kinds") > 1) & (F.col("total") > share)).select("leaf", "total"), "leaves")
-    places = groups.join(leaves, "leaf").select("at.doc_id", "at.version", F.struct("at.line", "leaf", "a", "b", "docs", "total").alias("m"))
-    wanted = places.groupBy("doc_id", "version").agg(F.collect_list("m").alias("m"))  # lines of one document at most
-    texts = docs.where(F.col(text).isNotNull()).select("doc_id", F.xxhash64(text).alias("version"), F.split(F.col(text), "\n", -1).alias("lines"))
-    texts = texts.groupBy("doc_id", "version").agg(F.first("lines").alias("lines")).join(wanted, ["doc_id", "version"])
-    picked = F.transform("m", lambda m: F.struct(m["leaf"].alias("leaf"), m["a"].alias("a"), m["b"].alias("b"), m["docs"].alias("docs"), m["total"].alias("total"), F.get("lines", m["line"]).alias("line")))
-    spelled = texts.select(F.explode(picked).alias("m")).select("m.leaf", "m.a", "m.b", "m.docs", "m.total", F.split(_masked(F.col("m.line")), " ").alias("tokens"))
-    spelled = session.written(spelled.where(F.size("tokens") > depth), "spelled")
+    places = session.written(groups.join(leaves, "leaf").select("at.doc_id", "at.version", "at.line", "leaf", "a", "b", "docs", "total"), "places")
+    spelled = _exploded(docs, text).join(places, ["doc_id", "version", "line"]).select("leaf", "a", "b", "docs", "total", F.split(_masked(F.col("words")), " ").alias("tokens"))
+    spelled = session.written(spelled.where(F.size("tokens") > depth).dropDuplicates(["a", "b"]), "spelled")  # rows may be repeated
     rest = F.slice("tokens", depth + 1, F.greatest(F.size("tokens") - depth, F.lit(0)))
     values = spelled.select("leaf", "docs", "total", F.posexplode(rest).alias("place", "token")).groupBy("leaf", "place", "token").agg(F.sum("docs").alias("n"), F.first("total").alias("total"))
     constant = F.when(F.col("n") * share >= F.col("total"), F.col("token"))
@@ -98,7 +98,7 @@ def _generalised(docs: DataFrame, lines: DataFrame, text: str, depth: int, share
     ta, tb = _hashes(F.col("template"))
     out = made.where(100 * F.col("kept") >= similarity * F.col("n")).select("a", "b", ta.alias("ta"), tb.alias("tb"), "kept").where("a != ta or b != tb")
     out = session.written(out, "generalised")
-    session.discard(groups, leaves, spelled, known)
+    session.discard(groups, leaves, places, spelled, known)
     return out
 
 
