@@ -190,16 +190,20 @@ def _histories(counted: DataFrame) -> DataFrame:
 
 
 class _Table:
-    """Rows of numbers by 64-bit names, found by the leading bits of a mixed name and a few steps on from there."""
+    """Rows of numbers by 64-bit names, found by the leading bits of a mixed name and a few steps on from there.
+    order: how rows, one more than names and the last one of zeros, follow from the names given."""
 
-    def __init__(self, names: np.ndarray, rows: np.ndarray) -> None:
+    def __init__(self, names: np.ndarray, columns: int, kind: type) -> None:
         names = rolling.mix(names)
-        by = np.argsort(names)
+        self.order = np.argsort(names).astype(np.int32)
         bits = max(int(len(names)).bit_length() + 1, 4)
         self.shift = _U(64 - bits)
-        self.names, self.rows = names[by], np.vstack([rows[by], np.zeros((1, rows.shape[1]), np.float32)])
+        self.names, self.rows = names[self.order], np.zeros((len(names) + 1, columns), kind)
         self.first = np.searchsorted(self.names >> self.shift, np.arange(1 << bits, dtype=_U)).astype(np.int32)
 
+    def put(self, column: int, values: np.ndarray) -> None:
+        self.rows[:-1, column] = values[self.order]
+
     def find(self, names: np.ndarray) -> np.ndarray:
         """The place of each name in rows; the last one, of zeros, for those not there."""
         names, n = rolling.mix(names), len(self.names)
@@ -236,18 +240,20 @@ class Model:
     """log P(byte | toxic) - log P(byte | ordinary) by n-gram, and by history for n-grams that neither class has; a
     column for each fold that counts(fold), (ordinary, toxic) by n-gram, leaves out."""
 
-    def __init__(self, g: np.ndarray, below: np.ndarray, folds, counts) -> None:
+    def __init__(self, g: np.ndarray, below: np.ndarray, folds, counts, kind: type = np.float32) -> None:
         histories, at = np.unique(g >> _U(8), return_inverse=True)
-        by_gram, by_history = (np.zeros((len(x), len(folds)), np.float32) for x in (g, histories))
+        at = at.astype(np.int32)
+        self.grams, self.histories = (_Table(x, len(folds), kind) for x in (g, histories))
         for k, fold in enumerate(folds):
-            p, left = [], []
-            for n in counts(fold):
+            by_gram, by_history = np.zeros(len(g)), np.zeros(len(histories))
+            for sign, n in zip((-1, 1), counts(fold), strict=True):
                 total, kinds = np.bincount(at, n, len(histories)), np.bincount(at, n > 0, len(histories))
                 rest = np.where(total > 0, DISCOUNT * kinds / np.maximum(total, 1), 1)
-                p.append(np.maximum(n - DISCOUNT, 0) / np.maximum(total, 1)[at] + rest[at] * below)
-                left.append(rest)
-            by_gram[:, k], by_history[:, k] = np.log(p[1] / p[0]), np.log(left[1] / left[0])
-        self.grams, self.histories = _Table(g, by_gram), _Table(histories, by_history)
+                by_gram += sign * np.log(np.maximum(n - DISCOUNT, 0) / np.maximum(total, 1)[at] + rest[at] * below)
+                by_history += sign * np.log(rest)
+            self.grams.put(k, by_gram)
+            self.histories.put(k, by_history)
+        del self.grams.order, self.histories.order
 
     def ratios(self, g: np.ndarray, which: int = 0) -> np.ndarray:
         """For each n-gram at the longest; 0 where no class knows its history."""
@@ -557,13 +563,14 @@ def train(docs: DataFrame, labels: DataFrame, text: str = "text", class_rows: in
     # bounded by the sample: what its n-grams back off to
     wanted = _continuations(_longest(docs, text)).join(_histories(counted), "h", "left_semi")
     shared = session.written(wanted.groupBy("g").agg(F.sum("n").cast("int").alias("n")), "toxicity-shared")
-    found = counted.toArrow()
-    own, at = np.unique(_names(found), return_inverse=True)
+    found = counted.sort("g").toArrow()
+    own = _names(found)
+    new = np.append(True, own[1:] != own[:-1])[: len(own)]
+    own, at = own[new], np.cumsum(new, dtype=np.int32) - 1
     kind, n = found["kind"].to_numpy().astype(np.int8), found["n"].to_numpy()
-    found = shared.toArrow()
-    by = np.argsort(_names(found))
-    below = _below(own, _names(found)[by], found["n"].to_numpy()[by])
-    del found
+    found = shared.sort("g").toArrow()  # names of lower orders have no sign
+    below = _below(own, _names(found), found["n"].to_numpy())
+    del found, new
     session.discard(counted, shared)
 
     def counts(fold: int | None) -> tuple[np.ndarray, np.ndarray]:
@@ -571,7 +578,7 @@ def train(docs: DataFrame, labels: DataFrame, text: str = "text", class_rows: in
         uses = [(kind & 1 == toxic) & (kind >> 1 != (-1 if fold is None else fold)) for toxic in (0, 1)]
         return tuple(np.bincount(at[use], n[use], len(own)) for use in uses)
 
-    crossed = spark.sparkContext.broadcast(Model(own, below, range(FOLDS), counts))
+    crossed = spark.sparkContext.broadcast(Model(own, below, range(FOLDS), counts, np.float16))
 
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
