@@ -303,248 +303,6 @@ def _fit(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     return w
 
 
-def training_row(doc_id: str = "doc_id") -> Column:
-    """True for rows whose labels may be learned."""
-    return F.pmod(F.crc32(F.col(doc_id).cast("string")), F.lit(3)) != 1
-
-
-def _words(raw: np.ndarray, offsets: np.ndarray):
-    """(small letters, word starts, word stops, first word of each text)."""
-    small = rolling.lower(raw)
-    return small, *rolling.words(small, offsets, ~_INSIDE[small])
-
-
-def grams(letters: np.ndarray, within: np.ndarray) -> np.ndarray:
-    """The longest n-gram that ends at each byte of words laid end to end; within: a byte's place in its word.  An
-    n-gram's bytes, the last one lowest, are its name; what precedes the last byte, its history, is name >> 8."""
-    out = letters.astype(_U)
-    for back in range(1, ORDER):
-        byte = np.zeros(len(letters), _U)
-        byte[back:] = letters[: max(len(letters) - back, 0)]
-        byte[within == back - 1] = BOUNDARY
-        byte[within < back - 1] = 0
-        out |= byte << _U(8 * back)
-    return out
-
-
-def _different(raw: np.ndarray, offsets: np.ndarray):
-    """(letters of each different word end to end, within, end of each, which of them each word is, word sizes,
-    first word of each text)."""
-    small, starts, stops, first = _words(raw, offsets)
-    size = stops - starts
-    _, pick, same = np.unique(rolling.word_hashes(small, starts, stops), return_index=True, return_inverse=True)
-    ends = np.cumsum(size[pick])
-    within = np.arange(ends[-1] if len(ends) else 0) - np.repeat(ends - size[pick], size[pick])
-    return small[np.repeat(starts[pick], size[pick]) + within], within, ends, same, size, first
-
-
-def _summed(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
-    """Counts (names, n) of several parts, added up by name."""
-    names, n = (np.concatenate(x) for x in zip(*parts, strict=True))
-    by = np.argsort(names, kind="stable")
-    names = names[by]
-    edge = np.flatnonzero(np.append(True, names[1:] != names[:-1])[: len(names)])
-    return names[edge], np.add.reduceat(n[by], edge) if len(edge) else n
-
-
-def _rows(**columns: np.ndarray) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(x.view(np.int64) if x.dtype == _U else x) for x in columns.values()], names=list(columns))
-
-
-def _names(table: pa.Table | pa.RecordBatch, name: str = "g") -> np.ndarray:
-    return table.column(name).to_numpy().view(_U)
-
-
-def _count(texts: DataFrame) -> DataFrame:
-    """(kind, g, n): how often each n-gram stands at the longest in the texts of a kind, 2 * fold + class."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[int, list] = {}
-        size = 0
-        for batch in batches:
-            for a, b in rolling.steps(batch.column("text"), _STEP):
-                part = batch.slice(a, b - a)
-                small, starts, stops, first = _words(*rolling.text_bytes(part.column("text")))
-                long = stops - starts
-                ends = np.cumsum(long)
-                within = np.arange(ends[-1] if len(ends) else 0) - np.repeat(ends - long, long)
-                g = grams(small[np.repeat(starts, long) + within], within)
-                kind = np.repeat(np.repeat(part.column("kind").to_numpy(), np.diff(first)), long)
-                for k in np.unique(kind).tolist():
-                    held.setdefault(k, []).append(np.unique(g[kind == k], return_counts=True))
-                    size += len(held[k][-1][0])
-                if size > _HELD:
-                    held = {k: [_summed(x)] for k, x in held.items()}
-                    if (size := sum(len(x[0][0]) for x in held.values())) > _HELD // 2:
-                        yield from (_rows(kind=np.full(len(x[0][0]), k, np.int32), g=x[0][0], n=x[0][1]) for k, x in held.items())
-                        held, size = {}, 0
-        for k, x in held.items():
-            g, n = _summed(x)
-            yield _rows(kind=np.full(len(g), k, np.int32), g=g, n=n)
-
-    return texts.mapInArrow(run, "kind int, g long, n long").groupBy("kind", "g").agg(F.sum("n").cast("int").alias("n"))
-
-
-def _longest(docs: DataFrame, text: str) -> DataFrame:
-    """(g): the n-grams, at the longest, of all words of all documents; some of them several times."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, size = [np.zeros(0, _U)], 0
-        for batch in batches:
-            for a, b in rolling.steps(batch.column(0), _STEP):
-                letters, within, *_ = _different(*rolling.text_bytes(batch.column(0).slice(a, b - a)))
-                held.append(np.unique(grams(letters, within)))
-                size += len(held[-1])
-                if size > _HELD:
-                    held = [np.unique(np.concatenate(held))]
-                    if (size := len(held[0])) > _HELD // 2:
-                        yield _rows(g=held.pop())
-                        held, size = [np.zeros(0, _U)], 0
-        yield _rows(g=np.unique(np.concatenate(held)))
-
-    return docs.select(F.col(text)).mapInArrow(run, "g long")
-
-
-def _continuations(longest: DataFrame) -> DataFrame:
-    """(h, g, n): in how many different bytes the n-grams g of orders 2 to ORDER - 1 are continued to the left; h: their
-    histories.  All n-grams that end in the same three bytes meet in one task, so each is counted there for good,
-    but for those of two bytes, which have a part of their count in several."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        found = np.unique(np.concatenate([np.zeros(0, _U), *(_names(batch) for batch in batches)]))
-        for order in range(2, ORDER):
-            left = found[found >> _U(8 * order) != 0] & _U((1 << 8 * (order + 1)) - 1)
-            g, n = np.unique(np.unique(left) & _U((1 << 8 * order) - 1), return_counts=True)
-            yield _rows(h=g >> _U(8), g=g, n=n)
-
-    tail = F.col("g").bitwiseAND(F.lit((1 << 24) - 1).cast("long"))
-    return longest.repartition(tail).mapInArrow(run, "h long, g long, n long")
-
-
-def _histories(counted: DataFrame) -> DataFrame:
-    """(h): the histories of lower orders that counted n-grams back off to."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            g = _names(batch)
-            lower = [(g[g >> _U(8 * o) != 0] & _U((1 << 8 * o) - 1)) >> _U(8) for o in range(2, ORDER)]
-            yield _rows(h=np.unique(np.concatenate(lower)))
-
-    return counted.select("g").mapInArrow(run, "h long").distinct()
-
-
-class _Table:
-    """Rows of numbers by 64-bit names, found by the leading bits of a mixed name and a few steps on from there."""
-
-    def __init__(self, names: np.ndarray, rows: np.ndarray) -> None:
-        names = rolling.mix(names)
-        by = np.argsort(names)
-        bits = max(int(len(names)).bit_length() + 1, 4)
-        self.shift = _U(64 - bits)
-        self.names, self.rows = names[by], np.vstack([rows[by], np.zeros((1, rows.shape[1]), np.float32)])
-        self.first = np.searchsorted(self.names >> self.shift, np.arange(1 << bits, dtype=_U)).astype(np.int32)
-
-    def find(self, names: np.ndarray) -> np.ndarray:
-        """The place of each name in rows; the last one, of zeros, for those not there."""
-        names, n = rolling.mix(names), len(self.names)
-        at = self.first[(names >> self.shift).astype(np.int64)]
-        left = np.flatnonzero(at < n)
-        while len(left):
-            left = left[self.names[at[left]] < names[left]]
-            at[left] += 1
-            left = left[at[left] < n]
-        found = at < n
-        found[found] = self.names[at[found]] == names[found]
-        return np.where(found, at, n)
-
-
-def _below(g: np.ndarray, shared: np.ndarray, counts: np.ndarray) -> np.ndarray:
-    """P(last byte) of the shared model for n-grams at the longest, their histories a byte shorter.  shared: sorted
-    names of lower orders with their counts; every n-gram of a history in question is among them."""
-    history = shared >> _U(8)
-    begin = np.flatnonzero(np.append(True, history[1:] != history[:-1])[: len(history)])
-    history = history[begin]
-    total, kinds = (np.add.reduceat(x, begin) if len(begin) else x for x in (counts, np.ones(len(shared))))
-    p = np.full(len(g), 1 / 256)
-    for order in range(2, ORDER):
-        use = np.flatnonzero(g >> _U(8 * order))
-        x = g[use] & _U((1 << 8 * order) - 1)
-        i = np.minimum(np.searchsorted(shared, x), max(len(shared) - 1, 0))
-        j = np.searchsorted(history, x >> _U(8))
-        n = np.where(shared[i] == x, counts[i], 0)
-        p[use] = np.maximum(n - DISCOUNT, 0) / total[j] + DISCOUNT * kinds[j] / total[j] * p[use]
-    return p
-
-
-class Model:
-    """log P(byte | toxic) - log P(byte | ordinary) by n-gram, and by history for n-grams that neither class has; a
-    column for each fold that counts(fold), (ordinary, toxic) by n-gram, leaves out."""
-
-    def __init__(self, g: np.ndarray, below: np.ndarray, folds, counts) -> None:
-        histories, at = np.unique(g >> _U(8), return_inverse=True)
-        by_gram, by_history = (np.zeros((len(x), len(folds)), np.float32) for x in (g, histories))
-        for k, fold in enumerate(folds):
-            p, left = [], []
-            for n in counts(fold):
-                total, kinds = np.bincount(at, n, len(histories)), np.bincount(at, n > 0, len(histories))
-                rest = np.where(total > 0, DISCOUNT * kinds / np.maximum(total, 1), 1)
-                p.append(np.maximum(n - DISCOUNT, 0) / np.maximum(total, 1)[at] + rest[at] * below)
-                left.append(rest)
-            by_gram[:, k], by_history[:, k] = np.log(p[1] / p[0]), np.log(left[1] / left[0])
-        self.grams, self.histories = _Table(g, by_gram), _Table(histories, by_history)
-
-    def ratios(self, g: np.ndarray, which: int = 0) -> np.ndarray:
-        """For each n-gram at the longest; 0 where no class knows its history."""
-        row = self.grams.find(g)
-        out = self.grams.rows[row, which].astype(np.float64)
-        rest = np.flatnonzero(row == len(self.grams.names))
-        out[rest] = self.histories.rows[self.histories.find(g[rest] >> _U(8)), which]
-        return out
-
-    def features(self, raw: np.ndarray, offsets: np.ndarray, which: int = 0) -> np.ndarray:
-        """A row for each text: see the head of this module."""
-        letters, within, ends, same, size, first = _different(raw, offsets)
-        out = np.zeros((len(offsets) - 1, _FEATURES))
-        if not len(size):
-            return out
-        begins = np.append(0, ends[:-1])
-        ratio = self.ratios(grams(letters, within), which)
-        sums = np.cumsum(ratio) - np.repeat((np.cumsum(ratio) - ratio)[begins], ends - begins)
-        words, stems = sums[ends - 1][same], np.maximum.reduceat(sums, begins)[same]
-        n = np.diff(first)
-        some = np.flatnonzero(n)
-        at, n = first[:-1][some], n[some]
-        total = lambda x: np.add.reduceat(x, at)
-        clear = total(np.clip(stems - _CLEAR, 0, 2) / 2)
-        number = total(stems > _CLEAR + 0.5)
-        text = np.repeat(np.arange(len(some)), n)
-        by = np.lexsort((-stems, text))
-        best = np.zeros((len(some), _BEST))
-        rank = np.arange(len(text)) - np.repeat(at, n)
-        use = rank < _BEST
-        best[text[use], rank[use]] = np.clip(stems[by][use], 0, 10) / 5
-        rest = [total(words) / total(size), total(np.maximum(stems, 0)) / n, np.minimum(clear, 8) / 4, np.sqrt(clear / n), clear / n * 10, np.log1p(n) / 5, np.log((number + 0.5) / (n + 20)) + 4, np.log1p(number), np.ones(len(some))]
-        out[some] = np.hstack([best, np.stack(rest, 1)])
-        return out
-
-
-def _fit(x: np.ndarray, y: np.ndarray) -> np.ndarray:
-    """Weights of a logistic curve, by Newton steps with a small ridge."""
-    x = np.hstack([x, np.ones((len(x), 1))])
-    w = np.zeros(x.shape[1])
-    for _ in range(60):
-        p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        step = np.linalg.solve((x.T * (p * (1 - p))) @ x + 1e-2 * np.eye(len(w)), x.T @ (y - p) - 1e-2 * w)
-        w += np.clip(step, -4, 4)
-        if np.abs(step).max() < 1e-6:
-            break
-    return w
-
-
-def _names(table: pa.Table, name: str = "g") -> np.ndarray:
-    return table[name].to_numpy().view(_U)
-
-
 def train(docs: DataFrame, labels: DataFrame, text: str = "text", class_rows: int = CLASS_ROWS) -> tuple[Model, np.ndarray] | None:
     """The model and the curve's weights; None where a class has no training row."""
     spark = docs.sparkSession
