@@ -218,7 +218,8 @@ def _prepared(docs: DataFrame, text: str, shingle: int, percent: int) -> tuple[D
     dealt, size = repeats.blocks(docs, text)
     sets = session.written(_sets(dealt, size, shingle, percent), "sets")
     some = sets.where("n > 0 and doc_id is not null")
-    reps = some.groupBy("s1", "s2").agg(F.min("doc_id").alias("rep"))
+    # written, so that both sides of the joins are shuffled for them and the copies of one set can be split
+    reps = session.written(some.groupBy("s1", "s2").agg(F.min("doc_id").alias("rep")), "reps")
     rows = session.written(sets.select("doc_id", "n", "s1", "s2").join(reps, ["s1", "s2"], "left").select("doc_id", "n", F.when((F.col("n") > 0) & F.col("doc_id").isNotNull(), F.col("rep")).alias("rep")), "rows")
     chosen = some.where("tokens is not null").join(reps, ["s1", "s2"]).where("doc_id = rep").dropDuplicates(["s1", "s2"])
     texts = session.written(chosen.select("rep", "n", "tokens", "places", "parts", "text"), "representatives")
