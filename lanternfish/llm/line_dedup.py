@@ -69,22 +69,26 @@ def _exploded(docs: DataFrame, text: str) -> DataFrame:
 
 
 def _lines(docs: DataFrame, text: str, depth: int) -> DataFrame:
-    """(doc_id, version, line, leaf, a, b, constants) of every line, the last four null where it has no token."""
+    """(doc_id, version, line, leaf, a, b, constants) of every line; a is null where it has no token."""
     words = F.col("words")
-    n = _tokens(words)
-    constants = F.when(words.contains(MARK), _constants(F.split(words, " "))).otherwise(n)
-    some = lambda x: F.when(words != "", x)  # noqa: E731  null instead of a filter, which would spell the line twice
-    a, b = _hashes(words)
     rows = _exploded(docs, text).select("doc_id", "version", "line", _masked(words).alias("words"))
-    return rows.select("doc_id", "version", "line", some(F.xxhash64(n, F.substring_index(words, " ", depth))).alias("leaf"), some(a).alias("a"), some(b).alias("b"), some(constants).alias("constants"))
+    wide = F.concat(F.lit(" "), F.replace(words, F.lit(" "), F.lit("  ")), F.lit(" "))
+    marks = (F.length(wide) - F.length(F.replace(wide, F.lit(f" {MARK} "), F.lit("")))) / (len(MARK) + 2)
+    rows = rows.select("doc_id", "version", "line", "words", _tokens(words).alias("n"), F.when(words.contains(MARK), marks.cast("int")).otherwise(0).alias("marks"))
+    a, b = _hashes(words)
+    leaf = F.xxhash64("n", F.substring_index(words, " ", depth))
+    return rows.select("doc_id", "version", "line", leaf.alias("leaf"), F.when(words != "", a).alias("a"), b.alias("b"), (F.col("n") - F.col("marks")).alias("constants"))
 
 
 def _generalised(docs: DataFrame, lines: DataFrame, text: str, depth: int, share: int, similarity: int) -> DataFrame:
     """(a, b, ta, tb, kept): lines whose template is another line, its hashes and number of constant tokens."""
-    groups = lines.groupBy("leaf", "a", "b").agg(F.count_distinct("doc_id").alias("docs"), F.min(F.struct("doc_id", "version", "line")).alias("at"))
-    groups = session.written(groups, "groups")
-    leaves = session.written(groups.groupBy("leaf").agg(F.count("*").alias("kinds"), F.sum("docs").alias("total")).where((F.col("kinds") > 1) & (F.col("total") > share)).select("leaf", "total"), "leaves")
-    places = session.written(groups.join(leaves, "leaf").select("at.doc_id", "at.version", "at.line", "leaf", "a", "b", "docs", "total"), "places")
+    groups = session.written(lines.groupBy("leaf", "a", "b").agg(F.count_distinct("doc_id").alias("docs")), "groups")
+    leaves = groups.groupBy("leaf").agg(F.count("*").alias("kinds"), F.sum("docs").alias("total"))
+    leaves = session.written(leaves.where((F.col("kinds") > 1) & (F.col("total") > share)).select("leaf", "total"), "leaves")
+    members = session.written(groups.join(leaves, "leaf"), "members")
+    at = F.min(F.struct("doc_id", "version", "line")).alias("at")
+    places = lines.select("doc_id", "version", "line", "a", "b").join(members, ["a", "b"]).groupBy("leaf", "a", "b", "docs", "total").agg(at)
+    places = session.written(places.select("at.doc_id", "at.version", "at.line", "leaf", "a", "b", "docs", "total"), "places")
     spelled = _exploded(docs, text).join(places, ["doc_id", "version", "line"]).select("leaf", "a", "b", "docs", "total", F.split(_masked(F.col("words")), " ").alias("tokens"))
     spelled = session.written(spelled.where(F.size("tokens") > depth).dropDuplicates(["a", "b"]), "spelled")  # rows may be repeated
     rest = F.slice("tokens", depth + 1, F.greatest(F.size("tokens") - depth, F.lit(0)))
@@ -98,7 +102,7 @@ def _generalised(docs: DataFrame, lines: DataFrame, text: str, depth: int, share
     ta, tb = _hashes(F.col("template"))
     out = made.where(100 * F.col("kept") >= similarity * F.col("n")).select("a", "b", ta.alias("ta"), tb.alias("tb"), "kept").where("a != ta or b != tb")
     out = session.written(out, "generalised")
-    session.discard(groups, leaves, places, spelled, known)
+    session.discard(groups, leaves, members, places, spelled, known)
     return out
 
 
@@ -107,14 +111,13 @@ def recurring(docs: DataFrame, text: str = "text", depth: int = DEPTH, share: in
     lines = session.written(_lines(docs, text, depth), "lines")
     some = lines.where("a is not null")
     other = _generalised(docs, some, text, depth, share, similarity)
-    named = some.join(other, ["a", "b"], "left").select("doc_id", "version", "line", F.coalesce("ta", "a").alias("a"), F.coalesce("tb", "b").alias("b"), F.coalesce("kept", "constants").alias("constants"))
-    named = session.written(named, "named")
+    named = some.join(other, ["a", "b"], "left").select("doc_id", F.coalesce("ta", "a").alias("a"), F.coalesce("tb", "b").alias("b"), F.coalesce("kept", "constants").alias("constants"))
     templates = named.groupBy("a", "b").agg(F.min("doc_id").alias("first"), F.count_distinct("doc_id").alias("docs"), F.min("constants").alias("constants"))
     need = least_docs * F.pow(F.lit(SHORT), F.greatest(LEAST_TOKENS - F.col("constants"), F.lit(0)))
     # written, so that both sides of the join are shuffled for it and a hot template's lines can be split
     templates = session.written(templates.where(F.col("docs") >= need).select("a", "b", "first"), "templates")
-    session.discard(lines, other)
-    hit = named.join(templates, ["a", "b"]).where(F.col("doc_id") > F.col("first"))
+    own = templates.join(other, ["a", "b"], "left_anti").unionByName(other.select("a", "b", F.col("ta"), F.col("tb")).join(templates.select(F.col("a").alias("ta"), F.col("b").alias("tb"), "first"), ["ta", "tb"]).select("a", "b", "first"))
+    hit = some.select("doc_id", "version", "line", "a", "b").join(own, ["a", "b"]).where(F.col("doc_id") > F.col("first"))
     word = hit.groupBy("doc_id", "version", F.floor(F.col("line") / _WORD).cast("int").alias("word")).agg(F.bit_or(F.pow(F.lit(2.0), F.col("line") % _WORD).cast("long")).alias("bits"))
     words = word.groupBy("doc_id", "version").agg(F.map_from_entries(F.collect_list(F.struct("word", "bits"))).alias("words"), F.max("word").alias("last"))
     dropped = F.transform(F.sequence(F.lit(0), F.col("last")), lambda w: F.coalesce(F.try_element_at("words", w), F.lit(0).cast("long")))
