@@ -329,6 +329,7 @@ def train(docs: DataFrame, labels: DataFrame, text: str = "text", class_rows: in
     found = shared.sort("g").toArrow()  # names of lower orders have no sign
     below = _below(own, _names(found), found["n"].to_numpy())
     del found, new
+    rolling.release()
     session.discard(counted, shared)
 
     def counts(fold: int | None) -> tuple[np.ndarray, np.ndarray]:
@@ -349,6 +350,7 @@ def train(docs: DataFrame, labels: DataFrame, text: str = "text", class_rows: in
                     x[use] = crossed.value.features(*rolling.text_bytes(part.column("text").take(pa.array(use))), f)
                 yield pa.RecordBatch.from_arrays([pa.array(kind % 2), *(pa.array(x[:, i]) for i in range(_FEATURES))], names=["toxic", *(f"x{i}" for i in range(_FEATURES))])
 
+    rolling.release()
     x = texts.mapInArrow(features, "toxic int, " + ", ".join(f"x{i} double" for i in range(_FEATURES))).toArrow()
     table = np.stack([x[f"x{i}"].to_numpy() for i in range(_FEATURES)], 1)
     by = np.lexsort(table.T)  # rows come in any order; sums of floats must not depend on it
