@@ -22,7 +22,7 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lanternfish import session
@@ -42,11 +42,11 @@ class Units:
     path_bytes: int = 70
 
     def cut(self, raw: np.ndarray, offsets: np.ndarray):
-        """(values to hash, first unit of each text, byte starts, byte stops; the last two None for bytes)."""
+        """(values to hash, the same by independent letters, first unit of each text)."""
         if not self.by_word:
-            return rolling.letters(raw), offsets, None, None
+            return rolling.letters(raw), rolling.letters(raw, 1), offsets
         starts, stops, first = rolling.words(raw, offsets)
-        return rolling.word_hashes(raw, starts, stops), first, starts, stops
+        return *(rolling.word_hashes(raw, starts, stops, which) for which in (0, 1)), first
 
 
 WORDS = Units(True)
@@ -55,8 +55,8 @@ BYTES = Units(False, gram=18, path_bytes=16)
 
 @dataclasses.dataclass
 class Paths:
-    """Arrays by path: text, first unit within the text, windows, gram hash, hash of all its units, and the gram's
-    place behind the first unit."""
+    """Arrays by path: text, first unit within the text, windows, gram hash, an independent hash of all its units, and the
+    gram's place behind the first unit."""
 
     text: np.ndarray
     start: np.ndarray
@@ -67,7 +67,7 @@ class Paths:
 
 
 def paths_of(raw: np.ndarray, offsets: np.ndarray, units: Units) -> Paths:
-    values, first, _, _ = units.cut(raw, offsets)
+    values, others, first = units.cut(raw, offsets)
     sums = rolling.prefix(values)
     grams = rolling.all_spans(sums, units.gram)
     picks = rolling.minimisers(grams, units.window - units.gram + 1)
@@ -84,14 +84,12 @@ def paths_of(raw: np.ndarray, offsets: np.ndarray, units: Units) -> Paths:
     n = np.diff(np.append(at, total))
     begin, text, pick = place[at], text[at], pick[at]
     gram = rolling.mix(grams[pick])
-    content = rolling.span_hash(sums, begin, begin + n - 1 + units.window)
+    content = rolling.span_hash(rolling.prefix(others, 1), begin, begin + n - 1 + units.window, 1)
     return Paths(text, begin - first[text], n, gram, content, pick - begin)
 
 
 def each(table: pa.Table, units: Units) -> Iterator[tuple[int, Paths]]:
-    column = table["text"].combine_chunks()
-    if isinstance(column, pa.ChunkedArray):
-        column = pa.concat_arrays(column.chunks)
+    column = column_of(table)
     for a, b in rolling.steps(column):
         yield a, paths_of(*rolling.text_bytes(column.slice(a, b - a)), units)
 
@@ -238,43 +236,42 @@ def sources(found: DataFrame) -> DataFrame:
     return found.groupBy("gram", "content").agg(place).select("gram", "content", F.col("s.doc_id").alias("first"), "s.version", "s.start", "s.windows", "s.pick")
 
 
-def repeated_spans(found: DataFrame, origins: DataFrame, partial: DataFrame, units: Units) -> DataFrame:
-    """(doc_id, version, start, stop) in units.  found: all paths; origins: their sources; partial: (gram, content, offset) of
-    windows in a source that stand in an earlier document.  Paths of later documents than their source's repeat
-    whole; those of the source's own document repeat where `partial` says so."""
-    offsets = partial.groupBy("gram", "content").agg(F.collect_list("offset").alias("offsets"))  # one path's windows at most
-    # written, so that both sides of the join are shuffled for it and the copies of a hot path can be split
-    known = session.written(origins.select("gram", "content", "first").join(offsets, ["gram", "content"], "left"), "known")
-    rows = found.join(known, ["gram", "content"]).where((F.col("doc_id") > F.col("first")) | F.col("offsets").isNotNull())
-    whole = F.array(F.struct(F.col("start").alias("a"), (F.col("start") + F.col("windows") - 1).alias("b")))
-    some = F.transform("offsets", lambda o: F.struct((F.col("start") + o).alias("a"), (F.col("start") + o).alias("b")))
-    run = F.explode(F.when(F.col("doc_id") > F.col("first"), whole).otherwise(some)).alias("r")
-    return rows.select("doc_id", "version", run).select("doc_id", "version", F.col("r.a").alias("start"), (F.col("r.b") + units.window).alias("stop"))
+def block_of(doc_id: str, count: int) -> Column:
+    return F.pmod(F.xxhash64(F.col(doc_id), F.lit("block")), F.lit(count)).cast("int")
+
+
+def column_of(table: pa.Table, name: str = "text") -> pa.Array:
+    column = table[name].combine_chunks()
+    if isinstance(column, pa.ChunkedArray):
+        column = pa.concat_arrays(column.chunks) if column.num_chunks else pa.array([], table.schema.field(name).type)
+    return column
 
 
-def finish(dealt: DataFrame, spans: DataFrame, count: int, result: Callable[[pa.Table, np.ndarray, np.ndarray, np.ndarray, np.ndarray], dict[str, pa.Array]], units: Units, schema: str) -> DataFrame:
-    """Joins spans to blocks.  result(rows, raw, offsets, unit starts, mask of removed units) gives columns; doc_id
-    comes first in the schema."""
-    block = F.pmod(F.xxhash64("doc_id", F.lit("block")), F.lit(count)).cast("int")
-    right = spans.select(block.alias("block"), "doc_id", "version", "start", "stop")
+def finish(dealt: DataFrame, spans: DataFrame, count: int, result: Callable[..., dict[str, pa.Array]], units: Units, schema: str, holds: Callable[..., np.ndarray] | None = None) -> DataFrame:
+    """Joins spans to blocks.  result(raw, offsets, first unit of each text, (unit starts, stops), mask of removed
+    units) gives columns; doc_id comes first in the schema.  holds(raw, places, first units, end units, digests) tells which spans
+    hold, where spans have digests."""
+    names = ("doc_id", "version", "start", "stop", *(["digest"] if holds else []))
+    right = spans.select(block_of("doc_id", count).alias("block"), *names)
 
     def run(table: pa.Table, marks: pa.Table) -> pa.Table:
         lines = Rows(table)
         keys = lines.names(marks["doc_id"].to_numpy(), marks["version"].to_numpy())
         by = np.argsort(keys, kind="stable")
         keys, start, stop = keys[by], marks["start"].to_numpy()[by], marks["stop"].to_numpy()[by]
-        column = table["text"].combine_chunks()
-        if isinstance(column, pa.ChunkedArray):
-            column = pa.concat_arrays(column.chunks) if column.num_chunks else pa.array([], pa.string())
+        column = column_of(table)
         own = lines.name
         out: dict[str, list] = {}
         for a, b in rolling.steps(column, 1 << 20):
             raw, offsets = rolling.text_bytes(column.slice(a, b - a))
-            _, first, starts, stops = units.cut(raw, offsets) if units.by_word else (None, offsets, None, None)
+            starts, stops, first = rolling.words(raw, offsets) if units.by_word else (None, None, offsets)
             low, high = np.searchsorted(keys, own[a:b], "left"), np.searchsorted(keys, own[a:b], "right")
             n = high - low
             which = np.arange(n.sum()) + np.repeat(low - (np.cumsum(n) - n), n)
             base = np.repeat(first[:-1], n)
+            if holds and len(which):
+                good = holds(raw, (starts, stops), base + start[which], base + stop[which], marks["digest"].take(pa.array(by[which])).to_pylist())
+                which, base = which[good], base[good]
             edge = np.zeros(int(first[-1]) + 1, np.int64)
             np.add.at(edge, base + start[which], 1)
             np.add.at(edge, base + stop[which], -1)

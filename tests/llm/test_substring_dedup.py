@@ -55,3 +55,24 @@ def test_edges(spark):
     docs = spark.createDataFrame([(None, "a " * 60), (1, "a " * 60), (2, None)], "doc_id long, text string")
     assert sorted((r.doc_id or 0, r.n_removed) for r in substring_dedup.deduplicate(docs).collect()) == [(0, 0), (1, 0), (2, 0)]
     assert substring_dedup.deduplicate(docs.limit(0)).count() == 0
+
+
+def test_stretches_become_one_span_that_the_source_must_confirm(spark):
+    rng = random.Random(2)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(5))
+    passage = " ".join(word() for _ in range(400))
+    docs = [(i, f"{word()} {passage} {word()}") for i in range(1, 5)]
+    dealt, marks, count = substring_dedup.spans(spark.createDataFrame(docs, "doc_id long, text string"))
+    rows = marks.collect()
+    assert sorted((r.doc_id, r.start, r.stop) for r in rows) == [(i, 1, 401) for i in (2, 3, 4)]
+    wrong = marks.selectExpr("doc_id", "version", "start", "stop", "if(doc_id = 3, unhex('00'), digest) as digest")
+    found = repeats.finish(dealt, wrong, count, substring_dedup._digest, repeats.WORDS, substring_dedup.SCHEMA, substring_dedup._holds)
+    assert {r.doc_id: r.n_removed for r in found.collect()} == {1: 0, 2: 400, 3: 0, 4: 400}
+
+
+def test_very_long_text(spark):
+    rng = random.Random(4)
+    long = [f"w{rng.randrange(10**6)}" for _ in range(60_000)]
+    docs = [(1, " ".join(long[30_000:30_080])), (2, " ".join(long)), (3, " ".join(long[:59_000] + ["x"] + long[59_000:]))]
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    assert sorted(map(tuple, substring_dedup.deduplicate(df).collect())) == sorted(brute(docs))

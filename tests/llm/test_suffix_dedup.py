@@ -59,3 +59,11 @@ def test_edges(spark):
     docs = spark.createDataFrame([(None, "a" * 60), (1, "a" * 60), (2, None)], "doc_id long, text string")
     assert sorted((r.doc_id or 0, r.n_removed) for r in suffix_dedup.deduplicate(docs).collect()) == [(0, 0), (1, 0), (2, 0)]
     assert suffix_dedup.deduplicate(docs.limit(0)).count() == 0
+
+
+def test_very_long_text(spark):
+    rng = random.Random(4)
+    long = "".join(rng.choice("abcdefghij é") for _ in range(400_000))
+    docs = [(1, long[200_000:200_090]), (2, long), (3, long[:390_000] + "x" + long[390_000:]), (4, "ab" * 200_000), (5, "ab" * 150_000)]
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    assert sorted(map(tuple, suffix_dedup.deduplicate(df).collect())) == sorted(brute(docs))
