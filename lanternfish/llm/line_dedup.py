@@ -13,7 +13,7 @@ smallest doc_id that has it, which keeps all its lines of it.  Short lines recur
 LEAST_TOKENS constant tokens must stand in SHORT times as many documents for each token that it lacks.
 
 Lines travel as 128 bits of hash with (doc_id, line number); they are counted with partial aggregates, and both sides
-of each join are written, so that adaptive execution splits hot keys.  Only the different lines of leaves that can
+of each join are written and joined by sorting, so that adaptive execution splits hot keys and no side must be small.  Only the different lines of leaves that can
 have a field (more than one line, more than SHARE pairs) are spelled out, once each, from one place where they
 stand.  Texts move twice: to give those lines, and to meet the numbers of their dropped lines.
 
@@ -80,6 +80,22 @@ def _lines(docs: DataFrame, text: str, depth: int) -> DataFrame:
     return rows.select("doc_id", "version", "line", leaf.alias("leaf"), F.when(words != "", a).alias("a"), b.alias("b"), (F.col("n") - F.col("marks")).alias("constants"))
 
 
+def _numbered(rows: DataFrame, *names: str) -> DataFrame:
+    """(doc_id, version, numbers, rows): by document the numbers of its lines that stand in rows as bits, _WORD of them in
+    each number, and structs of the named columns in the order of lines."""
+    bit = F.pow(F.lit(2.0), F.col("line") % _WORD).cast("long")
+    words = rows.groupBy("doc_id", "version", F.floor(F.col("line") / _WORD).cast("int").alias("word")).agg(F.bit_or(bit).alias("bits"), *([F.array_sort(F.collect_list(F.struct("line", *names))).alias("rows")] if names else []))
+    more = [F.array_sort(F.collect_list(F.struct("word", "rows"))).alias("rows")] if names else []
+    found = words.groupBy("doc_id", "version").agg(F.map_from_entries(F.collect_list(F.struct("word", "bits"))).alias("bits"), F.max("word").alias("last"), *more)
+    dense = F.transform(F.sequence(F.lit(0), F.col("last")), lambda w: F.coalesce(F.try_element_at("bits", w), F.lit(0).cast("long")))
+    own = F.transform(F.flatten(F.transform("rows", lambda x: x["rows"])), lambda x: F.struct(*[x[n].alias(n) for n in names]))
+    return found.select("doc_id", "version", dense.alias("numbers"), *([own.alias("rows")] if names else []))
+
+
+def _has(numbers: str, i: Column) -> Column:
+    return F.coalesce(F.getbit(F.get(numbers, F.floor(i / _WORD).cast("int")), i % _WORD), F.lit(0)) == 1
+
+
 def _generalised(docs: DataFrame, lines: DataFrame, text: str, depth: int, share: int, similarity: int) -> DataFrame:
     """(a, b, ta, tb, kept): lines whose template is another line, its hashes and number of constant tokens."""
     groups = session.written(lines.groupBy("leaf", "a", "b").agg(F.count_distinct("doc_id").alias("docs")), "groups")
@@ -87,9 +103,12 @@ def _generalised(docs: DataFrame, lines: DataFrame, text: str, depth: int, share
     leaves = session.written(leaves.where((F.col("kinds") > 1) & (F.col("total") > share)).select("leaf", "total"), "leaves")
     members = session.written(groups.join(leaves, "leaf"), "members")
     at = F.min(F.struct("doc_id", "version", "line")).alias("at")
-    places = lines.select("doc_id", "version", "line", "a", "b").join(members, ["a", "b"]).groupBy("leaf", "a", "b", "docs", "total").agg(at)
+    places = lines.select("doc_id", "version", "line", "a", "b").join(members.hint("merge"), ["a", "b"]).groupBy("leaf", "a", "b", "docs", "total").agg(at)
     places = session.written(places.select("at.doc_id", "at.version", "at.line", "leaf", "a", "b", "docs", "total"), "places")
-    spelled = _exploded(docs, text).join(places, ["doc_id", "version", "line"]).select("leaf", "a", "b", "docs", "total", F.split(_masked(F.col("words")), " ").alias("tokens"))
+    wanted = _numbered(places, "leaf", "a", "b", "docs", "total")
+    texts = docs.where(F.col(text).isNotNull()).select("doc_id", F.xxhash64(text).alias("version"), F.col(text).alias("text")).join(wanted.hint("merge"), ["doc_id", "version"])
+    picked = F.filter(F.split("text", "\n", -1), lambda x, i: _has("numbers", i))  # in the order of rows
+    spelled = texts.select(F.explode(F.arrays_zip(picked.alias("line"), F.col("rows").alias("m"))).alias("x")).select("x.m.*", F.split(_masked(F.col("x.line")), " ").alias("tokens"))
     spelled = session.written(spelled.where(F.size("tokens") > depth).dropDuplicates(["a", "b"]), "spelled")  # rows may be repeated
     rest = F.slice("tokens", depth + 1, F.greatest(F.size("tokens") - depth, F.lit(0)))
     values = spelled.select("leaf", "docs", "total", F.posexplode(rest).alias("place", "token")).groupBy("leaf", "place", "token").agg(F.sum("docs").alias("n"), F.first("total").alias("total"))
@@ -111,17 +130,14 @@ def recurring(docs: DataFrame, text: str = "text", depth: int = DEPTH, share: in
     lines = session.written(_lines(docs, text, depth), "lines")
     some = lines.where("a is not null")
     other = _generalised(docs, some, text, depth, share, similarity)
-    named = some.join(other, ["a", "b"], "left").select("doc_id", F.coalesce("ta", "a").alias("a"), F.coalesce("tb", "b").alias("b"), F.coalesce("kept", "constants").alias("constants"))
+    named = some.join(other.hint("merge"), ["a", "b"], "left").select("doc_id", F.coalesce("ta", "a").alias("a"), F.coalesce("tb", "b").alias("b"), F.coalesce("kept", "constants").alias("constants"))
     templates = named.groupBy("a", "b").agg(F.min("doc_id").alias("first"), F.count_distinct("doc_id").alias("docs"), F.min("constants").alias("constants"))
     need = least_docs * F.pow(F.lit(SHORT), F.greatest(LEAST_TOKENS - F.col("constants"), F.lit(0)))
     # written, so that both sides of the join are shuffled for it and a hot template's lines can be split
     templates = session.written(templates.where(F.col("docs") >= need).select("a", "b", "first"), "templates")
     own = templates.join(other, ["a", "b"], "left_anti").unionByName(other.select("a", "b", F.col("ta"), F.col("tb")).join(templates.select(F.col("a").alias("ta"), F.col("b").alias("tb"), "first"), ["ta", "tb"]).select("a", "b", "first"))
-    hit = some.select("doc_id", "version", "line", "a", "b").join(own, ["a", "b"]).where(F.col("doc_id") > F.col("first"))
-    word = hit.groupBy("doc_id", "version", F.floor(F.col("line") / _WORD).cast("int").alias("word")).agg(F.bit_or(F.pow(F.lit(2.0), F.col("line") % _WORD).cast("long")).alias("bits"))
-    words = word.groupBy("doc_id", "version").agg(F.map_from_entries(F.collect_list(F.struct("word", "bits"))).alias("words"), F.max("word").alias("last"))
-    dropped = F.transform(F.sequence(F.lit(0), F.col("last")), lambda w: F.coalesce(F.try_element_at("words", w), F.lit(0).cast("long")))
-    return words.select("doc_id", "version", dropped.alias("dropped"))
+    hit = some.select("doc_id", "version", "line", "a", "b").join(own.hint("merge"), ["a", "b"]).where(F.col("doc_id") > F.col("first"))
+    return _numbered(hit).select("doc_id", "version", F.col("numbers").alias("dropped"))
 
 
 def deduplicate(docs: DataFrame, text: str = "text", counts: bool = False, **options) -> DataFrame:
@@ -131,8 +147,7 @@ def deduplicate(docs: DataFrame, text: str = "text", counts: bool = False, **opt
     marks = recurring(own, text, **options).select(F.col("doc_id").alias("__id"), F.col("version").alias("__version"), F.col("dropped").alias(has))
     joined = own.join(marks, (own["doc_id"] == F.col("__id")) & (F.xxhash64(own[text]) == F.col("__version")), "left")
     lines = F.split(F.col(text), "\n", -1)
-    gone = lambda i: F.coalesce(F.getbit(F.get(has, F.floor(i / _WORD).cast("int")), i % _WORD), F.lit(0)) == 1
-    kept = F.array_join(F.filter(lines, lambda x, i: ~gone(i)), "\n")
+    kept = F.array_join(F.filter(lines, lambda x, i: ~_has(has, i)), "\n")
     new = F.when(F.col(has).isNull(), F.col(text)).otherwise(kept)
     out = [new.alias(c) if c == text else F.col(f"`{c}`") for c in names]
     if counts:
