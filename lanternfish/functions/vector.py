@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
-
 def doubles(v: Column) -> Column:
     return v.cast("array<double>")
 
@@ -95,25 +96,46 @@ def most_similar(rows: DataFrame, query: Column, vector: str = "embedding", row_
     return rows.withColumn("similarity", s).where((F.col("similarity") > -1) & ~F.isnan("similarity")).orderBy(F.desc("similarity"), row_id).limit(1)
 
 
-def top_similar(rows: DataFrame, query: Column, k: int, threshold: float = 0.0, vector: str = "embedding", row_id: str = "id") -> DataFrame:
+def similarity_to(v: Column, query: Column, known: list[float], norm: Column | None = None) -> Column:
+    """cosine(v, query) for a query whose numbers are known: its length is a constant, and v is gone through once where
+    its length (norm) is known too, else twice."""
+    size = math.sqrt(math.fsum(x * x for x in known))
+    products = _sum(F.zip_with(v, query, lambda x, y: x.cast("double") * y))
+    length = norm if norm is not None else F.sqrt(F.aggregate(v, F.lit(0.0), lambda a, x: a + x.cast("double") * x.cast("double")))
+    score = F.coalesce(F.try_divide(products, length * size), F.lit(0.0)) if size else F.lit(0.0)
+    return F.when(F.size(v) == len(known), score).otherwise(0.0)
+
+
+def top_similar(rows: DataFrame, query: Column, k: int, threshold: float = 0.0, vector: str = "embedding", row_id: str = "id", known: list[float] | None = None, norm: Column | None = None) -> DataFrame:
     """The k rows of the greatest similarity that reach the threshold.  The threshold is applied after the top k,
-    which keeps the same rows and scores each row once; NaN goes before it, for it would sort first."""
+    which keeps the same rows; NaN scores become null, which sorts last and reaches no threshold.  No filter stands
+    on the score before the top k, so it is computed once a row.  known: the query's numbers, norm: the rows' lengths."""
     if k <= 0:
         return rows.withColumn("similarity", F.lit(0.0)).limit(0)
-    scored = rows.withColumn("similarity", cosine(F.col(vector), query))
-    return scored.where(~F.isnan("similarity")).orderBy(F.desc("similarity"), row_id).limit(k).where(F.col("similarity") >= threshold)
+    score = cosine(F.col(vector), query) if known is None else similarity_to(F.col(vector), query, known, norm)
+    scored = rows.withColumn("similarity", F.nanvl(score, F.lit(None).cast("double")))
+    return scored.orderBy(F.desc_nulls_last("similarity"), row_id).limit(k).where(F.col("similarity") >= threshold)
+
+
+_V, _FLAG = "array<double>", "boolean"
 
 
 def register(spark: SparkSession) -> None:
-    """SQL functions that Catalyst inlines: vec_dot, vec_norm, vec_cosine, vec_euclidean, vec_manhattan."""
-    v = "array<double>"
+    """SQL functions that Catalyst inlines: vec_dot, vec_norm, vec_cosine, vec_normalize, vec_euclidean, vec_manhattan,
+    vec_percentage, vec_valid, vec_safe_similarity."""
     dots = "aggregate(zip_with(a, b, (x, y) -> x * y), 0D, (s, x) -> s + x)"
     norm = lambda n: f"sqrt(aggregate(transform({n}, x -> x * x), 0D, (s, x) -> s + x))"
-    for name, args, body in (
-        ("vec_dot", f"a {v}, b {v}", f"if(size(a) = size(b), {dots}, 0D)"),
-        ("vec_norm", f"a {v}", norm("a")),
-        ("vec_cosine", f"a {v}, b {v}", f"if(size(a) != size(b) or {norm('a')} = 0 or {norm('b')} = 0, 0D, {dots} / ({norm('a')} * {norm('b')}))"),
-        ("vec_euclidean", f"a {v}, b {v}", "if(size(a) = size(b), sqrt(aggregate(zip_with(a, b, (x, y) -> (x - y) * (x - y)), 0D, (s, x) -> s + x)), double('Infinity'))"),
-        ("vec_manhattan", f"a {v}, b {v}", "if(size(a) = size(b), aggregate(zip_with(a, b, (x, y) -> abs(x - y)), 0D, (s, x) -> s + x), double('Infinity'))"),
+    close = f"if(size(a) != size(b) or {norm('a')} = 0 or {norm('b')} = 0, 0D, {dots} / ({norm('a')} * {norm('b')}))"
+    valid = lambda n: f"coalesce(size({n}) > 0 and not exists({n}, x -> isnan(x) or abs(x) = double('Infinity')), false)"
+    for name, args, kind, body in (
+        ("vec_dot", f"a {_V}, b {_V}", "double", f"if(size(a) = size(b), {dots}, 0D)"),
+        ("vec_norm", f"a {_V}", "double", norm("a")),
+        ("vec_cosine", f"a {_V}, b {_V}", "double", close),
+        ("vec_normalize", f"a {_V}", _V, f"if({norm('a')} > 0, transform(a, x -> x / {norm('a')}), a)"),
+        ("vec_euclidean", f"a {_V}, b {_V}", "double", "if(size(a) = size(b), sqrt(aggregate(zip_with(a, b, (x, y) -> (x - y) * (x - y)), 0D, (s, x) -> s + x)), double('Infinity'))"),
+        ("vec_manhattan", f"a {_V}, b {_V}", "double", "if(size(a) = size(b), aggregate(zip_with(a, b, (x, y) -> abs(x - y)), 0D, (s, x) -> s + x), double('Infinity'))"),
+        ("vec_percentage", "s double", "double", "(s + 1) / 2 * 100"),
+        ("vec_valid", f"a {_V}", _FLAG, valid("a")),
+        ("vec_safe_similarity", f"a {_V}, b {_V}", "double", f"if({valid('a')} and {valid('b')} and size(a) = size(b), {close}, null)"),
     ):
-        spark.sql(f"CREATE OR REPLACE TEMPORARY FUNCTION {name}({args}) RETURNS DOUBLE RETURN {body}")
+        spark.sql(f"CREATE OR REPLACE TEMPORARY FUNCTION {name}({args}) RETURNS {kind.upper()} RETURN {body}")

@@ -41,7 +41,8 @@ def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"WITH {V} SELECT vec_id AS id, round({COS}, 6) AS similarity FROM e, q ORDER BY {COS} DESC, vec_id LIMIT 10")
 def search_topk(spark, sf_dir):
     rows = _rows(spark, sf_dir).withColumnRenamed("vec_id", "id")
-    return vector.top_similar(rows, _q(spark, sf_dir), 10, -1.0).select("id", _r(F.col("similarity")).alias("similarity"))
+    probe = _probe(spark, sf_dir)
+    return vector.top_similar(rows, vector.literal(probe), 10, -1.0, known=probe).select("id", _r(F.col("similarity")).alias("similarity"))
 
 
 @query(f"WITH {V} SELECT vec_id, round({COS}, 6) AS similarity FROM e, q WHERE {COS} >= 0.3")

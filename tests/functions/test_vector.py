@@ -82,3 +82,63 @@ def test_nan_ties_and_batch(spark):
     long = [0.5] * 100
     wide = spark.createDataFrame([("a", "x", long, None)], rows.schema)
     assert store.search(wide, long, 1).first().similarity == pytest.approx(1)
+
+
+def test_an_append_during_compaction_stays(opened, monkeypatch):
+    opened.add_document("a", "one", [1, 0])
+    opened.add_document("b", "one", [0, 1])
+    live = opened._live
+
+    def meanwhile(manifest):
+        found = live(manifest)
+        monkeypatch.undo()
+        other = store.VectorStore(opened.spark, opened.path).initialize()
+        other.add_document("c", "new", [1, 1])
+        other.delete(["a"])
+        return found
+
+    monkeypatch.setattr(opened, "_live", meanwhile)
+    opened.compact()
+    assert sorted(r.id for r in opened.rows().collect()) == ["b", "c"]
+    opened.compact()
+    assert opened._manifest()[1]["writes"] == [] and tuple(opened.stats().first()) == (2, 2)
+
+
+def test_writers_follow_each_other(opened):
+    """A writer that read the last manifest before another one wrote the next comes after it."""
+    other = store.VectorStore(opened.spark, opened.path).initialize()
+    first = opened._manifest
+
+    def late():
+        opened._manifest = first
+        seen = first()
+        other.add_document("x", "other", [1, 0])
+        return seen
+
+    opened._manifest = late
+    opened.add_document("x", "own", [0, 1])
+    assert [(r.id, r.content) for r in opened.rows().collect()] == [("x", "own")]
+
+
+def test_a_search_scores_a_row_once(opened):
+    opened.add(opened.spark.createDataFrame([(str(i), "t", [float(i), 1.0]) for i in range(9)], "id string, content string, embedding array<float>"))
+    plan = opened.search([1.0, 2.0], 3)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("zip_with") == 1 and "Exchange" not in plan and "TakeOrdered" in plan
+    assert [r.id for r in opened.search([0.0, 1.0], 2).collect()] == ["0", "1"]
+
+
+def test_embedder_and_blocks_of_queries(spark, monkeypatch):
+    made = store.VectorStore(spark, session.shared_dir(spark), embedder=lambda text: [float(len(text)), 1.0]).initialize()
+    made.add(spark.createDataFrame([("a", "x"), ("b", "xxxx"), ("c", "xx")], "id string, content string"))
+    assert [r.id for r in made.search("xxxxx", 1).collect()] == ["b"]
+    asked = spark.createDataFrame([(i, [float(i % 7), 1.0]) for i in range(40)], "query_id long, embedding array<double>")
+    want = sorted(map(tuple, made.search_batch(asked, 2).collect()))
+    monkeypatch.setattr(store, "BATCH", 9)
+    monkeypatch.setattr(store, "ROW_BLOCK", 2)
+    assert sorted(map(tuple, made.search_batch(asked, 2).collect())) == want and len(want) == 80
+
+
+def test_sql_functions(spark):
+    vector.register(spark)
+    r = spark.sql("select vec_normalize(array(3D, 4D)) as n, vec_percentage(0D) as p, vec_valid(array(1D)) as v, vec_valid(array(double('NaN'))) as w, vec_valid(array()) as e, vec_safe_similarity(array(1D, 0D), array(1D)) as s, vec_safe_similarity(array(1D, 0D), array(2D, 0D)) as t").first()
+    assert tuple(r) == ([0.6, 0.8], 50.0, True, False, False, None, 1.0)
