@@ -98,13 +98,14 @@ def _has(numbers: str, i: Column) -> Column:
 
 def _generalised(docs: DataFrame, lines: DataFrame, text: str, depth: int, share: int, similarity: int) -> DataFrame:
     """(a, b, ta, tb, kept): lines whose template is another line, its hashes and number of constant tokens."""
-    groups = session.written(lines.groupBy("leaf", "a", "b").agg(F.count_distinct("doc_id").alias("docs")), "groups")
+    groups = session.written(lines.groupBy("leaf", "a", "b").agg(F.count_distinct("doc_id").alias("docs"), F.min("doc_id").alias("doc_id")), "groups")
     leaves = groups.groupBy("leaf").agg(F.count("*").alias("kinds"), F.sum("docs").alias("total"))
     leaves = session.written(leaves.where((F.col("kinds") > 1) & (F.col("total") > share)).select("leaf", "total"), "leaves")
     members = session.written(groups.join(leaves, "leaf"), "members")
-    at = F.min(F.struct("doc_id", "version", "line")).alias("at")
-    places = lines.select("doc_id", "version", "line", "a", "b").join(members.hint("merge"), ["a", "b"]).groupBy("leaf", "a", "b", "docs", "total").agg(at)
-    places = session.written(places.select("at.doc_id", "at.version", "at.line", "leaf", "a", "b", "docs", "total"), "places")
+    # by document too, so that the many places of a hot line don't meet
+    places = lines.select("doc_id", "version", "line", "a", "b").join(members.hint("merge"), ["a", "b", "doc_id"])
+    places = places.groupBy("leaf", "a", "b", "doc_id", "docs", "total").agg(F.min(F.struct("version", "line")).alias("at"))
+    places = session.written(places.select("doc_id", "at.version", "at.line", "leaf", "a", "b", "docs", "total"), "places")
     wanted = _numbered(places, "leaf", "a", "b", "docs", "total")
     texts = docs.where(F.col(text).isNotNull()).select("doc_id", F.xxhash64(text).alias("version"), F.col(text).alias("text")).join(wanted.hint("merge"), ["doc_id", "version"])
     picked = F.filter(F.split("text", "\n", -1), lambda x, i: _has("numbers", i))  # in the order of rows
