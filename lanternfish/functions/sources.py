@@ -9,7 +9,6 @@ from pyspark.sql import functions as F
 EXTENSIONS = (".task", ".bin", ".tflite", ".json", ".model", ".litertlm")
 SMALL = (".json", ".model")
 LEAST_SMALL, LEAST = 1024, 1048576
-EXTENSION_PATTERN = r"\.(task|bin|tflite|json|model|litertlm)\z"
 #: HTTP status, kind of error, title, whether to retry, whether the user must act.
 DOWNLOAD_ERRORS = (
     (401, "unauthorized", "Authentication Required", False, True),

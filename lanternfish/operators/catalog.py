@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lanternfish.functions import sources
@@ -12,6 +14,10 @@ REGISTRY = f"id string, source {SOURCE}, installedAt string, sizeBytes long, typ
 STATUSES = ("can_resume", "file_complete", "cannot_resume", "no_task", "file_not_found", "error")
 
 
+class CacheQuotaError(RuntimeError):
+    pass
+
+
 def registry(rows: DataFrame, text: str = "json") -> DataFrame:
     """Registry rows from JSON text; what can't be read, has no id or an unknown source type, goes."""
     parsed = rows.select(F.from_json(text, f"{REGISTRY}, _corrupt string", {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt"}).alias("r")).select("r.*")
@@ -26,8 +32,13 @@ def registry_json(rows: DataFrame) -> DataFrame:
 
 
 def save(current: DataFrame, new: DataFrame) -> DataFrame:
-    """Registry with rows of `new` in place of those of equal ids."""
-    return current.join(new.select("id"), "id", "left_anti").unionByName(new)
+    """Registry with rows of `new` in place of those of equal ids; the greatest row stands for several of one id, and a
+    row without an id is an error."""
+    rest = [c for c in new.columns if c != "id"]
+    one = new.groupBy("id").agg(F.max(F.struct(*rest)).alias("r")) if rest else new.distinct()
+    named = F.when(F.coalesce(F.col("id").cast("string"), F.lit("")) != "", F.col("id")).otherwise(F.raise_error("a row has no id"))
+    made = one.select(named.alias("id"), *[F.col(f"r.{c}").alias(c) for c in rest]).select(*new.columns)
+    return current.join(new.select("id").distinct(), "id", "left_anti").unionByName(made)
 
 
 def remove(current: DataFrame, ids: DataFrame) -> DataFrame:
@@ -65,8 +76,8 @@ def orphans(files: DataFrame, keep: DataFrame, tasks: DataFrame, records: DataFr
 
 
 def storage(files: DataFrame, orphan: DataFrame) -> DataFrame:
-    """(files, bytes, orphans, orphan_bytes, megabytes) in one pass."""
-    marked = files.where(sources.supported(F.col("filename"))).join(orphan.select("filename", F.lit(1).alias("o")), "filename", "left")
+    """(files, bytes, orphans, orphan_bytes, megabytes) in one pass; names may stand in orphan several times."""
+    marked = files.where(sources.supported(F.col("filename"))).join(orphan.select("filename").distinct().withColumn("o", F.lit(1)), "filename", "left")
     return marked.agg(F.count("*").alias("files"), F.coalesce(F.sum("size"), F.lit(0)).alias("bytes"), F.count("o").alias("orphans"), F.coalesce(F.sum(F.when(F.col("o") == 1, F.col("size"))), F.lit(0)).alias("orphan_bytes"), (F.coalesce(F.sum("size"), F.lit(0)) / 1048576).alias("megabytes"))
 
 
@@ -106,6 +117,27 @@ def cache_misses(requests: DataFrame, entries: DataFrame) -> DataFrame:
     return keyed.join(entries.select("cache_key").distinct(), "cache_key", "left_anti")
 
 
+def cache_requests(requests: DataFrame, entries: DataFrame) -> DataFrame:
+    """requests (url) with cache_key, hit and percent: 100 at once for what is there, 0 for what is to be loaded."""
+    keyed = requests.withColumn("cache_key", sources.normalize_url(F.col("url")))
+    have = entries.select("cache_key").distinct().withColumn("hit", F.lit(True))
+    found = keyed.join(have, "cache_key", "left").withColumn("hit", F.coalesce("hit", F.lit(False)))
+    return found.withColumn("percent", F.when(F.col("hit"), 100).otherwise(0))
+
+
+def get_or_load(requests: DataFrame, entries: DataFrame, load: Callable[[DataFrame], DataFrame], now: Column, quota: int, days: int = 30) -> DataFrame:
+    """entries (cache_key, url, timestamp, size) after the requests: load() gives (cache_key, url, size) for each missing
+    key, once.  Where all together exceed the quota, entries beyond their time go and it is tried once more; if that is
+    not enough, it is an error and nothing is added."""
+    misses = cache_misses(requests, entries).groupBy("cache_key").agg(F.min("url").alias("url"))
+    loaded = load(misses).select("cache_key", "url", now.alias("timestamp"), "size")
+    need = loaded.agg(F.sum("size")).first()[0] or 0
+    for kept in (entries, cache_survivors(entries, now, days)):
+        if (kept.agg(F.sum("size")).first()[0] or 0) + need <= quota:
+            return kept.select("cache_key", "url", "timestamp", "size").unionByName(loaded)
+    raise CacheQuotaError(f"{need} bytes don't fit {quota}")
+
+
 def cache_stats(entries: DataFrame, usage: int, limit: int) -> DataFrame:
     q = sources.quota(F.lit(usage), F.lit(limit))
     return entries.agg(F.count_distinct("url").alias("urls")).select("urls", F.lit(usage).cast("long").alias("usage"), F.lit(limit).cast("long").alias("quota"), q["percent"].alias("percent"), q["available"].cast("long").alias("available"))
@@ -116,13 +148,16 @@ def replace_policy(rows: DataFrame, kind: str, policy: str) -> DataFrame:
     return rows.where(F.col("type") != kind) if policy == "replace" else rows
 
 
-def migrate(lists: dict[tuple[str, bool], DataFrame], bundled: DataFrame, external: DataFrame) -> DataFrame:
-    """Registry rows of legacy lists ((type, has_lora) -> filename): bundled before external before unknown network."""
+def migrate(lists: dict[tuple[str, bool], DataFrame], bundled: DataFrame, external: DataFrame, done: bool = False) -> DataFrame:
+    """Registry rows of legacy lists ((type, has_lora) -> filename): bundled before external before unknown network.  done:
+    the flag of an earlier run; then there is nothing left to migrate.  A name's least path counts."""
     every = None
     for (kind, lora), names in lists.items():
         part = names.select("filename", F.lit(kind).alias("type"), F.lit(lora).alias("has_lora"))
         every = part if every is None else every.unionByName(part)
-    b, e = bundled.select("filename", F.col("path").alias("b")), external.select("filename", F.col("path").alias("e"))
+    if done:
+        every = every.limit(0)
+    b, e = (x.groupBy("filename").agg(F.min("path").alias(n)) for x, n in ((bundled, "b"), (external, "e")))
     joined = every.join(b, "filename", "left").join(e, "filename", "left")
     kind = F.when(F.col("b").isNotNull(), "bundled").when(F.col("e").isNotNull(), "file").otherwise("network")
     value = F.when(F.col("b").isNotNull(), F.col("filename")).when(F.col("e").isNotNull(), F.col("e")).otherwise(F.concat(F.lit("https://unknown/"), F.col("filename")))
@@ -173,7 +208,3 @@ def latest(rows: DataFrame, key: str, seq: str) -> DataFrame:
     """The last row of each key."""
     rest = [c for c in rows.columns if c != key]
     return rows.groupBy(key).agg(F.max_by(F.struct(*rest), seq).alias("r")).select(key, *[F.col(f"r.{c}").alias(c) for c in rest])
-
-
-def rank_within(rows: DataFrame, key: str, *order: Column) -> DataFrame:
-    return rows.withColumn("rank", F.row_number().over(Window.partitionBy(key).orderBy(*order)))

@@ -71,7 +71,7 @@ def resume_histogram(spark, sf_dir):
 @query("WITH x AS (SELECT event_type AS status, count(*) AS n FROM events GROUP BY 1) SELECT * FROM x UNION ALL SELECT 'total', sum(n) :: BIGINT FROM x")
 def event_histogram(spark, sf_dir):
     rows = session.table(spark, sf_dir, "events").select(F.col("event_type").alias("status"))
-    domain = tuple(sorted(r.status for r in rows.distinct().limit(1000).collect()))
+    domain = tuple(sorted(r.status for r in rows.distinct().collect()))
     return catalog.resume_histogram(rows, domain)
 
 

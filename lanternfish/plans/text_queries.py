@@ -130,7 +130,14 @@ def short_word_flood(spark, sf_dir):
     return session.table(spark, sf_dir, "documents").select("doc_id", quality.short_word_flood(F.col("text")).alias("flood"))
 
 
-@query()
+_FLOOD = f"w AS (SELECT doc_id, len({_WORDS}) AS n, unnest({_WORDS}) AS w FROM documents), k AS (SELECT doc_id, n, w, count(*) AS k FROM w WHERE length(w) <= 3 GROUP BY ALL), f AS (SELECT DISTINCT doc_id FROM k WHERE n > 10 AND k > n * 0.3)"
+#: The fixed patterns in the dialect of DuckDB; the one with a reference back is spelled out.
+_CORRUPT = r"""text <> '' AND (doc_id IN (SELECT doc_id FROM f) OR regexp_matches(text, 'describe\.describe\.describe\.+') OR regexp_matches(text, '^[₹]{10,}')
+ OR regexp_matches(text, '\bph\b.*\bph\b.*\bph\b') OR (left(text, 1) <> chr(10) AND length(text) > 10 AND left(text, 11) = repeat(left(text, 1), 11))
+ OR regexp_matches(text, '\b\w+\.\w+\.\w+\.+') OR regexp_matches(text, '\b[a-zA-Z]{1,2}\s+[a-zA-Z]{1,2}\s+[a-zA-Z]{1,2}\b'))"""
+
+
+@query(f"WITH {_FLOOD} SELECT doc_id, {_CORRUPT} AS corrupted FROM documents")
 def corruption_flags(spark, sf_dir):
     return session.table(spark, sf_dir, "documents").select("doc_id", quality.is_corrupted(F.col("text")).alias("corrupted"))
 
@@ -160,10 +167,15 @@ def corruption_action(spark, sf_dir):
     return session.table(spark, sf_dir, "documents").select("doc_id", quality.action(_confidence()).alias("action"))
 
 
-@query()
+@query(
+    f"WITH {_FLOOD}, j AS (SELECT doc_id, {_CORRUPT} AS corrupted, text, {_WORDS} AS words FROM documents), "
+    "s AS (SELECT doc_id, corrupted, CASE WHEN corrupted THEN least(1.0 :: DOUBLE, 0.5 :: DOUBLE + CASE WHEN len(list_distinct(words)) / len(words) < 0.3 THEN 0.3 ELSE 0 END :: DOUBLE"
+    " + CASE WHEN regexp_matches(text, '^[^a-zA-Z0-9\\s]{10,}') THEN 0.2 ELSE 0 END :: DOUBLE + CASE WHEN contains(text, 'describe.describe.describe') THEN 0.4 ELSE 0 END :: DOUBLE + CASE WHEN length(text) < 10 THEN 0.1 ELSE 0 END :: DOUBLE) ELSE 0 END AS c FROM j) "
+    "SELECT doc_id, corrupted, round(c, 6) AS confidence, CASE WHEN c > 0.8 THEN 'reprocess_image' WHEN c > 0.5 THEN 'validate_image' WHEN c > 0.2 THEN 'monitor_response' ELSE 'none' END AS action FROM s"
+)
 def response_validation(spark, sf_dir):
     v = quality.validate_response(F.col("text"))
-    return session.table(spark, sf_dir, "documents").select("doc_id", v["corrupted"].alias("corrupted"), v["confidence"].alias("confidence"), v["action"].alias("action"))
+    return session.table(spark, sf_dir, "documents").select("doc_id", v["corrupted"].alias("corrupted"), F.round(v["confidence"], 6).alias("confidence"), v["action"].alias("action"))
 
 
 @query("SELECT event_type, CASE WHEN contains(m, 'base64') THEN 'base64_encoding' WHEN contains(m, 'format') OR contains(m, 'decode') THEN 'image_format' WHEN contains(m, 'size') THEN 'image_dimensions' WHEN contains(m, 'memory') THEN 'memory_limit' ELSE 'unknown' END AS kind, count(*) AS n FROM (SELECT event_type, CASE event_id % 5 WHEN 0 THEN 'bad base64 format' WHEN 1 THEN 'cannot decode' WHEN 2 THEN 'size' WHEN 3 THEN 'out of memory' ELSE 'x' END AS m FROM events) GROUP BY ALL")
@@ -218,7 +230,7 @@ def _image_geometry(rows: DataFrame) -> DataFrame:
     return rows.select("doc_id", quality.estimated_side(F.octet_length("text")).alias("side"), F.round(quality.cover(F.col("doc_id") % 50 + 60, F.lit(60))["width"], 6).alias("width"))
 
 
-@query()
+@query("WITH b AS (SELECT doc_id, hex(encode(text)) AS h, octet_length(encode(text)) AS n FROM documents), t AS (SELECT doc_id, h, unnest(range(1, n - 1)) AS i FROM b WHERE n >= 100), g AS (SELECT doc_id, count(*) AS c FROM t GROUP BY doc_id, substr(h, 2 * i - 1, 6)), m AS (SELECT doc_id, max(c) AS c FROM g GROUP BY doc_id) SELECT b.doc_id, CASE WHEN n < 100 THEN true ELSE c > 0.01 * n END AS flood FROM b LEFT JOIN m USING (doc_id)")
 def byte_trigrams(spark, sf_dir):
     return session.table(spark, sf_dir, "documents").select("doc_id", quality.trigram_flood(F.col("text").cast("binary")).alias("flood"))
 
@@ -289,7 +301,7 @@ def sft_render(spark, sf_dir):
     return session.table(spark, sf_dir, "conversations").select("conv_id", "turn", templates.sft_text("", F.col("text"), F.lit("show"), args).alias("text"))
 
 
-@query()
+@query("SELECT conv_id, turn, CASE WHEN ('0x' || left(md5(conv_id || '-' || turn), 8)) :: BIGINT % 10 = 0 THEN 'test' ELSE 'train' END AS part FROM conversations")
 def sft_split(spark, sf_dir):
     from lanternfish.functions import embed
 
