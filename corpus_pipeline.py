@@ -2,10 +2,17 @@
 
 Every stage takes (spark, docs, sf_dir) and returns a DataFrame; all but the last return the columns of documents.
 A stage's result is written as Parquet into the shared folder and read again as the next one's input.
+
+Defined results: the stages need doc_id and text; rows without a doc_id stay, but for toxic ones; null and empty texts
+stay as they are; repeated rows are handled alike, so a toxic one goes in all its copies, and of near copies all rows
+of the smallest doc_id stay; an empty table gives an empty one; other columns are kept, whatever their names, and
+n_chars, where there is one, follows the text.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -20,10 +27,16 @@ def _counted(docs: DataFrame) -> DataFrame:
     return docs.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else docs
 
 
+def _aside(docs: DataFrame, *names: str) -> tuple[DataFrame, Callable[[DataFrame], DataFrame]]:
+    """docs without columns of names that a stage makes itself, and what gives them their names back."""
+    renamed = {c: f"__{c}" for c in docs.columns if c in names}
+    return docs.withColumnsRenamed(renamed), lambda made: made.select([F.col(f"`{renamed.get(c, c)}`").alias(c) for c in docs.columns])
+
+
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose score reaches the threshold go."""
-    scored = toxicity.score(docs, session.table(spark, sf_dir, "labels"))
-    return scored.where("predicted = 0").select(docs.columns)
+    own, named = _aside(docs, "held_out", "score", "predicted")
+    return named(toxicity.score(own, session.table(spark, sf_dir, "labels")).where("predicted = 0"))
 
 
 def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -35,12 +48,13 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     """Of each group of linked documents the one of the smallest doc_id stays."""
     found = ngram_join.join(docs)
     gone = found.where("doc_id != component_id").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(docs.columns)
+    return docs.join(gone, "doc_id", "left_anti").select([F.col(f"`{c}`") for c in docs.columns])
 
 
 def drop_benchmark_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Spans that occur in benchmark items go, all documents stay."""
-    return _counted(decontaminate.removed(docs, session.table(spark, sf_dir, "benchmark")))
+    own, named = _aside(docs, "n_words", "hit_spans", "hit_items")
+    return _counted(named(decontaminate.removed(own, session.table(spark, sf_dir, "benchmark"))))
 
 
 def tokenise(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
