@@ -140,15 +140,19 @@ def _holds(raw, places, first, stop, digests) -> np.ndarray:
     return np.array([x == y for x, y in zip(_digests(raw, places, first, stop), digests, strict=True)], bool)
 
 
+_SOURCE = ("first", "first_version", "first_start", "size")
+
+
 def _witnessed(dealt: DataFrame, long: DataFrame, count: int) -> DataFrame:
-    """(doc_id, version, start, stop, digest): long spans with the digest of their sources' words."""
+    """(doc_id, version, start, stop, digest): long spans with the digest of their sources' words.  A source that many
+    documents copy is asked once; its digest goes back by a join that can be split."""
 
     def run(table: pa.Table, wanted: pa.Table) -> pa.Table:
         rolling.release()
         row = repeats.Rows(table).rows(wanted["first"].to_numpy(), wanted["first_version"].to_numpy()) if table.num_rows else np.zeros(0, np.int64)
         by = np.argsort(row, kind="stable")
         row, wanted = row[by], wanted.take(pa.array(by))
-        begin, size = wanted["first_start"].to_numpy(), wanted["stop"].to_numpy() - wanted["start"].to_numpy()
+        begin, size = wanted["first_start"].to_numpy(), wanted["size"].to_numpy()
         column, digests = repeats.column_of(table), []
         for a, b in rolling.steps(column) if len(row) else ():
             i, j = np.searchsorted(row, a), np.searchsorted(row, b)
@@ -157,10 +161,12 @@ def _witnessed(dealt: DataFrame, long: DataFrame, count: int) -> DataFrame:
                 starts, stops, first = rolling.words(raw, offsets)
                 at = first[row[i:j] - a] + begin[i:j]
                 digests += _digests(raw, (starts, stops), at, at + size[i:j])
-        return pa.table({**{n: wanted[n] for n in ("doc_id", "version", "start", "stop")}, "digest": pa.array(digests, pa.binary())})
+        return pa.table({**{n: wanted[n] for n in _SOURCE}, "digest": pa.array(digests, pa.binary())})
 
-    asked = long.withColumn("block", repeats.block_of("first", count))
-    return dealt.groupBy("block").cogroup(asked.groupBy("block")).applyInArrow(run, "doc_id long, version int, start int, stop int, digest binary")
+    sized = long.withColumn("size", F.col("stop") - F.col("start"))
+    asked = sized.select(*_SOURCE).distinct().withColumn("block", repeats.block_of("first", count))
+    found = dealt.groupBy("block").cogroup(asked.groupBy("block")).applyInArrow(run, "first long, first_version int, first_start int, size int, digest binary")
+    return sized.join(session.written(found, "digests"), list(_SOURCE)).select("doc_id", "version", "start", "stop", "digest")
 
 
 def spans(docs: DataFrame, text: str = "text", units: repeats.Units = repeats.WORDS) -> tuple[DataFrame, DataFrame, int]:
@@ -179,9 +185,7 @@ def spans(docs: DataFrame, text: str = "text", units: repeats.Units = repeats.WO
     session.discard(found, origins, branching, edges, least)
     long = session.written(_contracted(stretches, count, units), "spans")
     session.discard(stretches)
-    witnessed = session.written(_witnessed(dealt, long, count), "digests")
-    session.discard(long)
-    return dealt, witnessed, count
+    return dealt, _witnessed(dealt, long, count), count
 
 
 def deduplicate(docs: DataFrame, text: str = "text", units: repeats.Units = repeats.WORDS) -> DataFrame:
