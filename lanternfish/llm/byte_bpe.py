@@ -35,11 +35,15 @@ _CUT = re.compile(r"[^\W_](?=[ \n])")
 
 
 @functools.lru_cache(maxsize=4)
+def encoding_of(ranks: bytes, pattern: str) -> tiktoken.Encoding:
+    """The encoder for a rank file's content; made once in each Python process."""
+    found = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, ranks.splitlines())}
+    return tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=found, special_tokens={})
+
+
 def encoding(path: str, pattern: str) -> tiktoken.Encoding:
-    """The encoder for a rank file; loaded once in each Python process."""
     with open(path, "rb") as f:
-        ranks = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, f)}
-    return tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
+        return encoding_of(f.read(), pattern)
 
 
 def _leaf(enc: tiktoken.Encoding, text: str) -> np.ndarray:
@@ -93,15 +97,18 @@ def decode(enc: tiktoken.Encoding, ids: np.ndarray, leaf: int = LEAF) -> bytes:
 
 def tokenise(docs: DataFrame, path: str, pattern: str, text: str = "text", keep_ids: bool = True) -> DataFrame:
     """docs with n_tokens, ids_sha256, decoded_sha256 (of the ids decoded again) and, with keep_ids,
-    token_ids (little-endian unsigned 32-bit integers as binary).  One narrow pass, no shuffle."""
+    token_ids (little-endian unsigned 32-bit integers as binary).  One narrow pass, no shuffle.  Only the driver
+    reads the file of ranks; its content, which is bounded by the vocabulary, is broadcast."""
     session.ship_package(docs.sparkSession)
+    with open(path, "rb") as f:
+        ranks = docs.sparkSession.sparkContext.broadcast(f.read())
     own = ["token_ids"] * keep_ids + ["n_tokens", "ids_sha256", "decoded_sha256"]
     kept = [f for f in docs.schema.fields if f.name not in own]
     kinds = {"token_ids": T.BinaryType(), "n_tokens": T.LongType(), "ids_sha256": T.StringType(), "decoded_sha256": T.StringType()}
     schema = T.StructType(kept + [T.StructField(n, kinds[n]) for n in own])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc = encoding(path, pattern)
+        enc = encoding_of(ranks.value, pattern)
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
                 part = batch.slice(at, 256)
