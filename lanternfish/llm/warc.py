@@ -191,7 +191,7 @@ def read(spark: SparkSession, files: list[tuple[str, int]], payload: bool = True
     session.ship_package(spark)
     schema = _READ if payload else _READ.remove(_READ.get_field_index("payload"))
     kinds = {pa.int64(): "long", pa.string(): "string", pa.binary(): "binary"}
-    splits = [(f, a, min(a + split_bytes, size)) for f, size in files for a in range(0, size, split_bytes)]
+    count = sum(-(-size // split_bytes) for _, size in files)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -209,7 +209,9 @@ def read(spark: SparkSession, files: list[tuple[str, int]], payload: bool = True
                 if rows:
                     yield pa.RecordBatch.from_pylist(rows, schema=schema)
 
-    ranges = spark.createDataFrame(splits, "path string, start long, stop long").repartition(max(1, len(splits)))
+    begin = F.explode(F.sequence(F.lit(0).cast("long"), F.col("size") - 1, F.lit(split_bytes).cast("long")))
+    ranges = spark.createDataFrame(files, "path string, size long").where("size > 0").select("path", "size", begin.alias("start"))
+    ranges = ranges.select("path", "start", F.least(F.col("start") + split_bytes, F.col("size")).alias("stop")).repartition(max(1, count))
     return ranges.mapInArrow(run, ", ".join(f"{f.name} {kinds[f.type]}" for f in schema))
 
 
