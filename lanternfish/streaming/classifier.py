@@ -1,8 +1,12 @@
 """Token streams into text, thinking and calls: one state machine, run over a table or a stream.
 
-Input rows: (stream_id, seq, token, done), the row with done ends its stream.  Output rows: (stream_id, out_seq, kind,
-text, fn_name, fn_args, in_history).  Kinds: text, thinking, call, and reset where a single-turn family forgets its
-history.
+Input rows: (stream_id, seq, token, done).  One rule for both forms: tokens count in order of seq, of several rows of one
+seq the first to come (in a table the least), and the first row with done ends its stream; what comes after it,
+and a seq that has passed, is left out.  Output rows: (stream_id, out_seq, kind, text, fn_name, fn_args, in_history).
+Kinds: text, thinking, call, and reset where a single-turn family forgets its history.
+
+A stream's state is the machine and the tokens ahead of their turn; it expires KEPT_MS after its last change, so a
+stream that never ends, and the mark of one that has, don't stay for ever.
 """
 
 from __future__ import annotations
@@ -20,6 +24,8 @@ from lanternfish.functions import parsing
 MOST_BUFFERED = 150
 SCHEMA = "stream_id string, out_seq long, kind string, text string, fn_name string, fn_args string, in_history boolean"
 _STATE = "state string"
+#: A day.
+KEPT_MS = 86_400_000
 
 
 def _utf16(s: str) -> int:
@@ -105,7 +111,8 @@ class Machine:
                 return
             token = after
         if not self.tools or (not self.buffer and "{" not in token and "```" not in token):
-            self.history += token
+            if self.family == "function":  # no other family looks back
+                self.history += token
             yield self._row("text", token, kept=True)
         elif not self.buffer:
             self.buffer = token
@@ -154,8 +161,10 @@ def classify(tokens: DataFrame, family: str | None = None, thinking: bool = Fals
 
     def one(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         machine, rows = Machine(family, thinking, tools), []
-        for token in pdf.sort_values("seq").token:
+        for token, done in pdf.sort_values(["seq", "token", "done"]).drop_duplicates("seq")[["token", "done"]].itertuples(index=False):
             rows += machine.push(token or "")
+            if done is True or done == 1:
+                break
         return _frame(key[0], rows + list(machine.finish()))
 
     return tokens.groupBy("stream_id").applyInPandas(one, SCHEMA)
@@ -164,37 +173,41 @@ def classify(tokens: DataFrame, family: str | None = None, thinking: bool = Fals
 class _Processor(StatefulProcessor):
     """Keeps the machine and the tokens that came ahead of their turn."""
 
-    def __init__(self, family: str | None, thinking: bool, tools: bool) -> None:
-        self.options = (family, thinking, tools)
+    def __init__(self, family: str | None, thinking: bool, tools: bool, kept_ms: int | None) -> None:
+        self.options, self.kept_ms = (family, thinking, tools), kept_ms
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.saved = handle.getValueState("machine", _STATE)
+        self.saved = handle.getValueState("machine", _STATE, self.kept_ms)
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
         kept = json.loads(self.saved.get()[0]) if self.saved.exists() else {"machine": None, "next": 0, "ahead": {}}
+        if kept is None:  # ended
+            for _ in rows:
+                pass
+            yield _frame(key[0], [])
+            return
         machine, out = Machine(*self.options, state=kept["machine"]), []
         for pdf in rows:
             for seq, token, done in zip(pdf.seq, pdf.token, pdf.done, strict=True):
-                kept["ahead"][str(seq)] = [token or "", bool(done)]
+                if seq >= kept["next"]:
+                    kept["ahead"].setdefault(str(seq), [token or "", bool(done)])
         ended = False
-        while str(kept["next"]) in kept["ahead"]:
-            token, done = kept["ahead"].pop(str(kept["next"]))
+        while not ended and str(kept["next"]) in kept["ahead"]:
+            token, ended = kept["ahead"].pop(str(kept["next"]))
             kept["next"] += 1
             out += machine.push(token)
-            if done:
-                out += machine.finish()
-                ended = True
         if ended:
-            self.saved.clear()
-        else:
-            kept["machine"] = machine.state()
-            self.saved.update((json.dumps(kept),))
+            out += machine.finish()
+        kept["machine"] = machine.state()
+        self.saved.update((json.dumps(None if ended else kept),))
         yield _frame(key[0], out)
 
     def close(self) -> None:
         pass
 
 
-def classify_stream(tokens: DataFrame, family: str | None = None, thinking: bool = False, tools: bool = True) -> DataFrame:
-    """The streaming form; seq counts from 0 without gaps.  Needs the RocksDB state store."""
-    return tokens.groupBy("stream_id").transformWithStateInPandas(statefulProcessor=_Processor(family, thinking, tools), outputStructType=SCHEMA, outputMode="Append", timeMode="None")
+def classify_stream(tokens: DataFrame, family: str | None = None, thinking: bool = False, tools: bool = True, kept_ms: int | None = KEPT_MS) -> DataFrame:
+    """The streaming form; seq counts from 0 without gaps.  Needs the RocksDB state store.  kept_ms: how long a stream's
+    state outlives its last change; None keeps it, for a run that ends by itself when all input is read, which the
+    clock that expiry needs would keep going."""
+    return tokens.groupBy("stream_id").transformWithStateInPandas(statefulProcessor=_Processor(family, thinking, tools, kept_ms), outputStructType=SCHEMA, outputMode="Append", timeMode="None" if kept_ms is None else "ProcessingTime")

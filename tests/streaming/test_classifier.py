@@ -39,6 +39,7 @@ def test_text_without_braces_is_whole():
 def test_stream_equals_batch(spark, tmp_path):
     streams = {"a": ["x ", '{"name": "f",', ' "parameters": {"k": 1}}', "end"], "b": ["{", "no"], "c": ['{"message": "m"', "}"], "d": ["only"]}
     rows = [(s, i, t, i == len(ts) - 1) for s, ts in streams.items() for i, t in enumerate(ts)]
+    rows += [("a", 1, '{"name": "f",', False), ("d", 1, "after the end", False), ("d", 2, "later", True)]  # repeated, and too late
     tokens = spark.createDataFrame(rows, tables.TOKENS)
     shuffled = rows[:]
     random.Random(1).shuffle(shuffled)
@@ -46,7 +47,7 @@ def test_stream_equals_batch(spark, tmp_path):
         spark.createDataFrame(shuffled[i : i + 3], tables.TOKENS).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
     spark.conf.set("spark.sql.shuffle.partitions", "2")
-    query = classifier.classify_stream(tables.token_stream(spark, str(tmp_path / "in"))).writeStream.format("memory").queryName("classified").option("checkpointLocation", str(tmp_path / "c")).outputMode("append").trigger(availableNow=True).start()
+    query = classifier.classify_stream(tables.token_stream(spark, str(tmp_path / "in")), kept_ms=None).writeStream.format("memory").queryName("classified").option("checkpointLocation", str(tmp_path / "c")).outputMode("append").trigger(availableNow=True).start()
     query.awaitTermination(240)
     spark.conf.set("spark.sql.shuffle.partitions", "8")
     batch = classifier.classify(tokens)
