@@ -63,10 +63,17 @@ def shared_dir(spark: SparkSession) -> str:
 _CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
+#: Rows of a table that is known to be small that one file holds.
+ROWS_A_FILE = 100_000
+
+
+def written(df: DataFrame, name: str, rows: int | None = None) -> DataFrame:
     """Writes df as Parquet into the shared folder and reads it again: cuts lineage and outlives executors.  The
-    shuffle files of the write go when it has ended, so that steps in a row need the disk of one."""
+    shuffle files of the write go when it has ended, so that steps in a row need the disk of one.  rows: a bound of its
+    rows, where one is known; they are then written into as few files as hold them, not one for each partition."""
     spark = df.sparkSession
+    if rows is not None:
+        df = df.coalesce(max(1, -(-rows // ROWS_A_FILE)))
     path = f"{shared_dir(spark)}/{name}"
     before = spark.conf.get(_CLEANUP, None)
     spark.conf.set(_CLEANUP, "true")
