@@ -100,12 +100,13 @@ def _generalised(docs: DataFrame, lines: DataFrame, text: str, depth: int, share
     """(a, b, ta, tb, kept): lines whose template is another line, its hashes and number of constant tokens."""
     groups = session.written(lines.groupBy("leaf", "a", "b").agg(F.count_distinct("doc_id").alias("docs"), F.min("doc_id").alias("doc_id")), "groups")
     leaves = groups.groupBy("leaf").agg(F.count("*").alias("kinds"), F.sum("docs").alias("total"))
-    leaves = session.written(leaves.where((F.col("kinds") > 1) & (F.col("total") > share)).select("leaf", "total"), "leaves")
+    leaves = session.written(leaves.where((F.col("kinds") > 1) & (F.col("total") > share)).select("leaf", "total"), "leaves", groups.count() // 2)
     members = session.written(groups.join(leaves, "leaf"), "members")
+    most = members.count()
     # by document too, so that the many places of a hot line don't meet
     places = lines.select("doc_id", "version", "line", "a", "b").join(members.hint("merge"), ["a", "b", "doc_id"])
     places = places.groupBy("leaf", "a", "b", "doc_id", "docs", "total").agg(F.min(F.struct("version", "line")).alias("at"))
-    places = session.written(places.select("doc_id", "at.version", "at.line", "leaf", "a", "b", "docs", "total"), "places")
+    places = session.written(places.select("doc_id", "at.version", "at.line", "leaf", "a", "b", "docs", "total"), "places", most)
     wanted = _numbered(places, "leaf", "a", "b", "docs", "total")
     texts = docs.where(F.col(text).isNotNull()).select("doc_id", F.xxhash64(text).alias("version"), F.col(text).alias("text")).join(wanted.hint("merge"), ["doc_id", "version"])
     picked = F.filter(F.split("text", "\n", -1), lambda x, i: _has("numbers", i))  # in the order of rows
@@ -115,13 +116,13 @@ def _generalised(docs: DataFrame, lines: DataFrame, text: str, depth: int, share
     values = spelled.select("leaf", "docs", "total", F.posexplode(rest).alias("place", "token")).groupBy("leaf", "place", "token").agg(F.sum("docs").alias("n"), F.first("total").alias("total"))
     constant = F.when(F.col("n") * share >= F.col("total"), F.col("token"))
     by_place = values.groupBy("leaf", "place").agg(F.collect_list(constant).alias("tokens"))  # `share` tokens at most
-    known = session.written(by_place.groupBy("leaf").agg(F.transform(F.array_sort(F.collect_list(F.struct("place", "tokens"))), lambda x: x["tokens"]).alias("known")), "constants")
+    known = session.written(by_place.groupBy("leaf").agg(F.transform(F.array_sort(F.collect_list(F.struct("place", "tokens"))), lambda x: x["tokens"]).alias("known")), "constants", most // 2)
     lead = F.slice("tokens", 1, depth)
     made = spelled.join(known, "leaf").select("a", "b", F.concat(lead, F.zip_with(rest, "known", lambda t, c: F.when(F.array_contains(c, t), t).otherwise(MARK))).alias("tokens"))
     made = made.select("a", "b", F.array_join("tokens", " ").alias("template"), _constants(F.col("tokens")).alias("kept"), F.size("tokens").alias("n"))
     ta, tb = _hashes(F.col("template"))
     out = made.where(100 * F.col("kept") >= similarity * F.col("n")).select("a", "b", ta.alias("ta"), tb.alias("tb"), "kept").where("a != ta or b != tb")
-    out = session.written(out, "generalised")
+    out = session.written(out, "generalised", most)
     session.discard(groups, leaves, members, places, spelled, known)
     return out
 
