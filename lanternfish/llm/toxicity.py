@@ -55,7 +55,7 @@ _CLEAR = 3.0
 #: Different n-grams that a task holds before it merges them.
 _HELD = 1 << 20
 #: Bytes scored at a time; each different word among them is looked up once.
-_STEP = 1 << 20
+_STEP = 1 << 18
 _U = np.uint64
 
 
