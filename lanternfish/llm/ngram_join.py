@@ -81,6 +81,7 @@ def _sets(dealt: DataFrame, size: int, shingle: int, percent: int) -> DataFrame:
     cut = np.uint64(32)
 
     def prints(table: pa.Table) -> pa.Table:
+        rolling.release()
         column = _column(table)
         parts = [np.zeros(0, np.uint64)]
         for a, b in rolling.steps(column):
@@ -117,6 +118,7 @@ def _sets(dealt: DataFrame, size: int, shingle: int, percent: int) -> DataFrame:
         return pa.table({"block": table["block"], "bucket": table["bucket"], "prints": pa.array(answers, pa.binary()), "ranks": pa.array(ranks, pa.binary())})
 
     def order(table: pa.Table, answer: pa.Table) -> pa.Table:
+        rolling.release()
         known, rank = [np.zeros(0, np.uint64)], [np.zeros(0, np.uint8)]
         for bucket, found, r in zip(*(answer[n].to_pylist() for n in ("bucket", "prints", "ranks")), strict=True):
             known.append(np.frombuffer(found, np.uint32).astype(np.uint64) | np.uint64(bucket << 32))
@@ -172,7 +174,7 @@ def similar(x: np.ndarray, y: np.ndarray, percent: int = PERCENT) -> bool:
 
 
 def _verified(pairs: DataFrame, texts: DataFrame, shingle: int, percent: int) -> DataFrame:
-    """The pairs (a, b) that link.  The join on a comes last, so that a's set is mostly at hand."""
+    """The pairs (a, b) and whether they link.  The join on a comes last, so that a's set is mostly at hand."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[int, np.ndarray] = {}
@@ -190,11 +192,11 @@ def _verified(pairs: DataFrame, texts: DataFrame, shingle: int, percent: int) ->
                             held.clear()
                         held[key] = shingle_sets(*rolling.text_bytes(pa.array([source])), shingle)[1]
                     found.append(similar(held[key], h[edge[k - i] : edge[k - i + 1]], percent))
-            yield pa.RecordBatch.from_arrays([c.filter(pa.array(found, pa.bool_())) for c in (batch.column("a"), batch.column("b"))], names=["a", "b"])
+            yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array(found, pa.bool_())], names=["a", "b", "linked"])
 
     own = texts.select(F.col("rep").alias("a"), F.col("text").alias("mine"))
     with_b = pairs.join(texts.select(F.col("rep").alias("b"), "text"), "b")
-    return with_b.join(own, "a").select("a", "b", "mine", "text").mapInArrow(run, "a long, b long")
+    return with_b.join(own, "a").select("a", "b", "mine", "text").mapInArrow(run, "a long, b long, linked boolean")
 
 
 def _need(percent: int) -> str:
@@ -227,14 +229,11 @@ def _prepared(docs: DataFrame, text: str, shingle: int, percent: int) -> tuple[D
     return rows, texts, _unsettled(tokens.withColumn("label", F.col("rep")))
 
 
-def _unsettled(tokens: DataFrame) -> DataFrame:
-    """The rows of shingles whose holders have different labels.  Written, so that both sides of the join are shuffled
-    for it and the holders of a hot shingle can be split."""
-    every = session.written(tokens, "tokens")
-    several = every.groupBy("token").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x < y").select("token")
-    out = session.written(every.join(session.written(several, "several"), "token"), "tokens")
-    session.discard(every)
-    return out
+def _unsettled(tokens: DataFrame, most: int | None = None) -> DataFrame:
+    """The rows of shingles whose holders have different labels.  These shingles are written first, so that both sides of
+    the join are shuffled for it and the holders of a hot shingle can be split.  most: a bound of the rows."""
+    several = tokens.groupBy("token").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x < y").select("token")
+    return session.written(tokens.join(session.written(several, "several", most and most // 2), "token"), "tokens", most)
 
 
 def _pair_by_pair(open_: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
@@ -255,7 +254,7 @@ def links(docs: DataFrame, text: str = "text", shingle: int = SHINGLE, percent:
     docs: doc_id, n_shingles, class_id, n_links (of its class with other classes).  Every candidate pair is verified
     once, so pairs grow with the links there are."""
     rows, texts, open_ = _prepared(docs, text, shingle, percent)
-    pairs = session.written(_verified(_filtered(_pair_by_pair(open_, texts, percent), percent), texts, shingle, percent), "links")
+    pairs = session.written(_verified(_filtered(_pair_by_pair(open_, texts, percent), percent), texts, shingle, percent).where("linked").select("a", "b"), "links")
     ends = pairs.select(F.col("a").alias("end")).unionByName(pairs.select(F.col("b").alias("end")))
     held = ends.groupBy("end").agg(F.count("*").alias("k"))
     members = rows.join(held, rows["rep"] == held["end"], "left")
@@ -276,9 +275,9 @@ def _merged(labels: DataFrame, pairs: DataFrame) -> DataFrame:
     """(node, root) of what labels and pairs connect; only the roots that pairs connect are walked again."""
     end = lambda name: labels.select(F.col("node").alias(name), F.col("root").alias(f"root_{name}"))
     edges = pairs.join(end("a"), "a", "left").join(end("b"), "b", "left").select(F.coalesce("root_a", "a").alias("a"), F.coalesce("root_b", "b").alias("b"))
-    new = components(edges)
+    new = components(edges, most=pairs.count())
     moved = labels.join(new.select(F.col("node").alias("root"), F.col("root").alias("to")), "root", "left")
-    return session.written(moved.select("node", F.coalesce("to", "root").alias("root")).unionByName(new), "labels")
+    return session.written(moved.select("node", F.coalesce("to", "root").alias("root")).unionByName(new), "labels", labels.count() + new.count())
 
 
 def _link_counts(texts: DataFrame, labels: DataFrame, shingle: int, percent: int, chunk: int) -> DataFrame:
@@ -338,21 +337,28 @@ def join(docs: DataFrame, text: str = "text", shingle: int = SHINGLE, percent: i
     labels = components(rows.where("rep is not null").groupBy("doc_id").agg(F.min("rep").alias("a"), F.max("rep").alias("b")).where("a < b").select("a", "b"))
     tried: DataFrame | None = None
     for r in range(stars + 1):
-        if open_.isEmpty():
+        most = open_.count()
+        if not most:
             break
         if r < stars:
             rank = F.xxhash64("rep", F.lit(r)) if r == 0 else F.xxhash64("rep", "token", F.lit(r))
-            middle = session.written(open_.groupBy("token").agg(F.min_by(F.struct("rep", "n", "place", "label"), rank).alias("m")), "middle")
+            middle = session.written(open_.groupBy("token").agg(F.min_by(F.struct("rep", "n", "place", "label"), rank).alias("m")), "middle", most // 2)
             met = open_.join(middle, "token").where("label != m.label").select(F.col("m.rep").alias("a"), F.col("m.n").alias("na"), F.col("m.place").alias("pa"), F.col("rep").alias("b"), F.col("n").alias("nb"), F.col("place").alias("pb"))
         else:
             met = _pair_by_pair(open_, texts, percent)
-        met = _filtered(met, percent).select("a", "b", F.least("a", "b").alias("x"), F.greatest("a", "b").alias("y"))
-        met = session.written(met.join(tried, ["x", "y"], "left_anti") if tried is not None else met, "pairs")
-        labels = _merged(labels, session.written(_verified(met.select("a", "b"), texts, shingle, percent), "links"))
+        met = _filtered(met, percent)
+        if tried is not None:
+            new = (F.least(met["a"], met["b"]) == tried["x"]) & (F.greatest(met["a"], met["b"]) == tried["y"])
+            met = met.join(tried, new, "left_anti")
+        pairs = session.written(_verified(met, texts, shingle, percent), "pairs")
+        labels = _merged(labels, pairs.where("linked").select("a", "b"))
         if r == stars:
             break
-        tried = met.select("x", "y") if tried is None else tried.unionByName(met.select("x", "y"))
-        open_ = _unsettled(open_.drop("label").join(labels, open_["rep"] == labels["node"], "left").select("token", "place", "rep", "n", F.coalesce("root", "rep").alias("label")))
+        known = pairs.select(F.least("a", "b").alias("x"), F.greatest("a", "b").alias("y"))
+        tried = known if tried is None else tried.unionByName(known)
+        named = open_.drop("label").join(labels, open_["rep"] == labels["node"], "left").select("token", "place", "rep", "n", F.coalesce("root", "rep").alias("label"))
+        last, open_ = open_, _unsettled(named, most)
+        session.discard(last)
     out = rows.join(labels, rows["rep"] == labels["node"], "left")
     component = F.when(F.col("rep").isNull(), F.col("doc_id")).otherwise(F.coalesce("root", "rep"))
     out = out.select("doc_id", F.col("n").cast("long").alias("n_shingles"), component.alias("component_id"), F.col("rep").alias("class_id"))
