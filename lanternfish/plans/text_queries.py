@@ -73,19 +73,10 @@ def call_complete(spark, sf_dir):
     return _calls(spark, sf_dir).select("conv_id", "turn", parsing.is_call_complete(F.col("raw"), F.col("family")).alias("complete"))
 
 
-def _definitely_text(rows: DataFrame) -> DataFrame:
-    return rows.select("conv_id", "turn", parsing.is_definitely_text(F.col("raw")).alias("text"))
-
-
-@query(f"WITH {_CALLS} SELECT conv_id, turn, kind = 4 AS text FROM c WHERE kind != 3")
+@query(f"WITH {_CALLS} SELECT conv_id, turn, kind IN (3, 4) AS text FROM c")
 def definitely_text(spark, sf_dir):
-    return _definitely_text(_calls(spark, sf_dir).where("kind != 3"))
-
-
-@query()
-def definitely_text_whole(spark, sf_dir):
-    """Over every row, calls of the function family too."""
-    return _definitely_text(_calls(spark, sf_dir))
+    """Calls of the function family begin like text to a reader of the other syntaxes."""
+    return _calls(spark, sf_dir).select("conv_id", "turn", parsing.is_definitely_text(F.col("raw")).alias("text"))
 
 
 @query(f"WITH {_CALLS}, t AS (SELECT conv_id, turn, CASE WHEN turn % 2 = 0 THEN raw ELSE raw || '}}' END AS raw FROM c) SELECT conv_id, turn, contains(raw, '{{') AND len(raw) - len(replace(raw, '{{', '')) = len(raw) - len(replace(raw, '}}', '')) AS balanced FROM t")
@@ -199,35 +190,16 @@ def base64_round_trip(spark, sf_dir):
     return session.table(spark, sf_dir, "documents").select("doc_id", quality.to_base64(data).alias("encoded"), quality.base64_valid(quality.to_base64(data)).alias("valid"), quality.base64_round_trip(data).alias("same"))
 
 
-@query("SELECT doc_id, base64(encode(text)) AS longest, '[IMAGE_DATA]' AS sanitized FROM documents WHERE octet_length(encode(text)) BETWEEN 90 AND 600")
+@query("WITH p AS (SELECT doc_id, base64(encode(text)) AS p FROM documents), r AS (SELECT *, length(rtrim(p, '=')) >= 100 AS run FROM p) SELECT doc_id, CASE WHEN run THEN p END AS longest, CASE WHEN length(p) > 2000 THEN left(p, 2000) || '...[truncated]' WHEN run THEN '[IMAGE_DATA]' ELSE p END AS sanitized FROM r")
 def base64_runs(spark, sf_dir):
-    return _base64_runs(session.table(spark, sf_dir, "documents").where("octet_length(text) between 90 and 600"))
-
-
-@query()
-def base64_runs_whole(spark, sf_dir):
-    """Over every row, those without a run and those that are cut off too."""
-    return _base64_runs(session.table(spark, sf_dir, "documents"))
-
-
-def _base64_runs(rows: DataFrame) -> DataFrame:
     p = quality.to_base64(F.col("text").cast("binary"))
-    return rows.select("doc_id", quality.longest_base64(p).alias("longest"), quality.sanitized(p, 2000).alias("sanitized"))
+    return session.table(spark, sf_dir, "documents").select("doc_id", quality.longest_base64(p).alias("longest"), quality.sanitized(p, 2000).alias("sanitized"))
 
 
-@query("SELECT doc_id, CASE WHEN octet_length(encode(text)) < 51200 THEN 200 ELSE 400 END :: INTEGER AS side, round(896.0 :: DOUBLE * (doc_id % 50 + 60) / 60, 6) AS width FROM documents WHERE octet_length(encode(text)) < 204800 AND doc_id % 50 > 0")
+@query("SELECT doc_id, CASE WHEN n < 51200 THEN 200 WHEN n < 204800 THEN 400 WHEN n < 512000 THEN 600 ELSE 800 END :: INTEGER AS side, round(896.0 :: DOUBLE * (doc_id % 50 + 60) / 60, 6) AS width FROM (SELECT doc_id, octet_length(encode(text)) AS n FROM documents)")
 def image_geometry(spark, sf_dir):
-    return _image_geometry(session.table(spark, sf_dir, "documents").where("octet_length(text) < 204800 and doc_id % 50 > 0"))
-
-
-@query()
-def image_geometry_whole(spark, sf_dir):
-    """Over every row, those of all four sides and of equal width and height too."""
-    return _image_geometry(session.table(spark, sf_dir, "documents"))
-
-
-def _image_geometry(rows: DataFrame) -> DataFrame:
-    return rows.select("doc_id", quality.estimated_side(F.octet_length("text")).alias("side"), F.round(quality.cover(F.col("doc_id") % 50 + 60, F.lit(60))["width"], 6).alias("width"))
+    width = quality.cover(F.col("doc_id") % 50 + 60, F.lit(60))["width"]
+    return session.table(spark, sf_dir, "documents").select("doc_id", quality.estimated_side(F.octet_length("text")).alias("side"), F.round(width, 6).alias("width"))
 
 
 @query("WITH b AS (SELECT doc_id, hex(encode(text)) AS h, octet_length(encode(text)) AS n FROM documents), t AS (SELECT doc_id, h, unnest(range(1, n - 1)) AS i FROM b WHERE n >= 100), g AS (SELECT doc_id, count(*) AS c FROM t GROUP BY doc_id, substr(h, 2 * i - 1, 6)), m AS (SELECT doc_id, max(c) AS c FROM g GROUP BY doc_id) SELECT b.doc_id, CASE WHEN n < 100 THEN true ELSE c > 0.01 * n END AS flood FROM b LEFT JOIN m USING (doc_id)")
@@ -327,21 +299,11 @@ def token_errors(spark, sf_dir):
     return session.table(spark, sf_dir, "events").select("event_id", kind.alias("kind"), quality.recoverable(kind).alias("recoverable"))
 
 
-@query("SELECT doc_id, 'User provided an image but it could not be processed properly. ' || CASE WHEN doc_id % 2 = 0 THEN 'Error: e. ' ELSE '' END || 'Please respond to the following text only: ' || text AS prompt, 2 :: INTEGER AS tokens FROM documents WHERE NOT contains(text, 'image_data')")
+@query("SELECT doc_id, 'User provided an image but it could not be processed properly. ' || CASE WHEN doc_id % 2 = 0 THEN 'Error: e. ' ELSE '' END || 'Please respond to the following text only: ' || text AS prompt, 2 :: INTEGER AS tokens FROM documents")
 def image_prompts(spark, sf_dir):
-    return _image_prompts(session.table(spark, sf_dir, "documents").where("not contains(text, 'image_data')"))
-
-
-@query()
-def image_prompts_whole(spark, sf_dir):
-    """Over every row, texts with a mark of images too."""
-    return _image_prompts(session.table(spark, sf_dir, "documents"))
-
-
-def _image_prompts(docs: DataFrame) -> DataFrame:
     error = F.when(F.col("doc_id") % 2 == 0, "e")
     marked = quality.image_prompt(F.lit("see image_data"), F.lit("abc"), "instruct")
-    return docs.select("doc_id", quality.fallback_prompt(F.col("text"), error).alias("prompt"), quality.image_tokens(marked).alias("tokens"))
+    return session.table(spark, sf_dir, "documents").select("doc_id", quality.fallback_prompt(F.col("text"), error).alias("prompt"), quality.image_tokens(marked).alias("tokens"))
 
 
 @query("SELECT conv_id, turn, role = 'user' AS same FROM conversations")
@@ -353,7 +315,18 @@ def message_equality(spark, sf_dir):
     return rows.select("conv_id", "turn", templates.same_message(a, b).alias("same"))
 
 
-@query()
+def _tools_sql() -> str:
+    quoted = lambda t: "'" + t.replace("'", "''") + "'"
+    lines = quoted("\n".join(templates.JSON_PROMPT) + "\n<tool_code>\n")
+    schema = '{"properties": {"a": {"type": "string"}}, "required": ["a"]}'
+    listed = f"{lines} || 'fn_' || role || ': does it Parameters: {schema}' || chr(10) || '</tool_code>' || chr(10)"
+    turn = quoted(f"<start_of_turn>developer\n{templates.FUNCTION_PROMPT}\n<start_function_declaration>declaration:fn_")
+    fields = "{description:<escape>does it<escape>,parameters:{properties:{a:{type:<escape>STRING<escape>}},required:[<escape>a<escape>],type:<escape>OBJECT<escape>}}"
+    declared = f"{turn} || role || '{fields}<end_function_declaration>' || chr(10) || '<end_of_turn>' || chr(10)"
+    return f"SELECT DISTINCT role, {listed} AS json, {declared} AS declarations FROM conversations"
+
+
+@query(_tools_sql())
 def tools_prompts(spark, sf_dir):
     tool = F.array(F.struct(F.concat(F.lit("fn_"), "role").alias("name"), F.lit("does it").alias("description"), F.lit('{"properties": {"a": {"type": "string"}}, "required": ["a"]}').alias("parameters")))
     rows = session.table(spark, sf_dir, "conversations").select("role").distinct()

@@ -35,11 +35,11 @@ def test_base64_runs(spark, sf):
         runs = re.findall("[A-Za-z0-9+/]{100,}={0,2}", p)
         return max(runs, key=len, default=None), p[:2000] + "...[truncated]" if len(p) > 2000 else re.sub("[A-Za-z0-9+/]{100,}={0,2}", "[IMAGE_DATA]", p)
 
-    assert rows(spark, sf, "base64_runs_whole") == sorted(((d, *one(t)) for d, t in docs()), key=str)
+    assert rows(spark, sf, "base64_runs") == sorted(((d, *one(t)) for d, t in docs()), key=str)
 
 
 def test_image_geometry(spark, sf):
-    found = {r.doc_id: (r.side, r.width) for r in catalogue.QUERIES["image_geometry_whole"](spark, sf).collect()}
+    found = {r.doc_id: (r.side, r.width) for r in catalogue.QUERIES["image_geometry"](spark, sf).collect()}
     assert set(found) == {d for d, _ in docs()}
     for d, t in docs():
         n = len((t or "").encode())
@@ -52,17 +52,17 @@ def test_image_geometry(spark, sf):
 def test_image_prompts(spark, sf):
     told = lambda d: "Error: e. " if d % 2 == 0 else ""
     want = [(d, None if t is None else f"User provided an image but it could not be processed properly. {told(d)}Please respond to the following text only: {t}", 2) for d, t in docs()]
-    assert rows(spark, sf, "image_prompts_whole") == sorted(want, key=str)
+    assert rows(spark, sf, "image_prompts") == sorted(want, key=str)
 
 
 def test_definitely_text(spark, sf):
     """A call of the function family begins with neither brace, fence nor tool mark, so without a family it is text."""
     want = [(c, t, c % 5 in (3, 4)) for c in range(10) for t in range(6)]
-    assert rows(spark, sf, "definitely_text_whole") == sorted(want, key=str)
+    assert rows(spark, sf, "definitely_text") == sorted(want, key=str)
 
 
 def test_stream_fold(spark, sf):
-    found = {r.stream_id: r for r in catalogue.QUERIES["stream_fold_whole"](spark, sf).collect()}
+    found = {r.stream_id: r for r in catalogue.QUERIES["stream_fold"](spark, sf).collect()}
     assert len(found) == 50  # an empty text without a call has no tokens
     for c in range(10):
         assert (found[f"{c}-0"].call, found[f"{c}-0"].text) == ("show", "plain words")
