@@ -44,6 +44,9 @@ ORDER = 8
 #: Taken off each count and left to the order below.
 DISCOUNT = 0.75
 CLASS_ROWS = 20000
+#: An n-gram, or a history, seen fewer times in both classes together says nothing by itself: it counts in the totals,
+#: but has no entry in the tables that are sent out; the history, or no preference, stands for it.
+LEAST = 2
 FOLDS = 8
 THRESHOLD = 0.7
 BOUNDARY = 32
@@ -196,7 +199,7 @@ class _Table:
     def __init__(self, names: np.ndarray, columns: int, kind: type) -> None:
         names = rolling.mix(names)
         self.order = np.argsort(names).astype(np.int32)
-        bits = max(int(len(names)).bit_length() + 1, 4)
+        bits = max(int(len(names)).bit_length(), 4)
         self.shift = _U(64 - bits)
         self.names, self.rows = names[self.order], np.zeros((len(names) + 1, columns), kind)
         self.first = np.searchsorted(self.names >> self.shift, np.arange(1 << bits, dtype=_U)).astype(np.int32)
@@ -243,7 +246,9 @@ class Model:
     def __init__(self, g: np.ndarray, below: np.ndarray, folds, counts, kind: type = np.float32) -> None:
         histories, at = np.unique(g >> _U(8), return_inverse=True)
         at = at.astype(np.int32)
-        self.grams, self.histories = (_Table(x, len(folds), kind) for x in (g, histories))
+        every = sum(counts(None))
+        often = every >= LEAST, np.bincount(at, every, len(histories)) >= LEAST
+        self.grams, self.histories = (_Table(x[y], len(folds), kind) for x, y in zip((g, histories), often, strict=True))
         for k, fold in enumerate(folds):
             by_gram, by_history = np.zeros(len(g)), np.zeros(len(histories))
             for sign, n in zip((-1, 1), counts(fold), strict=True):
@@ -251,8 +256,8 @@ class Model:
                 rest = np.where(total > 0, DISCOUNT * kinds / np.maximum(total, 1), 1)
                 by_gram += sign * np.log(np.maximum(n - DISCOUNT, 0) / np.maximum(total, 1)[at] + rest[at] * below)
                 by_history += sign * np.log(rest)
-            self.grams.put(k, by_gram)
-            self.histories.put(k, by_history)
+            self.grams.put(k, by_gram[often[0]])
+            self.histories.put(k, by_history[often[1]])
         del self.grams.order, self.histories.order
 
     def ratios(self, g: np.ndarray, which: int = 0) -> np.ndarray:
@@ -303,6 +308,15 @@ def _fit(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     return w
 
 
+def _trimmed(batches: Iterator[pa.RecordBatch], shared) -> Iterator[pa.RecordBatch]:
+    """Batches, with what reading a broadcast table and scoring a batch leave behind handed back in between."""
+    assert shared.value is not False
+    for batch in batches:
+        rolling.release()
+        yield batch
+    rolling.release()
+
+
 def train(docs: DataFrame, labels: DataFrame, text: str = "text", class_rows: int = CLASS_ROWS) -> tuple[Model, np.ndarray] | None:
     """The model and the curve's weights; None where a class has no training row."""
     spark = docs.sparkSession
@@ -340,7 +354,7 @@ def train(docs: DataFrame, labels: DataFrame, text: str = "text", class_rows: in
     crossed = spark.sparkContext.broadcast(Model(own, below, range(FOLDS), counts, np.float16))
 
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in _trimmed(batches, crossed):
             for a, b in rolling.steps(batch.column("text"), _STEP):
                 part = batch.slice(a, b - a)
                 kind = part.column("kind").to_numpy()
@@ -352,6 +366,7 @@ def train(docs: DataFrame, labels: DataFrame, text: str = "text", class_rows: in
 
     rolling.release()
     x = texts.mapInArrow(features, "toxic int, " + ", ".join(f"x{i} double" for i in range(_FEATURES))).toArrow()
+    crossed.destroy()  # all that needs it is here
     table = np.stack([x[f"x{i}"].to_numpy() for i in range(_FEATURES)], 1)
     by = np.lexsort(table.T)  # rows come in any order; sums of floats must not depend on it
     session.discard(texts)
@@ -366,7 +381,7 @@ def score(docs: DataFrame, labels: DataFrame, text: str = "text", threshold: flo
     schema = T.StructType(kept + [own["score"]])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in _trimmed(batches, fitted):
             for a, b in rolling.steps(batch.column(text), _STEP):
                 part = batch.slice(a, b - a)
                 if fitted.value is None:

@@ -32,6 +32,8 @@ def brute(texts, classes):
         return out
 
     totals, shared = [by_history(c) for c in own], by_history(below)
+    seen = own[0] + own[1]
+    often = by_history(seen)
 
     def interpolated(counts, totals, h, b, rest):
         n, kinds = totals.get(h, (0, 0))
@@ -43,7 +45,9 @@ def brute(texts, classes):
             p = 1 / 256
             for o in range(1, len(h)):
                 p = interpolated(below, shared, h[-o:], b, p)
-            out.append(math.log(interpolated(own[1], totals[1], h, b, p) / interpolated(own[0], totals[0], h, b, p)))
+            if seen[h, b] < 2:  # the history alone tells
+                p, b = 1, None
+            out.append(0 if seen[h, b] < 2 and often[h][0] < 2 else math.log(interpolated(own[1], totals[1], h, b, p) / interpolated(own[0], totals[0], h, b, p)))
         return out
 
     return ratio
