@@ -29,6 +29,7 @@ from pyspark.sql import types as T
 from lanternfish import session
 from lanternfish.llm import rolling
 
+_OWN = ("n_words", "hit_spans", "hit_items")
 LENGTH = 10
 PORTION_WORDS = 500_000
 _INSIDE = np.array([48 <= b < 58 or 97 <= b < 123 or b >= 128 for b in range(256)])
@@ -175,9 +176,9 @@ class Matcher:
         return starts, stops, first, found
 
 
-def find(docs: DataFrame, items: DataFrame, text: str = "text", item_id: str = "item_id", item_text: str = "text", length: int = LENGTH, portion_words: int = PORTION_WORDS) -> DataFrame:
+def find(docs: DataFrame, items: DataFrame, text: str = "text", item_id: str = "item_id", item_text: str = "text", length: int = LENGTH, portion_words: int = PORTION_WORDS, cut: bool = False) -> DataFrame:
     """docs with n_words long, hit_spans array<struct<first:int, stop:int>> (merged word ranges) and hit_items
-    array<string> (sorted as strings)."""
+    array<string> (sorted as strings); with cut, docs with texts without these ranges instead."""
     spark = docs.sparkSession
     session.ship_package(spark)
     items = items.select(F.col(item_id).cast("string").alias("id"), F.col(item_text).alias("text")).where("text is not null")
@@ -189,8 +190,9 @@ def find(docs: DataFrame, items: DataFrame, text: str = "text", item_id: str = "
     for k in range(portions):
         some = [(r.id, r.text) for r in items.where(F.pmod(F.xxhash64("id", "text"), F.lit(portions)) == k).collect()]
         shared = spark.sparkContext.broadcast(some)
-        schema = T.StructType(kept + own.fields)
-        out = out.mapInArrow(_finder(shared, schema, text, length, first=k == 0), schema)
+        last = cut and k == portions - 1
+        schema = T.StructType(kept if last else kept + own.fields)
+        out = out.mapInArrow(_finder(shared, schema, text, length, first=k == 0, cut=last), schema)
     return out
 
 
@@ -208,7 +210,7 @@ def _matcher(shared, length: int) -> Matcher:
     return _MATCHERS[key]
 
 
-def _finder(shared, schema, text, length, first):
+def _finder(shared, schema, text, length, first, cut):
     names = schema.names
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -217,7 +219,7 @@ def _finder(shared, schema, text, length, first):
             for a, b in rolling.steps(batch.column(text)):
                 part = batch.slice(a, b - a)
                 raw, offsets = rolling.text_bytes(part.column(text))
-                _, _, begin, found = matcher.spans(raw, offsets)
+                starts, stops, begin, found = matcher.spans(raw, offsets)
                 n = len(part)
                 spans, items = [[]] * n, [[]] * n
                 if not first:
@@ -232,6 +234,12 @@ def _finder(shared, schema, text, length, first):
                     "hit_spans": pa.array([[{"first": i, "stop": j} for i, j in s] for s in spans], kind),
                     "hit_items": pa.array(items, pa.list_(pa.string())),
                 }
+                if cut and any(spans):
+                    texts = part.column(text).to_pylist()
+                    for t in (t for t in range(n) if spans[t]):
+                        i, j = begin[t], begin[t + 1]
+                        texts[t] = _without(texts[t], spans[t], starts[i:j], stops[i:j], int(offsets[t]))
+                    own[text] = pa.array(texts, pa.string())
                 yield pa.RecordBatch.from_arrays([own[x] if x in own else part.column(x) for x in names], names=names)
 
     return run
@@ -256,27 +264,21 @@ def report(docs: DataFrame, items: DataFrame, **options) -> DataFrame:
 
 def removed(docs: DataFrame, items: DataFrame, text: str = "text", **options) -> DataFrame:
     """docs whose texts have lost the hit spans, each from its first word's to its last word's end, with one
-    space in place of it; other texts stay as they are, byte for byte.  All rows and columns are kept."""
-    found = find(docs, items, text=text, **options)
-    schema = T.StructType([f for f in docs.schema.fields])
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            texts = batch.column(text).to_pylist()
-            for i, spans in enumerate(batch.column("hit_spans").to_pylist()):
-                if not spans:
-                    continue
-                raw, offsets = rolling.text_bytes(pa.array([texts[i]], pa.string()))
-                _, starts, stops, _ = _words(raw, offsets)
-                data, out, at = raw.tobytes(), [], 0
-                for s in spans:
-                    out.append(data[at : starts[s["first"]]])
-                    at = int(stops[s["stop"] - 1])
-                out.append(data[at:])
-                texts[i] = b" ".join(x.strip(b" ") for x in out if x.strip(b" ")).decode()
-            yield pa.RecordBatch.from_arrays([pa.array(texts, pa.string()) if n == text else batch.column(n) for n in schema.names], names=schema.names)
-
-    return found.mapInArrow(run, schema)
+    space in place of it; other texts stay as they are, byte for byte.  All rows and columns are kept, those with the names
+    of what find() gives too.  The last portion's pass cuts the texts."""
+    renamed = {c: f"__{c}" for c in docs.columns if c in _OWN}
+    found = find(docs.withColumnsRenamed(renamed), items, text=text, cut=True, **options)
+    return found.select([F.col(f"`{renamed.get(c, c)}`").alias(c) for c in docs.columns])
+
+
+def _without(text: str, spans: list[tuple[int, int]], starts: np.ndarray, stops: np.ndarray, base: int) -> str:
+    """text without spans of words; starts and stops are those of its own words, base the place of its first byte."""
+    data, out, at = text.encode(), [], 0
+    for i, j in spans:
+        out.append(data[at : int(starts[i]) - base])
+        at = int(stops[j - 1]) - base
+    out.append(data[at:])
+    return b" ".join(x.strip(b" ") for x in out if x.strip(b" ")).decode()
 
 
 def sha256_of(items: list[str]) -> str:
