@@ -32,6 +32,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -106,16 +107,34 @@ def _summed(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.
     return names[edge], np.add.reduceat(n[by], edge) if len(edge) else n
 
 
-def _rows(**columns: np.ndarray) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(x.view(np.int64) if x.dtype == _U else x) for x in columns.values()], names=list(columns))
+_PACKED = "bucket int, kind int, g binary, n binary"
 
 
-def _names(table: pa.Table | pa.RecordBatch, name: str = "g") -> np.ndarray:
-    return table.column(name).to_numpy().view(_U)
+def _packed(bucket: np.ndarray, kind: int, g: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
+    """A row for each bucket, with its n-grams and their counts laid end to end: millions of them are few rows."""
+    by = np.argsort(bucket, kind="stable")
+    bucket, g, n = bucket[by], g[by], n[by].astype(np.int32)
+    edge = np.flatnonzero(np.append(True, bucket[1:] != bucket[:-1])[: len(bucket)])
+    cut = list(zip(edge.tolist(), [*edge[1:].tolist(), len(bucket)], strict=True)) if len(edge) else []
+    return pa.RecordBatch.from_arrays([pa.array(bucket[edge].astype(np.int32)), pa.array(np.full(len(edge), kind, np.int32)), pa.array([g[i:j].tobytes() for i, j in cut], pa.binary()), pa.array([n[i:j].tobytes() for i, j in cut], pa.binary())], names=["bucket", "kind", "g", "n"])
 
 
-def _count(texts: DataFrame) -> DataFrame:
-    """(kind, g, n): how often each n-gram stands at the longest in the texts of a kind, 2 * fold + class."""
+def _unpacked(g: pa.ChunkedArray, n: pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
+    return np.frombuffer(b"".join(g.to_pylist()), _U), np.frombuffer(b"".join(n.to_pylist()), np.int32)
+
+
+def _bucket(g: np.ndarray, buckets: int, order: int = ORDER) -> np.ndarray:
+    """n-grams of the same last `order` bytes have the same bucket."""
+    return (rolling.mix(g & _U((1 << 8 * order) - 1)) % _U(buckets)).astype(np.int32)
+
+
+def _buckets(size: int) -> int:
+    """About 4 MB of n-grams each, if every byte of text had one of its own."""
+    return max(8, size >> 22)
+
+
+def _count(texts: DataFrame, buckets: int = 8) -> DataFrame:
+    """(bucket, kind, g, n): how often each n-gram stands at the longest in the texts of a kind, 2 * fold + class."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[int, list] = {}
@@ -135,19 +154,29 @@ def _count(texts: DataFrame) -> DataFrame:
                 if size > _HELD:
                     held = {k: [_summed(x)] for k, x in held.items()}
                     if (size := sum(len(x[0][0]) for x in held.values())) > _HELD // 2:
-                        yield from (_rows(kind=np.full(len(x[0][0]), k, np.int32), g=x[0][0], n=x[0][1]) for k, x in held.items())
+                        yield from (_packed(_bucket(x[0][0], buckets), k, *x[0]) for k, x in held.items())
                         held, size = {}, 0
         for k, x in held.items():
             g, n = _summed(x)
-            yield _rows(kind=np.full(len(g), k, np.int32), g=g, n=n)
+            yield _packed(_bucket(g, buckets), k, g, n)
 
-    return texts.mapInArrow(run, "kind int, g long, n long").groupBy("kind", "g").agg(F.sum("n").cast("int").alias("n"))
+    def merge(rows: pa.Table) -> pa.Table:
+        kinds, out = rows["kind"].to_numpy(), []
+        for k in np.unique(kinds).tolist():
+            some = rows.filter(pa.array(kinds == k))
+            g, n = _summed([_unpacked(some["g"], some["n"])])
+            out.append(_packed(np.zeros(len(g), np.int32), k, g, n))
+        return pa.Table.from_batches(out)
 
+    return texts.mapInArrow(run, _PACKED).groupBy("bucket").applyInArrow(merge, _PACKED)
 
-def _longest(docs: DataFrame, text: str) -> DataFrame:
-    """(g): the n-grams, at the longest, of all words of all documents; some of them several times."""
+
+def _longest(docs: DataFrame, text: str, buckets: int) -> DataFrame:
+    """The n-grams, at the longest, of all words of all documents, those that end in the same three bytes in one bucket;
+    some of them several times."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        made = lambda g: _packed(_bucket(g, buckets, 3), 0, g, np.zeros(len(g)))
         held, size = [np.zeros(0, _U)], 0
         for batch in batches:
             for a, b in rolling.steps(batch.column(0), _STEP):
@@ -157,39 +186,34 @@ def _longest(docs: DataFrame, text: str) -> DataFrame:
                 if size > _HELD:
                     held = [np.unique(np.concatenate(held))]
                     if (size := len(held[0])) > _HELD // 2:
-                        yield _rows(g=held.pop())
+                        yield made(held.pop())
                         held, size = [np.zeros(0, _U)], 0
-        yield _rows(g=np.unique(np.concatenate(held)))
+        yield made(np.unique(np.concatenate(held)))
 
-    return docs.select(F.col(text)).mapInArrow(run, "g long")
+    return docs.select(F.col(text)).mapInArrow(run, _PACKED).select("bucket", "g")
 
 
-def _continuations(longest: DataFrame) -> DataFrame:
-    """(h, g, n): in how many different bytes the n-grams g of orders 2 to ORDER - 1 are continued to the left; h: their
-    histories.  All n-grams that end in the same three bytes meet in one task, so each is counted there for good,
-    but for those of two bytes, which have a part of their count in several."""
+def _continuations(longest: DataFrame, wanted) -> DataFrame:
+    """(g, n): in how many different bytes the n-grams of orders 2 to ORDER - 1 are continued to the left, for those whose
+    history is wanted.  All n-grams that end in the same three bytes are in one bucket, so each is counted there for
+    good, but for those of two bytes, which have a part of their count in several."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        found = np.unique(np.concatenate([np.zeros(0, _U), *(_names(batch) for batch in batches)]))
+    def run(rows: pa.Table) -> pa.Table:
+        found, out = np.unique(np.frombuffer(b"".join(rows["g"].to_pylist()), _U)), []
         for order in range(2, ORDER):
             left = found[found >> _U(8 * order) != 0] & _U((1 << 8 * (order + 1)) - 1)
             g, n = np.unique(np.unique(left) & _U((1 << 8 * order) - 1), return_counts=True)
-            yield _rows(h=g >> _U(8), g=g, n=n)
-
-    tail = F.col("g").bitwiseAND(F.lit((1 << 24) - 1).cast("long"))
-    return longest.repartition(tail).mapInArrow(run, "h long, g long, n long")
+            at = np.minimum(np.searchsorted(wanted.value, g >> _U(8)), max(len(wanted.value) - 1, 0))
+            use = wanted.value[at] == g >> _U(8) if len(wanted.value) else np.zeros(len(g), bool)
+            out.append(_packed(np.zeros(int(use.sum()), np.int32), 0, g[use], n[use]))
+        return pa.Table.from_batches(out)
 
+    return longest.groupBy("bucket").applyInArrow(run, _PACKED)
 
-def _histories(counted: DataFrame) -> DataFrame:
-    """(h): the histories of lower orders that counted n-grams back off to."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            g = _names(batch)
-            lower = [(g[g >> _U(8 * o) != 0] & _U((1 << 8 * o) - 1)) >> _U(8) for o in range(2, ORDER)]
-            yield _rows(h=np.unique(np.concatenate(lower)))
 
-    return counted.select("g").mapInArrow(run, "h long").distinct()
+def _histories(g: np.ndarray) -> np.ndarray:
+    """The histories of lower orders that n-grams back off to."""
+    return np.unique(np.concatenate([np.unique((g[g >> _U(8 * o) != 0] & _U((1 << 8 * o) - 1)) >> _U(8)) for o in range(2, ORDER)]))
 
 
 class _Table:
@@ -331,20 +355,24 @@ def train(docs: DataFrame, labels: DataFrame, text: str = "text", class_rows: in
     chosen = known.where(part < share).select("doc_id", (2 * fold + F.col("toxic")).cast("int").alias("kind"))
     # class_rows bounds this side: two classes of so many rows of two numbers
     texts = session.written(docs.select("doc_id", F.col(text).alias("text")).where("text is not null").join(F.broadcast(chosen), "doc_id"), "toxicity-sample")
-    counted = session.written(_count(texts), "toxicity-counts")
-    # bounded by the sample: what its n-grams back off to
-    wanted = _continuations(_longest(docs, text)).join(_histories(counted), "h", "left_semi")
-    shared = session.written(wanted.groupBy("g").agg(F.sum("n").cast("int").alias("n")), "toxicity-shared")
-    found = counted.sort("g").toArrow()
-    own = _names(found)
-    new = np.append(True, own[1:] != own[:-1])[: len(own)]
-    own, at = own[new], np.cumsum(new, dtype=np.int32) - 1
-    kind, n = found["kind"].to_numpy().astype(np.int8), found["n"].to_numpy()
-    found = shared.sort("g").toArrow()  # names of lower orders have no sign
-    below = _below(own, _names(found), found["n"].to_numpy())
-    del found, new
+    size = lambda df, name: df.agg(F.sum(F.octet_length(name))).first()[0] or 0
+    # all that is collected is bounded by the sample: its own n-grams, and what they back off to
+    found = session.written(_count(texts, _buckets(size(texts, "text"))), "toxicity-counts")
+    rows = found.toArrow()
+    lengths = pc.divide(pc.binary_length(rows["n"]), 4).to_numpy()
+    kind = np.repeat(rows["kind"].to_numpy().astype(np.int8), lengths)
+    g, n = _unpacked(rows["g"], rows["n"])
+    own, at = np.unique(g, return_inverse=True)
+    at = at.astype(np.int32)
+    del rows, g
+    wanted = spark.sparkContext.broadcast(_histories(own))
+    shared = session.written(_continuations(_longest(docs, text, _buckets(size(docs, text))), wanted).select("g", "n"), "toxicity-shared")
+    rows = shared.toArrow()
+    below = _below(own, *_summed([_unpacked(rows["g"], rows["n"])]))
+    del rows
     rolling.release()
-    session.discard(counted, shared)
+    session.discard(found, shared)
+    wanted.destroy()
 
     def counts(fold: int | None) -> tuple[np.ndarray, np.ndarray]:
         """(ordinary, toxic) counts by n-gram, without those of a fold."""
