@@ -69,8 +69,8 @@ ROWS_A_FILE = 100_000
 
 def written(df: DataFrame, name: str, rows: int | None = None) -> DataFrame:
     """Writes df as Parquet into the shared folder and reads it again: cuts lineage and outlives executors.  The
-    shuffle files of the write go when it has ended, so that steps in a row need the disk of one.  rows: a bound of its
-    rows, where one is known; they are then written into as few files as hold them, not one for each partition."""
+    shuffle files of the write go when it has ended, so that steps in a row need the disk of one.  rows: a bound of the
+    rows that its last step reads and makes, where one is known; it then has as few tasks and files as hold them."""
     spark = df.sparkSession
     if rows is not None:
         df = df.coalesce(max(1, -(-rows // ROWS_A_FILE)))
