@@ -275,7 +275,7 @@ def _merged(labels: DataFrame, pairs: DataFrame) -> DataFrame:
     """(node, root) of what labels and pairs connect; only the roots that pairs connect are walked again."""
     end = lambda name: labels.select(F.col("node").alias(name), F.col("root").alias(f"root_{name}"))
     edges = pairs.join(end("a"), "a", "left").join(end("b"), "b", "left").select(F.coalesce("root_a", "a").alias("a"), F.coalesce("root_b", "b").alias("b"))
-    new = components(edges, most=pairs.count())
+    new = components(edges, most=pairs.count() + labels.count())  # of what the step reads, too
     moved = labels.join(new.select(F.col("node").alias("root"), F.col("root").alias("to")), "root", "left")
     return session.written(moved.select("node", F.coalesce("to", "root").alias("root")).unionByName(new), "labels", labels.count() + new.count())
 
@@ -357,7 +357,7 @@ def join(docs: DataFrame, text: str = "text", shingle: int = SHINGLE, percent: i
         known = pairs.select(F.least("a", "b").alias("x"), F.greatest("a", "b").alias("y"))
         tried = known if tried is None else tried.unionByName(known)
         named = open_.drop("label").join(labels, open_["rep"] == labels["node"], "left").select("token", "place", "rep", "n", F.coalesce("root", "rep").alias("label"))
-        last, open_ = open_, _unsettled(named, most)
+        last, open_ = open_, _unsettled(named, most + labels.count())
         session.discard(last)
     out = rows.join(labels, rows["rep"] == labels["node"], "left")
     component = F.when(F.col("rep").isNull(), F.col("doc_id")).otherwise(F.coalesce("root", "rep"))
